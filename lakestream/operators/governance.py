@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakestream.functions.naming import DEFAULT_COMPATIBILITY, value_subject
+from lakestream.operators.ordered import previous_value
 
 # Type a reader may use for data written with another type.
 PROMOTIONS = {
@@ -35,12 +36,8 @@ def check_compat(versions: DataFrame, levels: DataFrame) -> DataFrame:
     BACKWARD: the new schema reads old data; FORWARD: the old schema reads new data; FULL: both; NONE: always
     passes. ``violations`` lists ``field:rule`` pairs of the rules the level asks for.
     """
-    pairs = (
-        versions.select("subject", "version")
-        .distinct()
-        .withColumn("previous", F.lag("version").over(Window.partitionBy("subject").orderBy("version")))
-        .filter(F.col("previous").isNotNull())
-    )
+    numbers = versions.select("subject", "version").distinct()
+    pairs = previous_value(numbers, ["subject"], "version").filter(F.col("previous").isNotNull())
     attributes = ("type", "nullable", "has_default")
     new = versions.select("subject", "version", "field", *[F.col(a).alias(f"new_{a}") for a in attributes])
     old = versions.select(

@@ -64,6 +64,19 @@ def number_rows(
     return running_sums(df, keys, chunk, order, {name: F.lit(1)}, descending_chunks)
 
 
+def previous_value(
+    df: DataFrame, keys: Sequence[str], value: str, width: int = 4096, name: str = "previous"
+) -> DataFrame:
+    """Add the next lower whole number a key has; ``(key, value)`` pairs must be unique."""
+    chunked = df.withColumn("_chunk", F.floor(F.col(value) / F.lit(width)).cast("long"))
+    ends = chunked.groupBy(*keys, "_chunk").agg(F.max(value).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_chunk")
+    carried = ends.select(*keys, "_chunk", F.lag("_end").over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(value)
+    joined = chunked.join(carried, [*keys, "_chunk"])
+    return joined.withColumn(name, F.coalesce(F.lag(value).over(inside), "_carried")).drop("_chunk", "_carried")
+
+
 def halo(df: DataFrame, position: str, width: int, before: int = 0, after: int = 0) -> DataFrame:
     """Cut rows into ``_chunk``s of ``width`` positions and copy edge rows into the neighbouring chunks.
 

@@ -146,7 +146,7 @@ def dynamic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "static_fanout",
-    """SELECT target, event_type, count(*) AS n, sum(event_id) AS ids
+    """SELECT target, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids
       FROM (SELECT *, unnest(['bronze.m3_events', 'bronze.m3_audit']) AS target FROM events) GROUP BY 1, 2""",
 )
 def static_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:

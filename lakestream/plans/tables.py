@@ -37,7 +37,7 @@ from lakestream.streaming.sink import run_available, upsert_routed_to, upsert_to
 _LATEST_USER = "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY \"offset\" DESC) = 1"
 
 
-@query("sink_append", "SELECT event_type, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY 1")
+@query("sink_append", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
 def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "append")
     ev = load(spark, sf_dir, "events")
@@ -214,7 +214,7 @@ def stream_upsert_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_routed",
-    f"""WITH {BRONZE_SQL} SELECT 'silver.' || event_type AS target, count(*) AS n, sum("offset") AS offsets FROM
+    f"""WITH {BRONZE_SQL} SELECT 'silver.' || event_type AS target, count(*) AS n, CAST(sum("offset") AS BIGINT) AS offsets FROM
       (SELECT * FROM bronze WHERE "offset" % 103 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY "offset" DESC) = 1) GROUP BY 1""",
 )
 def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +230,7 @@ def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.groupBy("target").agg(F.count("*").alias("n"), F.sum("offset").alias("offsets"))
 
 
-@query("replay_idempotent", f"WITH {BRONZE_SQL} SELECT count(*) AS n, sum(\"offset\") AS offsets FROM bronze")
+@query("replay_idempotent", f"WITH {BRONZE_SQL} SELECT count(*) AS n, CAST(sum(\"offset\") AS BIGINT) AS offsets FROM bronze")
 def replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appended batches, each applied twice."""
     path = work_dir(spark, "replay")

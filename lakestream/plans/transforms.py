@@ -43,7 +43,7 @@ def unwrap_none(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "drop_tombstones",
-    f"""WITH {CDC_SQL} SELECT op, count(*) AS n, sum("offset") AS offsets FROM cdc GROUP BY op""",
+    f"""WITH {CDC_SQL} SELECT op, count(*) AS n, CAST(sum("offset") AS BIGINT) AS offsets FROM cdc GROUP BY op""",
 )
 def drop_tombstones_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_tombstones(with_tombstones(cdc_events(spark, sf_dir)))

@@ -80,9 +80,15 @@ def read_upserted(
     scope: str = "global",
     schema: T.StructType | None = None,
     upto: int | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Table content: the latest row per key over all commits, soft deletes included."""
+    """Table content: the latest row per key over all commits, soft deletes included.
+
+    ``only`` holds id values; other keys are dropped before rows are compared.
+    """
     log = read_log(spark, path, schema, upto)
+    if only is not None:
+        log = log.join(only.select(*ids), list(ids), "left_semi")
     rows = latest_per_key(log, identity(ids, partition_by, scope), [*order, COMMIT])
     return rows.drop(COMMIT)
 

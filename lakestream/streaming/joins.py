@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakestream.operators.latest import current_rows, latest_per_key
-from lakestream.sources.lake import append, read_upserted, table_exists
+from lakestream.sources.lake import COMMIT, append, read_log, read_upserted, table_exists
 
 
 def merge_aggregate(
@@ -22,13 +22,10 @@ def merge_aggregate(
     spark = delta.sparkSession
     rows = delta
     if table_exists(spark, path):
-        stored = read_upserted(spark, path, keys, ["commit"], upto=commit - 1)
-        # build side: the keys of one batch
-        touched = stored.join(delta.select(*keys), list(keys), "left_semi")
-        rows = touched.select(*delta.columns).unionByName(delta)
-    merged = rows.groupBy(*keys).agg(*[col.alias(name) for name, col in merges.items()])
-    append(merged, path, commit)
-    return merged
+        stored = read_upserted(spark, path, keys, [COMMIT], upto=commit - 1, only=delta)
+        rows = stored.select(*delta.columns).unionByName(delta)
+    append(rows.groupBy(*keys).agg(*[col.alias(name) for name, col in merges.items()]), path, commit)
+    return read_log(spark, path).filter(F.col(COMMIT) == commit).drop(COMMIT)
 
 
 def maintain_join(
@@ -56,8 +53,8 @@ def maintain_join(
     touched = left.select(*keys).unionByName(right.select(*keys)).distinct()
 
     def current(path: str) -> DataFrame:
-        rows = read_upserted(spark, path, keys, order, upto=commit)
-        return current_rows(rows.join(touched, keys, "left_semi")).drop("__deleted", *order)
+        rows = read_upserted(spark, path, keys, order, upto=commit, only=touched)
+        return current_rows(rows).drop("__deleted", *order)
 
     joined = current(left_path).join(current(right_path), keys, how).withColumn("__deleted", F.lit("false"))
     gone = touched.join(joined.select(*keys), keys, "left_anti").withColumn("__deleted", F.lit("true"))
