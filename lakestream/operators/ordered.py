@@ -167,3 +167,39 @@ def quantile_positions(
         share = F.max(at - F.floor(at))
         out.append((low + (high - low) * share).alias(f"p{round(f * 100)}"))
     return placed.groupBy(*keys).agg(*out)
+
+
+def ranked(
+    df: DataFrame, keys: Sequence[str], value: str, band: Column, tie: str, tie_band: Column, tiles: int
+) -> DataFrame:
+    """Add every ranking of ``value`` descending within the key; ``tie`` orders equal values.
+
+    Ranks come from counts per distinct value, so rows are shuffled by key and value, never by key alone.
+    """
+    keys = list(keys)
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_band", band)
+    placed = running_sums(
+        counts, keys, "_band", [F.col(value).desc()], {"_upto": F.col("_n"), "dense_rank": F.lit(1)}, True
+    )
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    ranks = placed.join(totals, keys).select(
+        *keys,
+        value,
+        (F.col("_upto") - F.col("_n") + 1).alias("rank"),
+        "dense_rank",
+        F.when(F.col("_total") > 1, (F.col("_upto") - F.col("_n")) / (F.col("_total") - 1))
+        .otherwise(0.0)
+        .alias("percent_rank"),
+        (F.col("_upto") / F.col("_total")).alias("cume_dist"),
+        "_total",
+    )
+    rows = number_rows(df.withColumn("_tie", tie_band), [*keys, value], "_tie", [F.col(tie)], "_in_tie")
+    joined = rows.drop("_tie").join(ranks, [*keys, value])
+    number = F.col("rank") + F.col("_in_tie") - 1
+    base, extra = F.floor(F.col("_total") / tiles), F.col("_total") % tiles
+    # the first ``extra`` tiles hold one row more
+    wide = extra * (base + 1)
+    tile = F.when(number <= wide, F.floor((number - 1) / (base + 1)) + 1).otherwise(
+        extra + F.floor((number - 1 - wide) / base) + 1
+    )
+    return joined.withColumns({"row_number": number, "ntile": tile.cast("int")}).drop("_in_tie", "_total")

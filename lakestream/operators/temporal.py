@@ -122,7 +122,7 @@ def sessionize(
     whole = parts.filter(~F.col("_edge")).select(*edges.columns).unionByName(edges)
     return whole.select(
         *keys,
-        F.timestamp_micros("_first").alias("session_start"),
-        F.timestamp_micros(F.col("_last") + gap).alias("session_end"),
+        F.timestamp_micros("_first").cast("timestamp_ntz").alias("session_start"),
+        F.timestamp_micros(F.col("_last") + gap).cast("timestamp_ntz").alias("session_end"),
         *sums,
     )

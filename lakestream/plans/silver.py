@@ -21,7 +21,7 @@ def _price():
 
 _SUMMARY_SQL = """SELECT CAST(o_custkey AS VARCHAR) AS record_key, 'silver.order_summary' AS iceberg_table, count(*) AS order_count,
   CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_price, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date
-  FROM orders WHERE o_custkey % 4 <> 0 GROUP BY o_custkey"""
+  FROM orders GROUP BY o_custkey"""
 
 _CUSTOMERS_SQL = """SELECT CAST(c_custkey AS VARCHAR) AS record_key, 'silver.customers' AS iceberg_table, c_name, c_mktsegment, c_nationkey FROM customer"""
 
@@ -38,7 +38,7 @@ def summary(orders: DataFrame) -> DataFrame:
 
 @query("order_summary", _SUMMARY_SQL)
 def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(load(spark, sf_dir, "orders").filter("o_custkey % 4 <> 0")).select(
+    return summary(load(spark, sf_dir, "orders")).select(
         F.col("o_custkey").cast("string").alias("record_key"),
         F.lit("silver.order_summary").alias("iceberg_table"),
         "order_count",
@@ -77,7 +77,7 @@ def customer_order_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_order_analytics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and customers arrive mixed in micro-batches; the summary and the join are kept up to date."""
     base = work_dir(spark, "analytics")
-    orders = load(spark, sf_dir, "orders").filter("o_custkey % 4 <> 0")
+    orders = load(spark, sf_dir, "orders")
     customer = load(spark, sf_dir, "customer")
     changes = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").unionByName(
         customer.select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), allowMissingColumns=True
@@ -212,7 +212,8 @@ def stream_join_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["event_id"],
         "ts",
         "ack_ts",
-        late="2 days",
+        # replayed files come in no order of time, so nothing counts as late
+        late="40 days",
         within="1 hour",
     )
     run_available(joined, append_to(f"{base}/out"), f"{base}/checkpoint")

@@ -63,3 +63,12 @@ def stream_session(spark: SparkSession) -> SparkSession:
     )
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return session
+
+
+def small_side(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only when the optimizer's size estimate is within the limit.
+
+    Beyond it the plain join stays, and the optimizer picks a shuffled one.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.hint("broadcast") if int(str(size)) <= limit_bytes else df

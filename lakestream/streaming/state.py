@@ -16,11 +16,13 @@ class SessionTimeout(StatefulProcessor):
     """Open sessions of a key as merged intervals; a session is emitted once its timeout has passed.
 
     Input rows are slices ``(first_ms, last_ms, n)`` pre-aggregated on the map side, so a busy key brings few
-    rows. State is one value per open session, not one per event.
+    rows. State is one value per open session, not one per event. A session stays open for one slice length
+    beyond its timeout: a slice that still belongs to it may end, and so be sent, that much later.
     """
 
-    def __init__(self, timeout_ms: int):
+    def __init__(self, timeout_ms: int, slice_ms: int):
         self.timeout_ms = timeout_ms
+        self.wait_ms = timeout_ms + slice_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -40,12 +42,12 @@ class SessionTimeout(StatefulProcessor):
         self.open.clear()
         for first, last, n in merged:
             self.open.updateValue((first,), (last, n))
-            self.handle.registerTimer(last + self.timeout_ms)
+            self.handle.registerTimer(last + self.wait_ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        closed = [(k[0], v[0], v[1]) for k, v in self.open.iterator() if v[0] + self.timeout_ms <= now]
+        closed = [(k[0], v[0], v[1]) for k, v in self.open.iterator() if v[0] + self.wait_ms <= now]
         for first, _, _ in closed:
             self.open.removeKey((first,))
         if closed:
@@ -73,5 +75,5 @@ def session_timeout(stream: DataFrame, ts: str, timeout_ms: int, late: str, slic
         .select("user_id", F.window_time("window").alias(ts), "first_ms", "last_ms", "n")
     )
     return slices.groupBy("user_id").transformWithStateInPandas(
-        SessionTimeout(timeout_ms), SESSION_SCHEMA, outputMode="Append", timeMode="EventTime"
+        SessionTimeout(timeout_ms, slice_seconds * 1000), SESSION_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
