@@ -40,7 +40,7 @@ def geometric_mean(df: DataFrame, key: str, value: str, name: str = "geo_mean")
     return merged.agg(mean.alias(name)).withColumnRenamed("key", key)
 
 
-@F.udtf(returnType=T.StructType([T.StructField("ngram", T.StringType())]))
+@F.udtf(returnType=T.StructType([T.StructField("ngram", T.StringType())]), useArrow=True)
 class Ngrams:
     """Word n-grams of a text, one row each."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakestream.functions.naming import DEFAULT_COMPATIBILITY, value_subject
-from lakestream.operators.ordered import previous_value
+from lakestream.operators.ordered import adjacent_values
 
 # Type a reader may use for data written with another type.
 PROMOTIONS = {
@@ -36,41 +36,62 @@ def check_compat(versions: DataFrame, levels: DataFrame) -> DataFrame:
     BACKWARD: the new schema reads old data; FORWARD: the old schema reads new data; FULL: both; NONE: always
     passes. ``violations`` lists ``field:rule`` pairs of the rules the level asks for.
     """
-    numbers = versions.select("subject", "version").distinct()
-    pairs = previous_value(numbers, ["subject"], "version").filter(F.col("previous").isNotNull())
-    attributes = ("type", "nullable", "has_default")
-    new = versions.select("subject", "version", "field", *[F.col(a).alias(f"new_{a}") for a in attributes])
-    old = versions.select(
-        "subject", F.col("version").alias("previous"), "field", *[F.col(a).alias(f"old_{a}") for a in attributes]
-    ).join(pairs, ["subject", "previous"])
-    both = new.join(pairs.drop("previous"), ["subject", "version"], "left_semi").join(
-        old.drop("previous"), ["subject", "version", "field"], "full"
+    numbers = adjacent_values(versions.select("subject", "version").distinct(), ["subject"], "version")
+    fact = F.struct("type", "nullable", "has_default")
+    linked = versions.join(numbers, ["subject", "version"])
+    # a field takes part twice: as the new form of its version and as the old form of the next one
+    current = linked.filter("previous IS NOT NULL").select("subject", "version", "field", fact.alias("new"))
+    earlier = linked.filter("next IS NOT NULL").select(
+        "subject", F.col("next").alias("version"), "field", fact.alias("old")
     )
-
-    added = F.col("old_type").isNull()
-    removed = F.col("new_type").isNull()
+    pairs = current.join(earlier, ["subject", "version", "field"], "full")
+    added, removed = F.col("old").isNull(), F.col("new").isNull()
+    old, new = F.col("old"), F.col("new")
     backward = (
-        F.when(added, F.when(~F.col("new_has_default"), "added without default"))
+        F.when(added, F.when(~new["has_default"], "added without default"))
         .when(removed, F.lit(None))
-        .when(~readable(F.col("old_type"), F.col("new_type")), "type not readable")
-        .when(F.col("old_nullable") & ~F.col("new_nullable"), "null not readable")
+        .when(~readable(old["type"], new["type"]), "type not readable")
+        .when(old["nullable"] & ~new["nullable"], "null not readable")
     )
     forward = (
-        F.when(removed, F.when(~F.col("old_has_default"), "removed without default"))
+        F.when(removed, F.when(~old["has_default"], "removed without default"))
         .when(added, F.lit(None))
-        .when(~readable(F.col("new_type"), F.col("old_type")), "type not readable by old")
-        .when(~F.col("old_nullable") & F.col("new_nullable"), "null not readable by old")
+        .when(~readable(new["type"], old["type"]), "type not readable by old")
+        .when(~old["nullable"] & new["nullable"], "null not readable by old")
+    )
+    # only broken rules go on; a version lists at most two per field
+    broken = F.array_compact(
+        F.array(
+            F.when(backward.isNotNull(), F.struct(F.lit("backward").alias("side"), backward.alias("rule"))),
+            F.when(forward.isNotNull(), F.struct(F.lit("forward").alias("side"), forward.alias("rule"))),
+        )
+    )
+    found = pairs.select("subject", "version", "field", F.inline(broken))
+    listed = found.groupBy("subject", "version").agg(
+        *[
+            F.collect_list(F.when(F.col("side") == side, F.concat_ws(":", "field", "rule"))).alias(side)
+            for side in ("backward", "forward")
+        ]
+    )
+    nothing = F.array().cast("array<string>")
+    asked = F.concat(
+        *[
+            F.when(F.col("level").isin(side.upper(), "FULL"), F.coalesce(side, nothing)).otherwise(nothing)
+            for side in ("backward", "forward")
+        ]
     )
-    asks_backward = F.col("level").isin("BACKWARD", "FULL")
-    asks_forward = F.col("level").isin("FORWARD", "FULL")
-    rules = F.array_compact(F.array(F.when(asks_backward, backward), F.when(asks_forward, forward)))
-    # one short list per version: bounded by the number of its fields
-    found = F.flatten(F.collect_list(F.transform(rules, lambda r: F.concat_ws(":", F.col("field"), r))))
     return (
-        both.join(levels.select("subject", "level"), "subject")
-        .groupBy("subject", "version", "level")
-        .agg(F.array_join(F.sort_array(found), ", ").alias("violations"))
-        .withColumn("ok", F.col("violations") == "")
+        numbers.filter("previous IS NOT NULL")
+        .select("subject", "version")
+        .join(levels.select("subject", "level"), "subject")
+        .join(listed, ["subject", "version"], "left")
+        .select(
+            "subject",
+            "version",
+            "level",
+            F.array_join(F.sort_array(asked), ", ").alias("violations"),
+            (F.size(asked) == 0).alias("ok"),
+        )
     )
 
 

@@ -64,17 +64,22 @@ def number_rows(
     return running_sums(df, keys, chunk, order, {name: F.lit(1)}, descending_chunks)
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], value: str, width: int = 4096, name: str = "previous"
-) -> DataFrame:
-    """Add the next lower whole number a key has; ``(key, value)`` pairs must be unique."""
+def adjacent_values(df: DataFrame, keys: Sequence[str], value: str, width: int = 4096) -> DataFrame:
+    """Add ``previous`` and ``next``: the neighbouring whole numbers a key has. Pairs must be unique."""
     chunked = df.withColumn("_chunk", F.floor(F.col(value) / F.lit(width)).cast("long"))
-    ends = chunked.groupBy(*keys, "_chunk").agg(F.max(value).alias("_end"))
-    before = Window.partitionBy(*keys).orderBy("_chunk")
-    carried = ends.select(*keys, "_chunk", F.lag("_end").over(before).alias("_carried"))
+    ends = chunked.groupBy(*keys, "_chunk").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    carried = ends.select(
+        *keys, "_chunk", F.lag("_high").over(across).alias("_before"), F.lead("_low").over(across).alias("_after")
+    )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(value)
     joined = chunked.join(carried, [*keys, "_chunk"])
-    return joined.withColumn(name, F.coalesce(F.lag(value).over(inside), "_carried")).drop("_chunk", "_carried")
+    return joined.withColumns(
+        {
+            "previous": F.coalesce(F.lag(value).over(inside), "_before"),
+            "next": F.coalesce(F.lead(value).over(inside), "_after"),
+        }
+    ).drop("_chunk", "_before", "_after")
 
 
 def halo(df: DataFrame, position: str, width: int, before: int = 0, after: int = 0) -> DataFrame:
@@ -117,33 +122,30 @@ def over_positions(
 
 
 def last_known(
-    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[Column], value: str, name: str
+    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: str, name: str
 ) -> DataFrame:
-    """Add the last non-null ``value`` of the key up to and including each row."""
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = df.withColumn("_seen", F.last(value, ignorenulls=True).over(inside))
-    # the last value of a chunk, reduced on the map side, one row per key and chunk
-    ends = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, chunk)
-        .agg(F.max_by(value, F.struct(*[F.col(c) for c in _names(order)])).alias("_end"))
+    """Add the last non-null ``value`` of the key up to and including each row.
+
+    The value a chunk ends with is read off its last row, so it needs no shuffle beyond the one of the rows.
+    """
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
+    seen = df.withColumns(
+        {
+            "_seen": F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+            "_is_last": F.lead(F.lit(True)).over(inside).isNull(),
+        }
     )
-    marks = df.select(*keys, chunk).distinct().join(ends, [*keys, chunk], "left")
     earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.select(*keys, chunk, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    carried = seen.filter("_is_last").select(
+        *keys, chunk, F.last("_seen", ignorenulls=True).over(earlier).alias("_carried")
+    )
     return (
         seen.join(carried, [*keys, chunk])
         .withColumn(name, F.coalesce("_seen", "_carried"))
-        .drop("_seen", "_carried")
+        .drop("_seen", "_is_last", "_carried")
     )
 
 
-def _names(order: Sequence[Column | str]) -> list[str]:
-    if not all(isinstance(c, str) for c in order):
-        raise ValueError("give ascending order columns by name")
-    return list(order)
-
-
 def quantile_positions(
     df: DataFrame, keys: Sequence[str], value: str, band: Column, fractions: Sequence[float]
 ) -> DataFrame:

@@ -103,13 +103,13 @@ def fn_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fn_unnest",
-    """SELECT lang, length(word) AS letters, count(*) AS n, min(word) AS first_word
+    """SELECT lang, length(word) AS letters, count(*) AS n, count(*) FILTER (WHERE contains(word, 'e')) AS with_e
       FROM (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2""",
 )
 def fn_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = load(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", " ", -1)).alias("word"))
     return words.filter("word <> ''").groupBy("lang", F.length("word").cast("long").alias("letters")).agg(
-        F.count("*").alias("n"), F.min("word").alias("first_word")
+        F.count("*").alias("n"), F.count_if(F.contains("word", F.lit("e"))).alias("with_e")
     )
 
 

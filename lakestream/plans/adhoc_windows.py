@@ -49,13 +49,13 @@ def win_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = over_positions(
         rows, ["user_id"], "rn", {"previous": (F.min("value"), -1, -1), "next": (F.min("value"), 1, 1)}
     )
-    # first, second and last value of a user: one row per user, reduced before the shuffle
-    ends = load(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.min_by("value", F.struct("ts", "event_id")).alias("first"),
-        F.max_by("value", F.struct("ts", "event_id")).alias("last"),
+    # fixed-width values, so this is a hash aggregate with one partial row per user and task
+    ends = rows.groupBy("user_id").agg(
+        F.max(F.when(F.col("rn") == 1, F.col("value"))).alias("first"),
+        F.max(F.when(F.col("rn") == 2, F.col("value"))).alias("second"),
+        F.max_by("value", "rn").alias("last"),
     )
-    second = rows.filter("rn = 2").select("user_id", F.col("value").alias("second"))
-    joined = near.join(ends, "user_id").join(second, "user_id", "left")
+    joined = near.join(ends, "user_id")
     return joined.select("user_id", "event_id", "previous", "next", "first", "last", "second")
 
 

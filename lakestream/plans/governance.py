@@ -10,7 +10,8 @@ from lakestream.operators.governance import check_compat, conformance, effective
 from lakestream.operators.ordered import number_rows
 from lakestream.plans.fixtures import DAMAGED_SQL, damaged_events, pick
 from lakestream.plans.registry import query
-from lakestream.session import load
+from lakestream.session import load, work_dir
+from lakestream.sources.lake import append, read_log
 
 # Each order is one registered schema version of its customer's subject. Its fields follow from the order key:
 # (name, is it there, type, nullable, has default), written once for Spark and once for SQL.
@@ -42,6 +43,7 @@ def _topic(key: str):
 
 
 def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions as a stored table, numbered in the order of registration."""
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     band = F.floor(F.col("o_orderkey") / 65536).cast("long")
     numbered = number_rows(
@@ -61,11 +63,14 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
             for name, there, kind, nullable, default in _FIELDS
         ]
     )
-    return numbered.select(
+    versions = numbered.select(
         F.concat(_topic("o_custkey"), F.lit("-value")).alias("subject"),
         F.col("version").cast("long").alias("version"),
         F.inline(F.array_compact(fields)),
     )
+    path = work_dir(spark, "versions")
+    append(versions, path, 0)
+    return read_log(spark, path).drop("commit")
 
 
 def topics_with_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,9 +55,13 @@ def upsert_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("upsert_small_batch", f"WITH {BRONZE_SQL} SELECT * FROM bronze {_LATEST_USER}")
 def upsert_small_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table and a batch a tenth of its size."""
+    base = work_dir(spark, "small_batch")
     rows = bronze_records(spark, sf_dir)
-    stored = latest_per_key(rows.filter("offset % 10 <> 0"), ["user_id"], ["offset"])
-    return upsert_small(stored, rows.filter("offset % 10 = 0"), ["user_id"], ["offset"])
+    append(latest_per_key(rows.filter("offset % 10 <> 0"), ["user_id"], ["offset"]), f"{base}/table", 0)
+    append(rows.filter("offset % 10 = 0"), f"{base}/batch", 0)
+    stored, batch = (read_log(spark, f"{base}/{name}").drop("commit") for name in ("table", "batch"))
+    return upsert_small(stored, batch, ["user_id"], ["offset"])
 
 
 @query(
