@@ -44,29 +44,36 @@ def with_topic_parts(df: DataFrame, topic: str = "topic") -> DataFrame:
 
     A name that cannot be parsed keeps its row: the reason is a value, the parts are null.
     """
-    parts = F.split(F.col(topic), r"\.")
+    parts, at = F.col("_parts"), F.col("_at")
     size = F.size(parts)
-    is_layer = lambda i: F.lower(F.get(parts, F.lit(i))).isin(*LAYERS)
+
+    def is_layer(i: int) -> Column:
+        return F.lower(F.get(parts, F.lit(i))).isin(*LAYERS)
+
     # position of the layer: 0, 1 after an environment, or none
-    at = F.when(is_layer(0), 0).when((size >= 4) & is_layer(1), 1)
+    layer_at = F.when(size < 3, None).when(is_layer(0), 0).when((size >= 4) & is_layer(1), 1)
     error = (
         F.when(F.col(topic).isNull() | (F.trim(F.col(topic)) == ""), "empty topic")
         .when(size < 3, "too few parts")
         .when(at.isNull(), "no layer")
     )
-    ok = error.isNull()
-    last = F.element_at(parts, -1)
+    last = F.when(at.isNotNull(), F.element_at(parts, -1))
     middle = F.slice(parts, at + 3, F.greatest(size - at - 3, F.lit(0)))
-    return df.withColumns(
-        {
-            "environment": F.when(ok & (at == 1), F.get(parts, F.lit(0))),
-            "layer": F.when(ok, F.lower(F.get(parts, at))),
-            "domain": F.when(ok, F.get(parts, at + 1)),
-            "subdomain": F.when(ok & (size - at > 3), F.array_join(middle, ".")),
-            "dataset": F.when(ok, dataset_of(last)),
-            "stage": F.when(ok, stage_of(last)),
-            "parse_error": error,
-        }
+    return (
+        df.withColumn("_parts", F.split(F.col(topic), r"\."))
+        .withColumn("_at", layer_at)
+        .withColumns(
+            {
+                "environment": F.when(at == 1, F.get(parts, F.lit(0))),
+                "layer": F.lower(F.get(parts, at)),
+                "domain": F.get(parts, at + 1),
+                "subdomain": F.when(size - at > 3, F.array_join(middle, ".")),
+                "dataset": dataset_of(last),
+                "stage": stage_of(last),
+                "parse_error": error,
+            }
+        )
+        .drop("_parts", "_at")
     )
 
 

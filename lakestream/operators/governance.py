@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakestream.functions.naming import DEFAULT_COMPATIBILITY, value_subject
-from lakestream.operators.ordered import adjacent_values
 
 # Type a reader may use for data written with another type.
 PROMOTIONS = {
@@ -30,68 +29,79 @@ def effective_level(subject_level: Column, layer_level: Column) -> Column:
     return F.coalesce(subject_level, layer_level, F.lit(DEFAULT_COMPATIBILITY))
 
 
-def check_compat(versions: DataFrame, levels: DataFrame) -> DataFrame:
-    """Check each version of a subject against the one before it, by the subject's ``level``.
-
-    BACKWARD: the new schema reads old data; FORWARD: the old schema reads new data; FULL: both; NONE: always
-    passes. ``violations`` lists ``field:rule`` pairs of the rules the level asks for.
-    """
-    numbers = adjacent_values(versions.select("subject", "version").distinct(), ["subject"], "version")
-    fact = F.struct("type", "nullable", "has_default")
-    linked = versions.join(numbers, ["subject", "version"])
-    # a field takes part twice: as the new form of its version and as the old form of the next one
-    current = linked.filter("previous IS NOT NULL").select("subject", "version", "field", fact.alias("new"))
-    earlier = linked.filter("next IS NOT NULL").select(
-        "subject", F.col("next").alias("version"), "field", fact.alias("old")
-    )
-    pairs = current.join(earlier, ["subject", "version", "field"], "full")
-    added, removed = F.col("old").isNull(), F.col("new").isNull()
-    old, new = F.col("old"), F.col("new")
-    backward = (
-        F.when(added, F.when(~new["has_default"], "added without default"))
-        .when(removed, F.lit(None))
+def backward_rule(old: Column, new: Column) -> Column:
+    """Why the new form of a field cannot read data written with the old one; null when it can."""
+    return (
+        F.when(old.isNull(), F.when(~new["has_default"], "added without default"))
+        .when(new.isNull(), F.lit(None))
         .when(~readable(old["type"], new["type"]), "type not readable")
         .when(old["nullable"] & ~new["nullable"], "null not readable")
     )
-    forward = (
-        F.when(removed, F.when(~old["has_default"], "removed without default"))
-        .when(added, F.lit(None))
+
+
+def forward_rule(old: Column, new: Column) -> Column:
+    """Why the old form of a field cannot read data written with the new one; null when it can."""
+    return (
+        F.when(new.isNull(), F.when(~old["has_default"], "removed without default"))
+        .when(old.isNull(), F.lit(None))
         .when(~readable(new["type"], old["type"]), "type not readable by old")
         .when(~old["nullable"] & new["nullable"], "null not readable by old")
     )
-    # only broken rules go on; a version lists at most two per field
-    broken = F.array_compact(
-        F.array(
-            F.when(backward.isNotNull(), F.struct(F.lit("backward").alias("side"), backward.alias("rule"))),
-            F.when(forward.isNotNull(), F.struct(F.lit("forward").alias("side"), forward.alias("rule"))),
-        )
+
+
+def _violations(rule, old: Column, new: Column) -> Column:
+    """``field:reason`` of every field of either version that breaks a rule."""
+    none = F.lit(None).cast("struct<field: string, type: string, nullable: boolean, has_default: boolean>")
+
+    def find(fields: Column, name: Column) -> Column:
+        return F.get(F.filter(fields, lambda f: f["field"] == name), F.lit(0))
+
+    def reason(name: Column, before: Column, after: Column) -> Column:
+        return F.concat(name, F.lit(":"), rule(before, after))
+
+    present = F.transform(new, lambda f: reason(f["field"], find(old, f["field"]), f))
+    gone = F.filter(old, lambda f: ~F.exists(new, lambda g: g["field"] == f["field"]))
+    removed = F.transform(gone, lambda f: reason(f["field"], f, none))
+    return F.array_compact(F.concat(present, removed))
+
+
+def check_compat(versions: DataFrame, levels: DataFrame, width: int = 4096) -> DataFrame:
+    """Check each version of a subject against the one before it, by the subject's ``level``.
+
+    BACKWARD: the new schema reads old data; FORWARD: the old schema reads new data; FULL: both; NONE: always
+    passes. ``violations`` lists ``field:rule`` pairs of the rules the level asks for.
+
+    Fields are shuffled once, by subject and run of ``width`` versions; a run is gathered into one row per
+    version, whose size is the number of its fields. The last version of a run is handed to the next run.
+    """
+    run = ["subject", "_run"]
+    documents = (
+        versions.withColumn("_run", F.floor(F.col("version") / F.lit(width)).cast("long"))
+        .repartition(*run)
+        .groupBy(*run, "version")
+        .agg(F.collect_list(F.struct("field", "type", "nullable", "has_default")).alias("new"))
+    )
+    inside = Window.partitionBy(*run).orderBy("version")
+    linked = documents.withColumns(
+        {"_old": F.lag("new").over(inside), "_is_last": F.lead("version").over(inside).isNull()}
     )
-    found = pairs.select("subject", "version", "field", F.inline(broken))
-    listed = found.groupBy("subject", "version").agg(
-        *[
-            F.collect_list(F.when(F.col("side") == side, F.concat_ws(":", "field", "rule"))).alias(side)
-            for side in ("backward", "forward")
-        ]
+    across = Window.partitionBy("subject").orderBy("_run")
+    handed = linked.filter("_is_last").select(*run, F.lag("new").over(across).alias("_handed"))
+    pairs = (
+        linked.join(handed.filter("_handed IS NOT NULL"), run, "left")
+        .withColumn("old", F.coalesce("_old", "_handed"))
+        .filter("old IS NOT NULL")
     )
+    old, new, level = F.col("old"), F.col("new"), F.col("level")
     nothing = F.array().cast("array<string>")
     asked = F.concat(
-        *[
-            F.when(F.col("level").isin(side.upper(), "FULL"), F.coalesce(side, nothing)).otherwise(nothing)
-            for side in ("backward", "forward")
-        ]
+        F.when(level.isin("BACKWARD", "FULL"), _violations(backward_rule, old, new)).otherwise(nothing),
+        F.when(level.isin("FORWARD", "FULL"), _violations(forward_rule, old, new)).otherwise(nothing),
     )
     return (
-        numbers.filter("previous IS NOT NULL")
-        .select("subject", "version")
-        .join(levels.select("subject", "level"), "subject")
-        .join(listed, ["subject", "version"], "left")
-        .select(
-            "subject",
-            "version",
-            "level",
-            F.array_join(F.sort_array(asked), ", ").alias("violations"),
-            (F.size(asked) == 0).alias("ok"),
-        )
+        pairs.join(levels.select("subject", "level"), "subject")
+        .select("subject", "version", "level", F.array_join(F.sort_array(asked), ", ").alias("violations"))
+        .withColumn("ok", F.col("violations") == "")
     )
 
 

@@ -25,34 +25,35 @@ def lineage_closure(
 ) -> DataFrame:
     """Datasets reachable from ``start`` with their distance in jobs; cycles are fine.
 
-    Breadth-first: each hop is two joins of the frontier with the edges. Frontiers are checkpointed to the
-    shared folder, so a plan never grows with the number of hops and survives the loss of an executor.
+    Breadth-first: each hop is two joins of the frontier with the edges. Edges and frontiers are tables in the
+    shared folder, so plans stay short and survive the loss of an executor, and the measured size of a
+    frontier decides whether it is broadcast or the edges are shuffled.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError(f"unknown direction: {direction}")
-    work_dir(spark, "closure")  # makes sure a checkpoint folder is set
+    base = work_dir(spark, "closure")
     ends = ("source", "target") if direction == "downstream" else ("target", "source")
     # first hop of a pair leaves a dataset, the second leaves a job
     kinds = ("reads", "writes") if direction == "downstream" else ("writes", "reads")
+    stored = edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next"), "kind")
+    stored.write.partitionBy("kind").parquet(f"{base}/edges")
     leave_dataset, leave_job = (
-        edges.filter(F.col("kind") == kind)
-        .select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next"))
-        .checkpoint()
-        for kind in kinds
+        spark.read.parquet(f"{base}/edges").filter(F.col("kind") == kind).select("node", "next") for kind in kinds
     )
 
-    frontier = spark.range(1).select(F.lit(start).alias("node"))
-    seen = frontier.withColumn("distance", F.lit(0))
+    def read(hops: str) -> DataFrame:
+        return spark.read.schema("node string, distance int").parquet(f"{base}/reached{hops}")
+
+    spark.range(1).select(F.lit(start).alias("node")).write.parquet(f"{base}/reached/distance=0")
     for hop in range(1, max_hops + 1):
+        frontier = read(f"/distance={hop - 1}").select("node")
         jobs = leave_dataset.join(frontier, "node").select(F.col("next").alias("node")).distinct()
         reached = leave_job.join(jobs, "node").select(F.col("next").alias("node")).distinct()
-        frontier = reached.join(seen, "node", "left_anti").checkpoint()
-        if frontier.isEmpty():
+        found = reached.join(read("").select("node"), "node", "left_anti")
+        found.write.parquet(f"{base}/reached/distance={hop}")
+        if read(f"/distance={hop}").isEmpty():
             break
-        seen = seen.unionByName(frontier.withColumn("distance", F.lit(hop)))
-        if hop % 10 == 0:
-            seen = seen.checkpoint()
-    return seen.filter("distance > 0").select(F.col("node").alias("dataset"), "distance")
+    return read("").filter("distance > 0").select(F.col("node").alias("dataset"), "distance")
 
 
 def job_status(events: DataFrame) -> DataFrame:

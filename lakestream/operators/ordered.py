@@ -64,24 +64,6 @@ def number_rows(
     return running_sums(df, keys, chunk, order, {name: F.lit(1)}, descending_chunks)
 
 
-def adjacent_values(df: DataFrame, keys: Sequence[str], value: str, width: int = 4096) -> DataFrame:
-    """Add ``previous`` and ``next``: the neighbouring whole numbers a key has. Pairs must be unique."""
-    chunked = df.withColumn("_chunk", F.floor(F.col(value) / F.lit(width)).cast("long"))
-    ends = chunked.groupBy(*keys, "_chunk").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    across = Window.partitionBy(*keys).orderBy("_chunk")
-    carried = ends.select(
-        *keys, "_chunk", F.lag("_high").over(across).alias("_before"), F.lead("_low").over(across).alias("_after")
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(value)
-    joined = chunked.join(carried, [*keys, "_chunk"])
-    return joined.withColumns(
-        {
-            "previous": F.coalesce(F.lag(value).over(inside), "_before"),
-            "next": F.coalesce(F.lead(value).over(inside), "_after"),
-        }
-    ).drop("_chunk", "_before", "_after")
-
-
 def halo(df: DataFrame, position: str, width: int, before: int = 0, after: int = 0) -> DataFrame:
     """Cut rows into ``_chunk``s of ``width`` positions and copy edge rows into the neighbouring chunks.
 

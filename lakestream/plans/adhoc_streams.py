@@ -69,7 +69,7 @@ def hop_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hops.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-SLICES = 3
+SLICES = 2
 
 
 def run_in_order(
@@ -93,8 +93,8 @@ def run_in_order(
 
 @query(
     "late_data",
-    """WITH e AS (SELECT epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 + CASE WHEN event_id % 10 = 0 THEN 864000 ELSE 0 END AS arrival FROM events),
-      b AS (SELECT min(arrival) AS low, (max(arrival) - min(arrival)) // 3 + 1 AS step FROM e),
+    f"""WITH e AS (SELECT epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 + CASE WHEN event_id % 10 = 0 THEN 864000 ELSE 0 END AS arrival FROM events),
+      b AS (SELECT min(arrival) AS low, (max(arrival) - min(arrival)) // {SLICES} + 1 AS step FROM e),
       s AS (SELECT ms, (ms // 3600000 + 1) * 3600000 AS window_end, (arrival - low) // step AS slice FROM e, b),
       w AS (SELECT slice, max(max(ms)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000 AS mark FROM s GROUP BY slice),
       kept AS (SELECT s.*, coalesce(window_end > mark, true) AS on_time FROM s JOIN w ON s.slice = w.slice)

@@ -14,7 +14,7 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A START per order and, unless the order is pending, a COMPLETE some minutes later.
 
     Job ``c`` reads datasets ``c`` and ``c / 3`` and writes ``2c + 1`` and ``2c + 2``; every fiftieth also
-    writes ``c / 5``, which closes cycles.
+    writes ``c / 50``, which closes cycles.
     """
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
 
@@ -33,7 +33,7 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("run_id"),
         F.concat(F.lit("job_"), c.cast("string")).alias("job"),
         F.array(dataset(c), dataset(c / 3)).alias("inputs"),
-        F.when(c % 50 == 0, F.concat(outputs, F.array(dataset(c / 5)))).otherwise(outputs).alias("outputs"),
+        F.when(c % 50 == 0, F.concat(outputs, F.array(dataset(c / 50)))).otherwise(outputs).alias("outputs"),
         F.inline(events),
     )
 
@@ -48,7 +48,7 @@ edges AS (
     UNION ALL SELECT 'ds_' || (c // 3), job, 'reads' FROM done
     UNION ALL SELECT job, 'ds_' || (2 * c + 1), 'writes' FROM done
     UNION ALL SELECT job, 'ds_' || (2 * c + 2), 'writes' FROM done
-    UNION ALL SELECT job, 'ds_' || (c // 5), 'writes' FROM done WHERE c % 50 = 0)),
+    UNION ALL SELECT job, 'ds_' || (c // 50), 'writes' FROM done WHERE c % 50 = 0)),
 hops AS (SELECT DISTINCT r.source AS a, w.target AS b FROM edges r JOIN edges w ON r.kind = 'reads' AND w.kind = 'writes' AND r.target = w.source)"""
 
 

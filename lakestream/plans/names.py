@@ -62,7 +62,7 @@ def topic_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {TOPICS_SQL} SELECT event_id, topic, rebuilt, rebuilt = topic AS same FROM named WHERE rebuilt IS NOT NULL""",
 )
 def topic_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rebuilt = _parsed(spark, sf_dir).withColumn("rebuilt", _rebuilt()).filter(F.col("rebuilt").isNotNull())
+    rebuilt = _parsed(spark, sf_dir).filter("parse_error IS NULL").withColumn("rebuilt", _rebuilt())
     return rebuilt.select("event_id", "topic", "rebuilt", (F.col("rebuilt") == F.col("topic")).alias("same"))
 
 
@@ -82,8 +82,8 @@ def table_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     topics = topic_names(spark, sf_dir).select("topic").distinct()
     return (
         with_topic_parts(topics)
+        .filter("parse_error IS NULL")
         .withColumn("lake_table", _table())
-        .filter(F.col("lake_table").isNotNull())
         .groupBy("lake_table")
         .agg(F.count("*").alias("topics"))
         .filter("topics > 1")

@@ -23,8 +23,9 @@ CHANGES = {
 }
 
 
+@pytest.mark.parametrize("width", [2, 4096])
 @pytest.mark.parametrize("level", ["NONE", "BACKWARD", "FORWARD", "FULL"])
-def test_levels(spark, level):
+def test_levels(spark, level, width):
     data = []
     for name, (old, new, _) in CHANGES.items():
         for version, form in ((1, old), (4, new)):
@@ -33,7 +34,7 @@ def test_levels(spark, level):
                 data.append((name, version, "f", *form))
     versions = spark.createDataFrame(data, VERSION)
     levels = spark.createDataFrame([(n, level) for n in CHANGES], "subject string, level string")
-    got = {r["subject"]: r["ok"] for r in check_compat(versions, levels).collect()}
+    got = {r["subject"]: r["ok"] for r in check_compat(versions, levels, width).collect()}
     assert got == {n: level not in broken for n, (_, _, broken) in CHANGES.items()}
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakestream.operators.ordered import (
-    adjacent_values,
     halo,
     last_known,
     number_rows,
@@ -139,15 +138,6 @@ def test_percentiles_and_ranks(spark, events):
     same(got, want, want.columns)
 
 
-def test_adjacent_values(spark):
-    rng = random.Random(5)
-    data = [(k, v) for k in ("x", "y") for v in rng.sample(range(200), 60)]
-    df = spark.createDataFrame(data, "k string, v long")
-    w = Window.partitionBy("k").orderBy("v")
-    want = df.withColumns({"previous": F.lag("v").over(w), "next": F.lead("v").over(w)})
-    same(adjacent_values(df, ["k"], "v", width=16), want, ["k", "v", "previous", "next"])
-
-
 def test_range_join(spark):
     points = spark.createDataFrame([(float(p),) for p in range(100)], "p double")
     ranges = spark.createDataFrame([(0.0, 10.0, "a"), (5.0, 37.5, "b"), (90.0, 200.0, "c")], "lo double, hi double, name string")
