@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import TypeVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +72,11 @@ def fail_fast(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return df.filter(chain.otherwise(F.lit(True)))
 
 
+def is_permanent(error: Exception) -> bool:
+    """Errors that come back on every attempt: a query that cannot be analysed, a record the plan rejects."""
+    return isinstance(error, AnalysisException) or "USER_RAISED_EXCEPTION" in str(error)
+
+
 def retry(
     write: Callable[[], Result],
     max_delay: float = RETRY_MAX_DELAY,
@@ -79,14 +85,17 @@ def retry(
     sleep: Callable[[float], None] = time.sleep,
     clock: Callable[[], float] = time.monotonic,
 ) -> Result:
-    """Run a batch write again after a failure, pausing longer each time, until ``total`` seconds are used."""
+    """Run a batch write again after a failure, pausing longer each time, until ``total`` seconds are used.
+
+    Permanent errors are raised at once.
+    """
     deadline = clock() + total
     delay = first_delay
     while True:
         try:
             return write()
-        except Exception:
-            if clock() + delay > deadline:
+        except Exception as error:
+            if is_permanent(error) or clock() + delay > deadline:
                 raise
             sleep(delay)
             delay = min(delay * 2, max_delay)

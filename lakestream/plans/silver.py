@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from lakestream.operators.latest import current_rows
 from lakestream.plans.registry import query
 from lakestream.session import load, stream_session, work_dir
-from lakestream.sources.lake import append, read_log, read_upserted
+from lakestream.sources.lake import read_log, read_upserted
 from lakestream.sources.stream import stage_files, stream_source
 from lakestream.streaming.jobs import RESTART_MODES, checkpoint_for, run_code_job, run_sql_job
 from lakestream.streaming.joins import maintain_join, merge_aggregate, stream_join
-from lakestream.streaming.sink import append_to, run_available, upsert_to
+from lakestream.streaming.sink import append_to, keeping, run_available, upsert_to
 
 
 def _price():
@@ -108,7 +108,7 @@ def customer_order_analytics_stream(spark: SparkSession, sf_dir: str) -> DataFra
             ["version"],
         )
 
-    run_available(stream, commit, f"{base}/checkpoint")
+    run_available(stream, keeping(commit), f"{base}/checkpoint")
     result = current_rows(read_upserted(spark, f"{base}/analytics", ["o_custkey"], []))
     return result.select(
         F.col("o_custkey").cast("string").alias("record_key"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakestream.sources.stream import check_rate
+
 SNAPSHOT_MODES = ("initial", "always", "never", "schema_only", "when_needed")
 
 
@@ -83,14 +85,22 @@ def subscribe(
     return df.filter(F.col(topic).rlike(f"^(?:{pattern})"))
 
 
-def kafka_source(spark: SparkSession, servers: str, topics: Sequence[str] | None = None, pattern: str | None = None):
-    """Stream of a broker's topics (needs the Kafka module on the cluster)."""
+def kafka_source(
+    spark: SparkSession,
+    servers: str,
+    topics: Sequence[str] | None = None,
+    pattern: str | None = None,
+    max_per_trigger: int | None = None,
+) -> DataFrame:
+    """Stream of a broker's topics, rate-limited when asked (needs the Kafka module on the cluster)."""
     if (topics is None) == (pattern is None):
         raise ValueError("give either topics or a pattern")
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-    if topics is not None:
-        return reader.option("subscribe", ",".join(topics)).load()
-    return reader.option("subscribePattern", pattern).load()
+    choice = {"subscribe": ",".join(topics)} if topics is not None else {"subscribePattern": pattern}
+    options = choice | {"kafka.bootstrap.servers": servers}
+    if max_per_trigger is not None:
+        check_rate(batch_rows=max_per_trigger)
+        options["maxOffsetsPerTrigger"] = str(max_per_trigger)
+    return spark.readStream.format("kafka").options(**options).load()
 
 
 def decode_json(df: DataFrame, schema: T.StructType, value: str = "value", envelope: bool = False) -> DataFrame:

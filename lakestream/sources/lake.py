@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestream.operators.evolution import align, evolve, force_optional
-from lakestream.operators.latest import identity, latest_per_key
+from lakestream.operators.latest import identity, latest_per_key, upsert_small
 
 COMMIT = "commit"
 
@@ -81,16 +81,22 @@ def read_upserted(
     schema: T.StructType | None = None,
     upto: int | None = None,
     only: DataFrame | None = None,
+    folded: int | None = None,
 ) -> DataFrame:
     """Table content: the latest row per key over all commits, soft deletes included.
 
-    ``only`` holds id values; other keys are dropped before rows are compared.
+    ``only`` holds id values; other keys are dropped before rows are compared. ``folded`` is the commit
+    :func:`fold` returned: it is unique by key, so the newer commits are joined to it and, while they are
+    small enough to broadcast, the bulk of the table is read without a shuffle.
     """
     log = read_log(spark, path, schema, upto)
     if only is not None:
         log = log.join(only.select(*ids), list(ids), "left_semi")
-    rows = latest_per_key(log, identity(ids, partition_by, scope), [*order, COMMIT])
-    return rows.drop(COMMIT)
+    order = [*order, COMMIT]
+    if folded is not None:
+        base, newer = log.filter(F.col(COMMIT) == folded), log.filter(F.col(COMMIT) > folded)
+        return upsert_small(base, newer, ids, order, partition_by, scope).drop(COMMIT)
+    return latest_per_key(log, identity(ids, partition_by, scope), order).drop(COMMIT)
 
 
 def fold(
@@ -102,10 +108,16 @@ def fold(
     partition_by: str | None = None,
     scope: str = "global",
     schema: T.StructType | None = None,
-) -> None:
-    """Rewrite a table into ``target`` as a single commit, so later reads merge only newer commits."""
+    folded: int | None = None,
+) -> int:
+    """Rewrite a table into ``target`` as a single commit and return its number.
+
+    Later commits go to ``target``; pass the number as ``folded`` when reading or folding it again.
+    """
     last = read_log(spark, path, schema).agg(F.max(COMMIT)).first()[0]
-    append(read_upserted(spark, path, ids, order, partition_by, scope, schema), target, last, partition_by)
+    rows = read_upserted(spark, path, ids, order, partition_by, scope, schema, folded=folded)
+    append(rows, target, last, partition_by)
+    return last
 
 
 def append_evolving(df: DataFrame, path: str, commit: int, schema: T.StructType | None) -> T.StructType:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -78,14 +79,30 @@ def split_to(
     raw: Sequence[str],
     dlq: Column,
 ) -> Callable[[DataFrame, int], None]:
-    """Tolerate errors: bad records go to the dead-letter table, the rest to ``good``."""
+    """Tolerate errors: bad records go to the dead-letter table, the rest to ``good``.
+
+    Kept batches spill to disk and are computed again where an executor is lost.
+    """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         rows, letters = split_errors(batch, checks, connector, raw, dlq)
-        append(letters, dlq_path, batch_id)
+        retry(lambda: append(letters, dlq_path, batch_id))
         good(rows, batch_id)
 
-    return commit
+    return keeping(commit)
+
+
+def keeping(commit: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Keep the batch while a commit reads it more than once."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            commit(kept, batch_id)
+        finally:
+            kept.unpersist()
+
+    return run
 
 
 def strict_to(good: Callable[[DataFrame, int], None], checks: Sequence[Check]) -> Callable[[DataFrame, int], None]:

@@ -59,6 +59,15 @@ def test_retry_backs_off_and_gives_up():
     assert clock.now <= 300 and len(calls) == len(clock.pauses) + 1
 
 
+def test_permanent_errors_are_not_retried(spark, records):
+    clock = Clock()
+    guarded = fail_fast(records, checks())
+    for write in (guarded.count, lambda: spark.table("no_such_table").count()):
+        with pytest.raises(PySparkException):
+            retry(write, sleep=clock.sleep, clock=lambda: clock.now)
+    assert clock.pauses == []
+
+
 def test_retry_returns_the_first_success():
     clock, results = Clock(), iter([OSError("down"), "done"])
 

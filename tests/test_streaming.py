@@ -86,7 +86,7 @@ def test_tolerant_and_strict_sinks(spark, records):
     assert read_log(spark, f"{base}/dlq").count() == bad > 0
     assert read_log(spark, f"{base}/good").count() == records.count() - bad
     with pytest.raises(StreamingQueryException, match="NoValue"):
-        run_available(stream, strict_to(lambda b, i: b.count(), bad_value()), f"{base}/c2")
+        run_available(stream, strict_to(append_to(f"{base}/strict"), bad_value()), f"{base}/c2")
 
 
 def test_restart_modes(spark):

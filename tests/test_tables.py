@@ -80,14 +80,28 @@ def test_commits_replay_and_fold(spark, rows):
     assert rows(upto) == expected(data[0::3], lambda r: r[:2])
     only = spark.createDataFrame([(0,)], "id bigint")
     assert {r["id"] for r in lake.read_upserted(spark, f"{base}/t", **options, only=only).collect()} == {0}
-    lake.fold(spark, f"{base}/t", f"{base}/f", **options)
+    last = lake.fold(spark, f"{base}/t", f"{base}/f", **options)
     folded = lake.read_log(spark, f"{base}/f")
     assert rows(folded.select("id", "part", "pos", "v")) == want
-    assert folded.select("commit").distinct().count() == 1
-    # later commits go on top of the folded one
-    lake.upsert_commit(spark.createDataFrame([(0, "a", 10_000, "last")], SCHEMA), f"{base}/f", 3, ["id"], ["pos"], "part", "partition")
-    last = lake.read_upserted(spark, f"{base}/f", **options).filter("id = 0 AND part = 'a'").first()
-    assert last["v"] == "last"
+    assert [r[0] for r in folded.select("commit").distinct().collect()] == [last] == [2]
+    # later commits go on top of the folded one: a newer row, an outdated one and a new key
+    later = [(0, "a", 10_000, "last"), (0, "b", -1, "outdated"), (99, "c", 1, "new")]
+    lake.upsert_commit(spark.createDataFrame(later, SCHEMA), f"{base}/f", 3, ["id"], ["pos"], "part", "partition")
+    both = [lake.read_upserted(spark, f"{base}/f", **options, folded=f) for f in (None, last)]
+    got = [rows(df.select("id", "part", "pos", "v")) for df in both]
+    assert got[0] == got[1] == expected(data + later, lambda r: r[:2])
+
+
+def test_folded_table_is_read_without_a_shuffle(spark):
+    base = work_dir(spark, "lake")
+    lake.upsert_commit(spark.range(1000).withColumn("pos", F.lit(0)), f"{base}/t", 0, ["id"], ["pos"])
+    last = lake.fold(spark, f"{base}/t", f"{base}/f", ["id"], ["pos"])
+    lake.upsert_commit(spark.range(5).withColumn("pos", F.lit(1)), f"{base}/f", 1, ["id"], ["pos"])
+    df = lake.read_upserted(spark, f"{base}/f", ["id"], ["pos"], folded=last)
+    assert df.agg(F.sum("pos")).first()[0] == 5 and df.count() == 1000
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    kept = plan[plan.index("Union") : plan.index("BroadcastExchange")]
+    assert "LeftAnti" in kept and "FileScan" in kept and "Exchange hashpartitioning" not in kept
 
 
 def test_evolution_types():
