@@ -113,14 +113,16 @@ def agg_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg_percentile",
-    """SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS p25, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.9) AS p90
+    """SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.9), 4) AS p90
       FROM orders GROUP BY 1""",
 )
 def agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     band = F.floor(F.col("o_totalprice") / 1000).cast("long")
-    return quantile_positions(
+    exact = quantile_positions(
         load(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", band, [0.25, 0.5, 0.9]
     )
+    # prices have two decimals, so four hold every interpolated value
+    return exact.select("o_orderpriority", *[F.round(p, 4).alias(p) for p in ("p25", "p50", "p90")])
 
 
 @query(
