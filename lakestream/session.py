@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,27 +31,34 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache
+def _local_folder(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="lakestream-")
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach, under ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a temporary folder: on a cluster a machine-local path would
     lose checkpoints and tables together with the executor.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+    if not base:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="lakestream-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+        base = _local_folder(context.applicationId)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lakestream/{label}-{uuid.uuid4().hex}"
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
     """A sibling session with RocksDB state and changelog checkpoints.
 
-    The state settings are read when a query starts; a sibling keeps them off the caller's session.
+    The state settings are read when a query starts; a sibling keeps them off the caller's session. Every
+    shuffle partition of a stateful query is a state store committed per batch: a local session gets no more
+    of them than it has cores, a cluster as many as its shuffle partitions say.
     """
     session = spark.newSession()
     for key, value in spark.conf.getAll.items():
@@ -62,6 +70,9 @@ def stream_session(spark: SparkSession) -> SparkSession:
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    if spark.sparkContext.master.startswith("local"):
+        partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return session
 
 

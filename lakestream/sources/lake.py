@@ -61,13 +61,14 @@ def upsert_commit(
 def read_log(
     spark: SparkSession, path: str, schema: T.StructType | None = None, upto: int | None = None
 ) -> DataFrame:
-    """All committed rows with their commit number. Give ``schema`` after columns were widened."""
+    """All committed rows with their commit number.
+
+    Give ``schema`` for a table whose columns evolved: it saves reading the footer of every file.
+    """
+    reader = spark.read
     if schema is not None:
-        full = T.StructType([*schema.fields, T.StructField(COMMIT, T.LongType(), True)])
-        log = spark.read.schema(full).parquet(path)
-    else:
-        log = spark.read.option("mergeSchema", "true").parquet(path)
-        log = log.withColumn(COMMIT, F.col(COMMIT).cast("long"))
+        reader = reader.schema(T.StructType([*schema.fields, T.StructField(COMMIT, T.LongType(), True)]))
+    log = reader.parquet(path).withColumn(COMMIT, F.col(COMMIT).cast("long"))
     return log if upto is None else log.filter(F.col(COMMIT) <= upto)
 
 
