@@ -93,13 +93,13 @@ def table_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "dlq_name",
     f"""WITH {TOPICS_SQL}, e AS (SELECT event_id, topic,
-        CASE event_id % 3 WHEN 0 THEN 'm3-debezium-errors' WHEN 1 THEN 'm3.iceberg.dlq' ELSE '' END AS explicit FROM topics)
+        CASE event_id % 3 WHEN 0 THEN 'm3-cdc-errors' WHEN 1 THEN 'm3.iceberg.dlq' ELSE '' END AS explicit FROM topics)
       SELECT event_id, coalesce(nullif(nullif(explicit, ''), 'm3.iceberg.dlq'), nullif(topic, '') || '_dlq', 'm3.iceberg.dlq') AS dlq FROM e""",
 )
 def dlq_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = topic_names(spark, sf_dir)
     # An explicit dead-letter name and the default one.
-    explicit = pick(("m3-debezium-errors", "m3.iceberg.dlq", ""), F.col("event_id"))
+    explicit = pick(("m3-cdc-errors", "m3.iceberg.dlq", ""), F.col("event_id"))
     return names.select("event_id", dlq_topic(F.col("topic"), explicit).alias("dlq"))
 
 
