@@ -7,6 +7,8 @@ that only one owner holds in a few documents looks live. All of it is DataFrame
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,10 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
+def of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -121,8 +127,7 @@ def secret_spans(docs: DataFrame, live_repos: int = 3, shared_owners: int = 3) -
     )
     every = judged.unionByName(bare)
     counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{KINDS[i][0]}")
-        for i in range(3)
+        F.size(F.filter("spans", of_kind(kind))).cast("long").alias(f"n_{kind}") for kind, *_ in KINDS[:3]
     ]
     only_base = F.filter("spans", lambda s: s["rank"] < 3)
     return every.select(
