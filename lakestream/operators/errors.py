@@ -73,8 +73,8 @@ def fail_fast(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
 
 
 def is_permanent(error: Exception) -> bool:
-    """Errors that come back on every attempt: a query that cannot be analysed, a record the plan rejects."""
-    return isinstance(error, AnalysisException) or "USER_RAISED_EXCEPTION" in str(error)
+    """Errors that come back on every attempt: a query that cannot be analysed, a value or record that is rejected."""
+    return isinstance(error, (AnalysisException, ValueError)) or "USER_RAISED_EXCEPTION" in str(error)
 
 
 def retry(

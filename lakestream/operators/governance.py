@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakestream.functions.naming import DEFAULT_COMPATIBILITY, value_subject
+from lakestream.operators.errors import Check
+from lakestream.operators.ordered import null_safe_join
 
 # Type a reader may use for data written with another type.
 PROMOTIONS = {
@@ -17,6 +19,10 @@ PROMOTIONS = {
 }
 
 
+# Levels a subject may have.
+LEVELS = ("BACKWARD", "FORWARD", "FULL", "NONE")
+
+
 def readable(written: Column, reader: Column) -> Column:
     """Can a reader of one type read data written with the other?"""
     ok = written == reader
@@ -53,14 +59,14 @@ def _violations(rule, old: Column, new: Column) -> Column:
     """``field:reason`` of every field of either version that breaks a rule."""
     none = F.lit(None).cast("struct<field: string, type: string, nullable: boolean, has_default: boolean>")
 
-    def find(fields: Column, name: Column) -> Column:
-        return F.get(F.filter(fields, lambda f: f["field"] == name), F.lit(0))
+    by_name = lambda fields: F.map_from_entries(F.transform(fields, lambda f: F.struct(f["field"], f)))
+    olds, news = by_name(old), by_name(new)
 
     def reason(name: Column, before: Column, after: Column) -> Column:
         return F.concat(name, F.lit(":"), rule(before, after))
 
-    present = F.transform(new, lambda f: reason(f["field"], find(old, f["field"]), f))
-    gone = F.filter(old, lambda f: ~F.exists(new, lambda g: g["field"] == f["field"]))
+    present = F.transform(new, lambda f: reason(f["field"], F.try_element_at(olds, f["field"]), f))
+    gone = F.filter(old, lambda f: ~F.map_contains_key(news, f["field"]))
     removed = F.transform(gone, lambda f: reason(f["field"], f, none))
     return F.array_compact(F.concat(present, removed))
 
@@ -69,7 +75,8 @@ def check_compat(versions: DataFrame, levels: DataFrame, width: int = 4096) -> D
     """Check each version of a subject against the one before it, by the subject's ``level``.
 
     BACKWARD: the new schema reads old data; FORWARD: the old schema reads new data; FULL: both; NONE: always
-    passes. ``violations`` lists ``field:rule`` pairs of the rules the level asks for.
+    passes. A subject without a level gets the default one; a level that is none of these is an error.
+    ``violations`` lists ``field:rule`` pairs of the rules the level asks for.
 
     Fields are shuffled once, by subject and run of ``width`` versions; a run is gathered into one row per
     version, whose size is the number of its fields. The last version of a run is handed to the next run.
@@ -88,10 +95,15 @@ def check_compat(versions: DataFrame, levels: DataFrame, width: int = 4096) -> D
     across = Window.partitionBy("subject").orderBy("_run")
     handed = linked.filter("_is_last").select(*run, F.lag("new").over(across).alias("_handed"))
     pairs = (
-        linked.join(handed.filter("_handed IS NOT NULL"), run, "left")
+        null_safe_join(linked, handed.filter("_handed IS NOT NULL"), run, "left")
         .withColumn("old", F.coalesce("_old", "_handed"))
         .filter("old IS NOT NULL")
     )
+    known = F.coalesce("level", F.lit(DEFAULT_COMPATIBILITY))
+    unknown = F.raise_error(F.concat(F.lit("unknown compatibility level: "), known)).cast("string")
+    levelled = pairs.join(levels.select("subject", "level"), "subject", "left").withColumn(
+        "level", F.when(known.isin(*LEVELS), known).otherwise(unknown)
+    )
     old, new, level = F.col("old"), F.col("new"), F.col("level")
     nothing = F.array().cast("array<string>")
     asked = F.concat(
@@ -99,7 +111,7 @@ def check_compat(versions: DataFrame, levels: DataFrame, width: int = 4096) -> D
         F.when(level.isin("FORWARD", "FULL"), _violations(forward_rule, old, new)).otherwise(nothing),
     )
     return (
-        pairs.join(levels.select("subject", "level"), "subject")
+        levelled
         .select("subject", "version", "level", F.array_join(F.sort_array(asked), ", ").alias("violations"))
         .withColumn("ok", F.col("violations") == "")
     )
@@ -109,7 +121,7 @@ def latest_schema(topics: DataFrame, versions: DataFrame) -> DataFrame:
     """Latest version and its fields per topic; ``schema_found`` is false for a topic without a subject."""
     newest = versions.groupBy("subject").agg(F.max("version").alias("version"))
     fields = (
-        versions.join(newest, ["subject", "version"], "left_semi")
+        null_safe_join(versions, newest, ["subject", "version"], "left_semi")
         .groupBy("subject", "version")
         .agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "field", "type"))), ", ").alias("fields"))
     )
@@ -136,6 +148,15 @@ def conform(df: DataFrame, schema: dict[str, tuple[str, bool]]) -> DataFrame:
     return df.withColumn("violations", F.array_compact(F.array(*reasons)))
 
 
+def conformance_checks(schema: dict[str, tuple[str, bool]]) -> list[Check]:
+    """Checks for :func:`split_errors`, so that records that do not conform become dead letters."""
+    return [
+        Check("conform", "MissingField" if reason == "missing" else "WrongType", f"{name}:{reason}", why == reason)
+        for name, why in field_violations(schema).items()
+        for reason in ("missing", "type")
+    ]
+
+
 def conformance(df: DataFrame, schema: dict[str, tuple[str, bool]]) -> DataFrame:
     """Violations per field and reason, counted in one pass."""
     counts = [

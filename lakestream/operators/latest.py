@@ -111,15 +111,15 @@ def compact(
 ) -> DataFrame:
     """Keep every record younger than ``lag`` and, of the older ones, the latest per key.
 
-    Records inside the lag never enter the shuffle.
+    Records inside the lag never enter the shuffle. A record without a time has no age and stays.
     """
-    old = F.col(ts) < now - F.lit(lag)
+    old = F.coalesce(F.col(ts) < now - F.lit(lag), F.lit(False))
     return log.filter(~old).unionByName(latest_per_key(log.filter(old), key, [offset]))
 
 
 def retain(log: DataFrame, ts: str, now: Column, retention: timedelta) -> DataFrame:
-    """Drop records past the retention age."""
-    return log.filter(F.col(ts) >= now - F.lit(retention))
+    """Drop records past the retention age; one without a time has none and stays."""
+    return log.filter(F.col(ts).isNull() | (F.col(ts) >= now - F.lit(retention)))
 
 
 def clean(

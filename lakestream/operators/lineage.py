@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +23,11 @@ def lineage_edges(events: DataFrame) -> DataFrame:
 
 
 def lineage_closure(
-    spark: SparkSession, edges: DataFrame, start: str, direction: str = "downstream", max_hops: int = 1000
+    spark: SparkSession, edges: DataFrame, start: str, direction: str = "downstream"
 ) -> DataFrame:
     """Datasets reachable from ``start`` with their distance in jobs; cycles are fine.
 
-    Breadth-first: each hop is two joins of the frontier with the edges. Edges and frontiers are tables in the
+    Breadth-first until a hop finds nothing new: each is two joins of the frontier with the edges. Edges and frontiers are tables in the
     shared folder, so plans stay short and survive the loss of an executor, and the measured size of a
     frontier decides whether it is broadcast or the edges are shuffled.
     """
@@ -45,7 +47,7 @@ def lineage_closure(
         return spark.read.schema("node string, distance int").parquet(f"{base}/reached{hops}")
 
     spark.range(1).select(F.lit(start).alias("node")).write.parquet(f"{base}/reached/distance=0")
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1):
         frontier = read(f"/distance={hop - 1}").select("node")
         jobs = leave_dataset.join(frontier, "node").select(F.col("next").alias("node")).distinct()
         reached = leave_job.join(jobs, "node").select(F.col("next").alias("node")).distinct()

@@ -1,9 +1,10 @@
 """Windows over long ordered groups, split so that no group is sorted in one task.
 
 A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. Here a key's rows are first cut into
-chunks that follow the order (a day of time, a band of values, a run of positions). Work inside a chunk is a
-window over ``(key, chunk)``; what crosses chunks is either a per-chunk summary (totals, last value), small
-enough for a window over the key, or a few neighbouring rows copied into the next chunk (a halo).
+chunks that follow the order: a band of values, a run of positions, or slices of time packed by their measured
+row counts. Work inside a chunk is a window over ``(key, chunk)``; what crosses chunks is either a per-chunk summary
+(totals, last value), small enough for a window over the key, or a few neighbouring rows copied into the next chunk (a
+halo). A null key is a key, and a null time stands last.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
+#: Rows a packed chunk aims at.
+CHUNK_ROWS = 65_536
 
 
 def micros(ts: Column) -> Column:
@@ -21,8 +24,39 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def time_chunk(ts: Column, seconds: int) -> Column:
-    return F.floor(micros(ts) / F.lit(seconds * MICROS)).cast("long")
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null equals null; the columns of ``on`` are the left ones."""
+    others = [c for c in right.columns if c not in on]
+    named = right.select(*[F.col(c).alias(f"_on_{c}") for c in on], *others)
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    joined = left.join(named, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_on_{c}" for c in on])
+
+
+def packed(
+    df: DataFrame, keys: Sequence[str], at: Column, tie: str | None = None, width: int = MICROS, rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Add ``_chunk``, a number that follows ``at`` within the key, such that a chunk holds about ``rows`` rows.
+
+    Rows are counted per key and slice of ``width``; whole slices go into a chunk until it is full, so it never holds
+    more than ``rows`` plus one slice, however the rows lie in time. Rows with a null ``at`` come last, sliced
+    by ``tie``.
+    """
+    none = F.lit(None).cast("long")
+    cut = df.withColumns(
+        {
+            "_slice": F.floor(at / F.lit(width)).cast("long"),
+            "_rest": none if tie is None else F.when(at.isNull(), F.floor(F.col(tie) / 4096)).cast("long"),
+        }
+    )
+    places = [*keys, "_slice", "_rest"]
+    counts = cut.groupBy(*places).agg(F.count("*").alias("_n"))
+    order = [F.col(c).asc_nulls_last() for c in ("_slice", "_rest")]
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    chunk = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows).cast("long")
+    return null_safe_join(cut, counts.select(*places, chunk.alias("_chunk")), places).drop("_slice", "_rest")
 
 
 def running_sums(
@@ -46,7 +80,7 @@ def running_sums(
         *keys, chunk, *[F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums]
     )
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = inputs.join(before, [*keys, chunk])
+    joined = null_safe_join(inputs, before, [*keys, chunk])
     return joined.select(
         *df.columns, *[(F.sum(f"_in_{n}").over(inside) + F.col(f"_before_{n}")).alias(n) for n in sums]
     )
@@ -92,8 +126,8 @@ def over_positions(
 ) -> DataFrame:
     """Add ``{name: (aggregate, first, last)}`` over positions ``[p + first, p + last]`` of the key.
 
-    With dense row numbers as positions this is a ROWS frame, and ``(min(x), -1, -1)`` is ``lag(x)``; with
-    microseconds it is a RANGE frame.
+    Positions are dense row numbers, so this is a ROWS frame, and ``(min(x), -1, -1)`` is ``lag(x)``. A frame is
+    computed anew for each row: for wide frames take :func:`sums_between`.
     """
     before = max(0, *(-lo for _, lo, _ in columns.values()))
     after = max(0, *(hi for _, _, hi in columns.values()))
@@ -103,6 +137,39 @@ def over_positions(
     return haloed.withColumns(framed).filter("_own").drop("_own", "_chunk")
 
 
+def sums_between(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    first: int,
+    last: int,
+    sums: dict[str, Column],
+    rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Add to each left row the ``sums`` over the key's right rows with ``at`` in ``[p + first, p + last]``.
+
+    A sum over a frame is the difference of two running sums, one read at each of its ends. Right rows and both
+    ends of every left row stand in one order, so the work grows with the rows, not with the frame. Left rows
+    must differ from each other (a unique column among them); ``at`` is a whole number, not null.
+    """
+    ends = F.explode(
+        F.array(
+            F.struct((F.col(at) + last).alias("_at"), F.lit(1).alias("_sign")),
+            F.struct((F.col(at) + first - 1).alias("_at"), F.lit(-1).alias("_sign")),
+        )
+    )
+    weights = {f"_w_{n}": c for n, c in sums.items()}
+    probes = left.withColumn("_end", ends).select(*left.columns, "_end.*")
+    # a right row at an end's position counts, so it stands before the end
+    points = right.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_sign"), *[c.alias(n) for n, c in weights.items()])
+    both = packed(points.unionByName(probes, allowMissingColumns=True), keys, F.col("_at"), rows=rows)
+    values = {f"_run_{n}": F.coalesce(F.col(f"_w_{n}"), F.lit(0)) for n in sums}
+    run = running_sums(both, keys, "_chunk", [F.col("_at"), F.abs("_sign")], values)
+    totals = [F.sum(F.col("_sign") * F.col(f"_run_{n}")).alias(n) for n in sums]
+    return run.filter("_sign != 0").groupBy(*left.columns).agg(*totals)
+
+
 def last_known(
     df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: str, name: str
 ) -> DataFrame:
@@ -122,7 +189,7 @@ def last_known(
         *keys, chunk, F.last("_seen", ignorenulls=True).over(earlier).alias("_carried")
     )
     return (
-        seen.join(carried, [*keys, chunk])
+        null_safe_join(seen, carried, [*keys, chunk])
         .withColumn(name, F.coalesce("_seen", "_carried"))
         .drop("_seen", "_is_last", "_carried")
     )
@@ -131,17 +198,17 @@ def last_known(
 def quantile_positions(
     df: DataFrame, keys: Sequence[str], value: str, band: Column, fractions: Sequence[float]
 ) -> DataFrame:
-    """Exact interpolated percentiles per key, named ``p<percent>``.
+    """Exact interpolated percentiles per key, named ``p<percent>``; null values do not count.
 
     Works on counts per distinct value, cut into bands of values, so neither a key with many rows nor one
-    with many values is held in one task.
+    with many values is held in one task. A key with null values only has null percentiles.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n"))
     cumulative = running_sums(
         counts.withColumn("_band", band), keys, "_band", [F.col(value)], {"_upto": F.col("_n")}
     )
     totals = counts.groupBy(*keys).agg((F.sum("_n") - 1).alias("_span"))
-    placed = cumulative.join(totals, list(keys))
+    placed = null_safe_join(cumulative, totals, keys)
     out = []
     for f in fractions:
         at = F.col("_span") * F.lit(f)
@@ -153,37 +220,51 @@ def quantile_positions(
     return placed.groupBy(*keys).agg(*out)
 
 
-def ranked(
-    df: DataFrame, keys: Sequence[str], value: str, band: Column, tie: str, tie_band: Column, tiles: int
-) -> DataFrame:
-    """Add every ranking of ``value`` descending within the key; ``tie`` orders equal values.
+def ranked(df: DataFrame, keys: Sequence[str], value: str, band: Column, tie: str, tiles: int) -> DataFrame:
+    """Add every ranking of ``value`` descending within the key, null last; ``tie`` orders equal values.
 
-    Ranks come from counts per distinct value, so rows are shuffled by key and value, never by key alone.
+    Rows are ranked inside their band of values, and the rows and distinct values of higher bands are added.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_band", band)
-    placed = running_sums(
-        counts, keys, "_band", [F.col(value).desc()], {"_upto": F.col("_n"), "dense_rank": F.lit(1)}, True
+    rows = df.withColumn("_band", band)
+    bands = rows.groupBy(*keys, "_band").agg(
+        F.count("*").alias("_n"), (F.count_distinct(value) + F.max(F.col(value).isNull().cast("int"))).alias("_values")
     )
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranks = placed.join(totals, keys).select(
+    higher = Window.partitionBy(*keys).orderBy(F.col("_band").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select(
         *keys,
-        value,
-        (F.col("_upto") - F.col("_n") + 1).alias("rank"),
-        "dense_rank",
-        F.when(F.col("_total") > 1, (F.col("_upto") - F.col("_n")) / (F.col("_total") - 1))
-        .otherwise(0.0)
-        .alias("percent_rank"),
-        (F.col("_upto") / F.col("_total")).alias("cume_dist"),
-        "_total",
+        "_band",
+        F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_rows_above"),
+        F.coalesce(F.sum("_values").over(higher), F.lit(0)).alias("_values_above"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+    )
+    inside = Window.partitionBy(*keys, "_band")
+    by_value, by_row = inside.orderBy(F.col(value).desc_nulls_last()), inside.orderBy(F.col(value).desc_nulls_last(), tie)
+    placed = rows.withColumns(
+        {
+            "rank": F.rank().over(by_value),
+            "dense_rank": F.dense_rank().over(by_value),
+            "_upto": F.count("*").over(by_value),
+            "row_number": F.row_number().over(by_row),
+        }
+    )
+    placed = null_safe_join(placed, bands, [*keys, "_band"])
+    above = F.col("_rows_above")
+    placed = placed.withColumns(
+        {
+            "rank": F.col("rank") + above,
+            "dense_rank": F.col("dense_rank") + F.col("_values_above"),
+            "row_number": F.col("row_number") + above,
+            "cume_dist": (F.col("_upto") + above) / F.col("_total"),
+        }
     )
-    rows = number_rows(df.withColumn("_tie", tie_band), [*keys, value], "_tie", [F.col(tie)], "_in_tie")
-    joined = rows.drop("_tie").join(ranks, [*keys, value])
-    number = F.col("rank") + F.col("_in_tie") - 1
-    base, extra = F.floor(F.col("_total") / tiles), F.col("_total") % tiles
+    share = F.when(F.col("_total") > 1, (F.col("rank") - 1) / (F.col("_total") - 1)).otherwise(0.0)
+    number, total = F.col("row_number"), F.col("_total")
+    base, extra = F.floor(total / tiles), total % tiles
     # the first ``extra`` tiles hold one row more
     wide = extra * (base + 1)
     tile = F.when(number <= wide, F.floor((number - 1) / (base + 1)) + 1).otherwise(
         extra + F.floor((number - 1 - wide) / base) + 1
     )
-    return joined.withColumns({"row_number": number, "ntile": tile.cast("int")}).drop("_in_tie", "_total")
+    ranks = ("rank", "dense_rank", "cume_dist", "row_number")
+    return placed.select(*df.columns, *ranks, share.alias("percent_rank"), tile.cast("int").alias("ntile"))

@@ -46,9 +46,9 @@ def unwrap(
     mode = delete_mode if delete_mode in DELETE_MODES else "rewrite"
     if tombstones == "drop":
         df = drop_tombstones(df, value)
-    deleted = F.col(f"{value}.op") == "d"
+    deleted = F.coalesce(F.col(f"{value}.op") == "d", F.lit(False))
     if mode == "drop":
-        df = df.filter(F.col(value).isNull() | ~deleted)
+        df = df.filter(~deleted)
     image = F.col(f"{value}.after")
     if mode == "rewrite":
         image = F.when(deleted, F.col(f"{value}.before")).otherwise(image)

@@ -7,7 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakestream.operators.ordered import MICROS, last_known, micros, over_positions, time_chunk
+from lakestream.operators.ordered import CHUNK_ROWS, MICROS, last_known, micros, packed, sums_between
+
+
+def can_match(keys: Sequence[str], ts: str) -> Column:
+    """A join on keys and time finds nothing for a row in which one of them is null."""
+    known = F.col(ts).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return known
 
 
 def asof_join(
@@ -17,48 +25,62 @@ def asof_join(
     ts: str,
     tie: str,
     values: Sequence[str],
-    chunk_seconds: int = 86_400,
+    forward: bool = False,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """For each left row the latest right row of the key at or before it; ``values`` are null without one.
 
-    Left and right share ``keys``, ``ts`` and the unique column ``tie`` that orders rows of the same instant.
+    ``forward`` takes the earliest right row after it instead. Left and right share ``keys``, ``ts`` and the unique
+    column ``tie`` that orders rows of the same instant. A left row with a null key or time stays, unmatched.
     """
     match = F.struct(*[F.col(v) for v in values])
     others = [c for c in left.columns if c not in (*keys, ts, tie)]
-    lookup = right.select(*keys, ts, tie, match.alias("_match"))
-    rows = left.select(*keys, ts, tie, F.struct(*[F.col(c) for c in others]).alias("_row")).unionByName(
-        lookup, allowMissingColumns=True
-    )
-    rows = rows.withColumns(
+    known = can_match(keys, ts)
+    at = micros(F.col(ts)) * (-1 if forward else 1)
+    lookup = right.filter(known).select(*keys, ts, tie, match.alias("_match"))
+    side = left.filter(known).select(*keys, ts, tie, F.struct(*[F.col(c) for c in others]).alias("_row"))
+    both = side.unionByName(lookup, allowMissingColumns=True).withColumns(
         {
-            "_chunk": time_chunk(F.col(ts), chunk_seconds),
-            # a right row of the same instant counts as already known
-            "_side": F.when(F.col("_match").isNull(), 1).otherwise(0),
+            "_at": at,
+            # a right row of the same instant is already known backwards, and not yet forwards
+            "_side": F.when(F.col("_match").isNull() == F.lit(forward), 0).otherwise(1),
         }
     )
-    known = last_known(rows, keys, "_chunk", [ts, "_side", tie], "_match", "_known")
-    return known.filter("_side = 1").select(
+    both = packed(both, keys, F.col("_at"), rows=rows)
+    found = last_known(both, keys, "_chunk", ["_at", "_side", tie], "_match", "_known").filter("_match IS NULL")
+    matched = found.select(
         *keys, ts, tie, *[F.col(f"_row.{c}").alias(c) for c in others], *[F.col(f"_known.{v}").alias(v) for v in values]
     )
+    return matched.unionByName(left.filter(~known), allowMissingColumns=True)
 
 
 def interval_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, seconds: int, columns: dict[str, Column]
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    tie: str,
+    seconds: int,
+    count: str,
+    first: str,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Summarise, per left row, the right rows of its key in ``(ts, ts + seconds]``.
+    """Per left row, how many right rows of its key lie in ``(ts, ts + seconds]`` and the first one's microseconds.
 
-    ``columns`` are aggregates over the right rows, with ``right_ts`` as their time in microseconds. Pairs are
-    never built: both sides share one window per key and time slice, so a busy key costs its rows, not their
-    square.
+    Pairs are never built: the count is a difference of running sums, and the first row is the next one after the
+    left row, if it is within the time. ``tie`` is unique on the left. A left row with a null key or time stays, with
+    a count of 0.
     """
-    side = left.withColumns({"_left": F.lit(True), "right_ts": F.lit(None).cast("long")}).unionByName(
-        right.select(*keys, ts, F.lit(False).alias("_left"), micros(F.col(ts)).alias("right_ts")),
-        allowMissingColumns=True,
+    known, width = can_match(keys, ts), seconds * MICROS
+    placed = left.withColumn("_from", micros(F.col(ts)))
+    points = right.filter(known).select(*keys, ts, F.col(tie), micros(F.col(ts)).alias("_from"))
+    counted = sums_between(placed.filter(known), points, keys, "_from", 1, width, {count: F.lit(1)}, rows)
+    following = asof_join(
+        counted, points.withColumn("_next", F.col("_from")).drop("_from"), keys, ts, tie, ["_next"], forward=True, rows=rows
     )
-    placed = side.withColumn("_at", micros(F.col(ts)))
-    width = seconds * MICROS
-    framed = over_positions(placed, keys, "_at", {n: (agg, 1, width) for n, agg in columns.items()}, width)
-    return framed.filter("_left").drop("_left", "_at", "right_ts")
+    near = F.when(F.col("_next") <= F.col("_from") + width, F.col("_next"))
+    unknown = placed.filter(~known).withColumns({count: F.lit(0).cast("long"), first: F.lit(None).cast("long")})
+    return following.withColumn(first, near).drop("_next").unionByName(unknown).drop("_from")
 
 
 def range_join(
@@ -66,16 +88,21 @@ def range_join(
 ) -> DataFrame:
     """Rows of ``points`` with the ranges ``[low, high)`` that hold them.
 
-    Ranges are cut into cells of ``width``; the join is then an equi-join on the cell, and a cell with very
-    many points is split at run time as any skewed join key.
+    A range lies in cells of its own size: the smallest power of two times ``width`` it fits into, of which it
+    touches two at most, so a wide range is no more rows than a narrow one. The join is an equi-join on size and
+    cell; a point looks into one cell of each size there is, and a cell with very many points is split at run time
+    as any skewed join key. A range or point with a null bound, value or key matches nothing.
     """
-    cells = F.sequence(
-        F.floor(F.col(low) / F.lit(width)).cast("long"), F.floor(F.col(high) / F.lit(width)).cast("long")
-    )
-    cut = ranges.withColumn("_cell", F.explode(cells))
-    placed = points.withColumn("_cell", F.floor(F.col(point) / F.lit(width)).cast("long"))
+    span = F.greatest((F.col(high) - F.col(low)) / F.lit(width), F.lit(1.0))
+    sized = ranges.filter(F.col(high) > F.col(low)).withColumn("_size", F.ceil(F.log2(span)).cast("int"))
+    cell = lambda value: F.floor(value / (F.lit(width) * F.pow(F.lit(2.0), F.col("_size")))).cast("long")
+    cut = sized.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col(low)), cell(F.col(high))))))
+    # exponents of doubles: about two thousand different ones at the very most
+    sizes = sorted(row["_size"] for row in sized.select("_size").distinct().collect() if row["_size"] is not None)
+    each = F.explode(F.array(*[F.lit(size) for size in sizes]).cast("array<int>"))
+    placed = points.withColumn("_size", each).withColumn("_cell", cell(F.col(point)))
     inside = (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
-    return placed.join(cut, ["_cell", *keys]).filter(inside).drop("_cell")
+    return placed.join(cut, ["_size", "_cell", *keys]).filter(inside).drop("_size", "_cell")
 
 
 def sessionize(
@@ -85,22 +112,20 @@ def sessionize(
     tie: str,
     gap_seconds: int,
     sums: dict[str, Column],
-    chunk_seconds: int = 86_400,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Sessions per key: a new one starts when the gap to the previous row reaches ``gap_seconds``.
 
     Output: keys, ``session_start``, ``session_end`` (last row plus gap) and the ``sums``. Sessions are built
-    inside chunks of time; only the first and last of each chunk can continue across its border, and only
-    those are looked at per key.
+    inside chunks of rows; only the first and last of each chunk can continue across its border, and only
+    those are looked at per key. A row without a time is a session of its own, without start and end.
     """
     gap = gap_seconds * MICROS
     inside = Window.partitionBy(*keys, "_chunk").orderBy("_at", tie)
-    rows = df.withColumns(
-        {"_at": micros(F.col(ts)), "_chunk": time_chunk(F.col(ts), chunk_seconds)}
-        | {f"_in_{n}": c for n, c in sums.items()}
-    )
+    inputs = df.withColumns({"_at": micros(F.col(ts))} | {f"_in_{n}": c for n, c in sums.items()})
+    timed = packed(inputs.filter("_at IS NOT NULL"), keys, F.col("_at"), rows=rows)
     starts = F.col("_at") - F.lag("_at").over(inside) >= gap
-    counted = rows.withColumn("_new", F.when(starts, 1).otherwise(0)).withColumn(
+    counted = timed.withColumn("_new", F.when(starts, 1).otherwise(0)).withColumn(
         "_sid", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     )
     parts = counted.groupBy(*keys, "_chunk", "_sid").agg(
@@ -109,7 +134,7 @@ def sessionize(
     in_chunk = Window.partitionBy(*keys, "_chunk")
     parts = parts.withColumn("_edge", (F.col("_sid") == 0) | (F.col("_sid") == F.max("_sid").over(in_chunk)))
 
-    per_key = Window.partitionBy(*keys).orderBy("_first")
+    per_key = Window.partitionBy(*keys).orderBy("_first", "_chunk", "_sid")
     apart = F.col("_first") - F.lag("_last").over(per_key) >= gap
     edges = (
         parts.filter("_edge")
@@ -119,7 +144,10 @@ def sessionize(
         .agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), *[F.sum(n).alias(n) for n in sums])
         .drop("_run")
     )
-    whole = parts.filter(~F.col("_edge")).select(*edges.columns).unionByName(edges)
+    untimed = inputs.filter("_at IS NULL").select(
+        *keys, F.col("_at").alias("_first"), F.col("_at").alias("_last"), *[F.col(f"_in_{n}").alias(n) for n in sums]
+    )
+    whole = parts.filter(~F.col("_edge")).select(*edges.columns).unionByName(edges).unionByName(untimed)
     return whole.select(
         *keys,
         F.timestamp_micros("_first").cast("timestamp_ntz").alias("session_start"),

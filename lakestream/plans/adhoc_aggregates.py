@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakestream.operators.ordered import quantile_positions
+from lakestream.plans.fixtures import HOLES_SQL, holey_orders
 from lakestream.plans.registry import query
 from lakestream.session import load
 
@@ -50,12 +51,33 @@ def agg_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("agg_approx")
+@query(
+    "agg_approx",
+    "SELECT l_returnflag, count(*) AS n, true AS parts_within, true AS quartiles_within FROM lineitem GROUP BY 1",
+)
 def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_partkey", 0.02).alias("parts"),
-        F.percentile_approx("l_extendedprice", [0.25, 0.5, 0.75], 10_000).alias("price_quartiles"),
+    """Estimates per group, held against the exact values: within five standard errors, and ranks within the accuracy."""
+    lines = load(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", "l_extendedprice")
+    error, accuracy, fractions = 0.02, 10_000, [0.25, 0.5, 0.75]
+    estimates = lines.groupBy("l_returnflag").agg(
+        F.count("*").alias("n"),
+        F.approx_count_distinct("l_partkey", error).alias("parts"),
+        F.percentile_approx("l_extendedprice", fractions, accuracy).alias("quartiles"),
+    )
+    exact = lines.groupBy("l_returnflag", "l_partkey").count().groupBy("l_returnflag").agg(F.count("*").alias("exact"))
+    at = [F.element_at("quartiles", i + 1) for i in range(3)]
+    # a value at rank r has at most r rows below it and at least r up to it
+    ranks = [(F.count_if(F.col("l_extendedprice") < v), F.count_if(F.col("l_extendedprice") <= v)) for v in at]
+    within = [
+        (below <= F.lit(f + 1 / accuracy) * F.count("*") + 1) & (upto >= F.lit(f - 1 / accuracy) * F.count("*") - 1)
+        for f, (below, upto) in zip(fractions, ranks, strict=True)
+    ]
+    ranked = lines.join(estimates, "l_returnflag").groupBy("l_returnflag").agg(
+        (within[0] & within[1] & within[2]).alias("quartiles_within")
     )
+    close = F.abs(F.col("parts") - F.col("exact")) <= 5 * error * F.col("exact") + 1
+    joined = estimates.join(exact, "l_returnflag").join(ranked, "l_returnflag")
+    return joined.select("l_returnflag", "n", close.alias("parts_within"), "quartiles_within")
 
 
 @query(
@@ -113,13 +135,13 @@ def agg_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg_percentile",
-    """SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.9), 4) AS p90
-      FROM orders GROUP BY 1""",
+    f"""WITH {HOLES_SQL} SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.9), 4) AS p90
+      FROM o GROUP BY 1""",
 )
 def agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     band = F.floor(F.col("o_totalprice") / 1000).cast("long")
     exact = quantile_positions(
-        load(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", band, [0.25, 0.5, 0.9]
+        holey_orders(spark, sf_dir), ["o_orderpriority"], "o_totalprice", band, [0.25, 0.5, 0.9]
     )
     # prices have two decimals, so four hold every interpolated value
     return exact.select("o_orderpriority", *[F.round(p, 4).alias(p) for p in ("p25", "p50", "p90")])

@@ -153,6 +153,18 @@ def sample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").filter(F.md5(F.col("event_id").cast("string")) < "1a").select("event_id", "user_id")
 
 
-@query("sample_seeded")
+@query(
+    "sample_seeded",
+    "SELECT event_type, count(*) AS n, true AS size_within, true AS all_in_table FROM events GROUP BY 1",
+)
 def sample_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").sample(fraction=0.1, seed=7).select("event_id", "user_id")
+    """A tenth of the rows drawn at random, described per event type: within six standard deviations, and rows of the table."""
+    events = load(spark, sf_dir, "events").select("event_id", "event_type")
+    drawn = events.sample(fraction=0.1, seed=7).withColumn("drawn", F.lit(1))
+    sizes = drawn.groupBy("event_type").agg(F.count("*").alias("size"))
+    found = events.join(drawn.select("event_id", "drawn"), "event_id", "left").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count("drawn").alias("found")
+    )
+    described = found.join(sizes, "event_type", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    near = F.abs(F.col("size") - F.col("n") * 0.1) <= 6 * F.sqrt(F.col("n") * 0.09) + 1
+    return described.select("event_type", "n", near.alias("size_within"), (F.col("size") == F.col("found")).alias("all_in_table"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakestream.operators.temporal import asof_join, interval_join, range_join
+from lakestream.plans.fixtures import HOLES_SQL, holey_events
 from lakestream.plans.registry import query
-from lakestream.session import load, small_side
+from lakestream.session import load
 
 
 def _money(name: str):
@@ -71,11 +72,11 @@ def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions narrow the facts first; each is broadcast only while its size allows."""
     nations = load(spark, sf_dir, "nation").join(
-        small_side(load(spark, sf_dir, "region").filter("r_name = 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey")
+        load(spark, sf_dir, "region").filter("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     customers = (
         load(spark, sf_dir, "customer")
-        .join(small_side(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("c_custkey", "c_nationkey", "n_name")
     )
     suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -86,11 +87,11 @@ def join_star(spark: SparkSession, sf_dir: str) -> DataFrame:
             & (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
         )
         .select("o_orderkey", "o_custkey")
-        .join(small_side(customers), F.col("o_custkey") == F.col("c_custkey"))
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
     )
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        small_side(suppliers),
+        suppliers,
         (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")),
     )
     return joined.groupBy("n_name").agg(_revenue().alias("revenue"))
@@ -188,13 +189,13 @@ def join_range_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "join_asof",
-    """SELECT p.event_id, p.user_id, p.ts, c.click_id, c.click_value
-      FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') p
-      ASOF LEFT JOIN (SELECT user_id, ts, event_id AS click_id, value AS click_value FROM events WHERE event_type = 'click') c
+    f"""WITH {HOLES_SQL} SELECT p.event_id, p.user_id, p.ts, c.click_id, c.click_value
+      FROM (SELECT event_id, user_id, ts FROM e WHERE event_type = 'purchase') p
+      ASOF LEFT JOIN (SELECT user_id, ts, event_id AS click_id, value AS click_value FROM e WHERE event_type = 'click') c
       ON p.user_id = c.user_id AND p.ts >= c.ts""",
 )
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events")
+    ev = holey_events(spark, sf_dir)
     purchases = ev.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
     clicks = ev.filter("event_type = 'click'").select(
         "user_id", "ts", "event_id", F.col("event_id").alias("click_id"), F.col("value").alias("click_value")
@@ -204,21 +205,16 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "join_interval",
-    """SELECT c.event_id, c.user_id, count(p.event_id) AS purchases, min(epoch_us(p.ts)) AS first_purchase_us
-      FROM (SELECT * FROM events WHERE event_type = 'click') c LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
+    f"""WITH {HOLES_SQL} SELECT c.event_id, c.user_id, count(p.event_id) AS purchases, min(epoch_us(p.ts)) AS first_purchase_us
+      FROM (SELECT * FROM e WHERE event_type = 'click') c LEFT JOIN (SELECT * FROM e WHERE event_type = 'purchase') p
       ON p.user_id = c.user_id AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR GROUP BY 1, 2""",
 )
 def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events")
+    ev = holey_events(spark, sf_dir)
     clicks = ev.filter("event_type = 'click'").select("event_id", "user_id", "ts")
-    purchases = ev.filter("event_type = 'purchase'").select("user_id", "ts")
+    purchases = ev.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
     found = interval_join(
-        clicks,
-        purchases,
-        ["user_id"],
-        "ts",
-        6 * 3600,
-        {"purchases": F.count("right_ts"), "first_purchase_us": F.min("right_ts")},
+        clicks, purchases, ["user_id"], "ts", "event_id", 6 * 3600, "purchases", "first_purchase_us"
     )
     return found.drop("ts")
 
@@ -260,15 +256,15 @@ def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHERE l_quantity < (SELECT 0.2 * avg(l2.l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey) GROUP BY 1""",
 )
 def subq_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load(spark, sf_dir, "lineitem").createOrReplaceTempView("lakestream_lineitem")
-    load(spark, sf_dir, "part").createOrReplaceTempView("lakestream_part")
     return spark.sql(
         """
         SELECT p_brand, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price
-        FROM lakestream_lineitem l JOIN lakestream_part p ON p.p_partkey = l.l_partkey
-        WHERE l.l_quantity < (SELECT 0.2 * avg(l2.l_quantity) FROM lakestream_lineitem l2 WHERE l2.l_partkey = p.p_partkey)
+        FROM {lines} l JOIN {part} p ON p.p_partkey = l.l_partkey
+        WHERE l.l_quantity < (SELECT 0.2 * avg(l2.l_quantity) FROM {lines} l2 WHERE l2.l_partkey = p.p_partkey)
         GROUP BY p_brand
-        """
+        """,
+        lines=load(spark, sf_dir, "lineitem"),
+        part=load(spark, sf_dir, "part"),
     )
 
 
@@ -281,14 +277,14 @@ def subq_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cte_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the last customer of each nation up a tree in which customer k hangs below k / 2."""
-    load(spark, sf_dir, "customer").createOrReplaceTempView("lakestream_customer")
     return spark.sql(
         """
         WITH RECURSIVE chain AS (
-          SELECT max(c_custkey) AS head, max(c_custkey) AS custkey, 0 AS depth FROM lakestream_customer GROUP BY c_nationkey
+          SELECT max(c_custkey) AS head, max(c_custkey) AS custkey, 0 AS depth FROM {customer} GROUP BY c_nationkey
           UNION ALL
           SELECT chain.head, c.c_custkey, chain.depth + 1
-          FROM chain JOIN lakestream_customer c ON c.c_custkey = chain.custkey DIV 2 WHERE chain.custkey > 1)
+          FROM chain JOIN {customer} c ON c.c_custkey = chain.custkey DIV 2 WHERE chain.custkey > 1)
         SELECT head, custkey, depth FROM chain
-        """
+        """,
+        customer=load(spark, sf_dir, "customer"),
     )

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.listener import StreamingQueryProgress
 
 from lakestream.plans.registry import query
 from lakestream.session import load, stream_session, work_dir
 from lakestream.sources.lake import read_log, read_upserted
 from lakestream.sources.stream import stage_files, stream_source
+from lakestream.streaming.progress import Progress, metered, watched
 from lakestream.streaming.sink import append_to, run_available, upsert_to
 from lakestream.streaming.state import session_timeout
 
@@ -74,20 +74,20 @@ SLICES = 2
 
 def run_in_order(
     events: DataFrame, order: str, base: str, build: Callable[[DataFrame], DataFrame]
-) -> list[StreamingQueryProgress]:
+) -> Progress:
     """Feed events to one query in slices of ``order``, resuming it from its checkpoint for each slice.
 
-    A slice is one micro-batch: the files of a slice are in no order among themselves.
+    A slice is one micro-batch: the files of a slice are in no order among themselves. Returns what all batches reported.
     """
     session = stream_session(events.sparkSession)
     low, high = events.agg(F.min(order), F.max(order)).first()
     step = (high - low) // SLICES + 1
-    progress = []
-    for number in range(SLICES):
-        begin = low + number * step
-        stage_files(events.filter(F.col(order).between(begin, begin + step - 1)), f"{base}/in", order)
-        stream = stream_source(session, f"{base}/in", events.schema, files_per_trigger=1_000_000)
-        progress += run_available(build(stream), append_to(f"{base}/out"), f"{base}/checkpoint").recentProgress
+    with watched(session) as progress:
+        for number in range(SLICES):
+            begin = low + number * step
+            stage_files(events.filter(F.col(order).between(begin, begin + step - 1)), f"{base}/in", order)
+            stream = stream_source(session, f"{base}/in", events.schema, bounded=False)
+            progress.wait(run_available(build(stream), append_to(f"{base}/out"), f"{base}/checkpoint"))
     return progress
 
 
@@ -111,12 +111,10 @@ def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return windows.agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
 
     progress = run_in_order(timed_events(spark, sf_dir).withColumn("arrival", arrival), "arrival", base, hourly)
-    dropped = sum(op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators)
-    read = sum(p.numInputRows for p in progress)
     emitted = read_log(spark, f"{base}/out").agg(F.sum("n").alias("rows_emitted"))
     # the operator counts the partial aggregates it dropped, not the source rows behind them
     return emitted.select(
-        F.lit(read).cast("long").alias("rows_read"), "rows_emitted", F.lit(dropped > 0).alias("any_late")
+        F.lit(progress.rows_read).cast("long").alias("rows_read"), "rows_emitted", F.lit(progress.rows_dropped > 0).alias("any_late")
     )
 
 
@@ -126,7 +124,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_dir(spark, "dedup")
     events = timed_events(spark, sf_dir)
     twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    stage_files(twice, f"{base}/in", "copy")
+    stage_files(twice, f"{base}/in", ["copy", "event_id"])
     stream = stream_source(stream_session(spark), f"{base}/in", twice.schema)
     once = stream.withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["event_id"])
     run_available(once.select("event_id", "user_id", "event_type"), append_to(f"{base}/out"), f"{base}/checkpoint")
@@ -147,3 +145,26 @@ def state_session_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = timed_events(spark, sf_dir).select("user_id", "ts", F.unix_seconds("ts").alias("second"))
     run_in_order(events, "second", base, lambda s: session_timeout(s, "ts", 30 * 60 * 1000, "1 hour", 60))
     return read_log(spark, f"{base}/out").drop("commit")
+
+
+@query(
+    "stream_sink_metrics",
+    """SELECT count(*) AS records, count(*) FILTER (WHERE event_type = 'error') AS errors, CAST(sum(event_id) AS BIGINT) AS ids FROM events""",
+)
+def stream_sink_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics a sink's batches report while they are written, summed, next to what the table holds."""
+    base = work_dir(spark, "metrics")
+    events = timed_events(spark, sf_dir)
+    stage_files(events, f"{base}/in", "event_id")
+    session = stream_session(spark)
+    stream = metered(
+        stream_source(session, f"{base}/in", events.schema),
+        "sink",
+        {"records": F.count("*"), "errors": F.count_if(F.col("event_type") == "error")},
+    )
+    with watched(session) as progress:
+        progress.wait(run_available(stream, append_to(f"{base}/out"), f"{base}/checkpoint"))
+    live = progress.observed
+    return read_log(spark, f"{base}/out").agg(F.sum("event_id").alias("ids")).select(
+        F.lit(live["sink.records"]).cast("long").alias("records"), F.lit(live["sink.errors"]).cast("long").alias("errors"), "ids"
+    )

@@ -5,44 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakestream.operators.ordered import micros, number_rows, over_positions, ranked, time_chunk
+from lakestream.operators.ordered import (
+    micros,
+    null_safe_join,
+    number_rows,
+    over_positions,
+    packed,
+    ranked,
+    sums_between,
+)
 from lakestream.operators.temporal import sessionize
+from lakestream.plans.fixtures import HOLES_SQL, holey_events, holey_orders
 from lakestream.plans.registry import query
 from lakestream.session import load
 
 
 def numbered_events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Events with their position ``rn`` in the user's history, counted day by day."""
-    ev = load(spark, sf_dir, "events").select("user_id", "event_id", "ts", *columns)
-    days = ev.withColumn("_day", time_chunk(F.col("ts"), 86_400))
-    return number_rows(days, ["user_id"], "_day", [F.col("ts"), F.col("event_id")]).drop("_day")
+    """Events with their position ``rn`` in the user's history, counted chunk by chunk."""
+    ev = holey_events(spark, sf_dir).select("user_id", "event_id", "ts", *columns)
+    order = [F.col("ts").asc_nulls_last(), F.col("event_id")]
+    chunks = packed(ev, ["user_id"], micros(F.col("ts")), "event_id")
+    return number_rows(chunks, ["user_id"], "_chunk", order).drop("_chunk")
 
 
 @query(
     "win_rank",
-    """SELECT o_orderpriority, o_orderkey, o_totalprice, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, percent_rank() OVER w AS percent_rank,
+    f"""WITH {HOLES_SQL} SELECT o_orderpriority, o_orderkey, o_totalprice, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, percent_rank() OVER w AS percent_rank,
       cume_dist() OVER w AS cume_dist, row_number() OVER t AS row_number, CAST(ntile(7) OVER t AS INT) AS ntile
-      FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC), t AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)""",
+      FROM o WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC), t AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)""",
 )
 def win_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = load(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
-    return ranked(
-        orders,
-        ["o_orderpriority"],
-        "o_totalprice",
-        F.floor(F.col("o_totalprice") / 1000).cast("long"),
-        "o_orderkey",
-        F.floor(F.col("o_orderkey") / 65536).cast("long"),
-        tiles=7,
-    )
+    band = F.floor(F.col("o_totalprice") / 1000).cast("long")
+    return ranked(holey_orders(spark, sf_dir), ["o_orderpriority"], "o_totalprice", band, "o_orderkey", tiles=7)
 
 
 @query(
     "win_lag",
-    """SELECT user_id, event_id, lag(value) OVER w AS previous, lead(value) OVER w AS next, first_value(value) OVER w AS first,
+    f"""WITH {HOLES_SQL} SELECT user_id, event_id, lag(value) OVER w AS previous, lead(value) OVER w AS next, first_value(value) OVER w AS first,
       last_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last,
       nth_value(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
-      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+      FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 )
 def win_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbered_events(spark, sf_dir, "value")
@@ -55,14 +57,14 @@ def win_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("rn") == 2, F.col("value"))).alias("second"),
         F.max_by("value", "rn").alias("last"),
     )
-    joined = near.join(ends, "user_id")
+    joined = null_safe_join(near, ends, ["user_id"])
     return joined.select("user_id", "event_id", "previous", "next", "first", "last", "second")
 
 
 @query(
     "win_moving_avg",
-    """SELECT user_id, event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) / count(*) OVER w AS moving_avg
-      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
+    f"""WITH {HOLES_SQL} SELECT user_id, event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) / count(*) OVER w AS moving_avg
+      FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
 )
 def win_moving_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbered_events(spark, sf_dir, "value").withColumn("amount", F.col("value").cast("decimal(18,2)"))
@@ -74,14 +76,17 @@ def win_moving_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "win_range",
-    """SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS trailing
-      FROM events""",
+    f"""WITH {HOLES_SQL} SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS trailing
+      FROM e""",
 )
 def win_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the user in the hour up to each event; events without a time are peers of each other."""
     hour = 3600 * 1_000_000
-    rows = load(spark, sf_dir, "events").select("user_id", "event_id", micros(F.col("ts")).alias("at"))
-    framed = over_positions(rows, ["user_id"], "at", {"trailing": (F.count("*"), -hour, 0)}, width=24 * hour)
-    return framed.drop("at")
+    rows = holey_events(spark, sf_dir).select("user_id", "event_id", micros(F.col("ts")).alias("at"))
+    timed, untimed = rows.filter("at IS NOT NULL"), rows.filter("at IS NULL")
+    framed = sums_between(timed, timed, ["user_id"], "at", -hour, 0, {"trailing": F.lit(1)})
+    peers = untimed.groupBy("user_id").agg(F.count("*").alias("trailing"))
+    return framed.unionByName(null_safe_join(untimed, peers, ["user_id"])).drop("at")
 
 
 @query(
@@ -106,9 +111,9 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "funnel",
-    """SELECT user_id, count(*) AS funnels, min(event_id) AS first_view FROM (
+    f"""WITH {HOLES_SQL} SELECT user_id, count(*) AS funnels, min(event_id) AS first_view FROM (
         SELECT user_id, event_id, event_type, lead(event_type) OVER w AS second, lead(event_type, 2) OVER w AS third
-        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
       WHERE event_type = 'view' AND second = 'click' AND third = 'purchase' GROUP BY 1""",
 )
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +127,10 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "session_window",
-    """WITH gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+    f"""WITH {HOLES_SQL}, gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM e),
       s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM gaps)
       SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, sid""",
 )
 def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    ev = holey_events(spark, sf_dir).select("user_id", "event_id", "ts")
     return sessionize(ev, ["user_id"], "ts", "event_id", 1800, {"n": F.lit(1)})

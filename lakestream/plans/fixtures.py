@@ -182,3 +182,28 @@ named AS (
   SELECT *, CASE WHEN layer IS NOT NULL THEN concat_ws('.', environment, layer, domain, subdomain, concat_ws('_', dataset, stage)) END AS rebuilt,
     CASE WHEN layer IS NOT NULL THEN layer || '.' || concat_ws('_', domain, dataset, stage) END AS lake_table
   FROM parsed)"""
+
+
+# Events and orders with holes: some keys, times and values are null, by rule of the id.
+HOLES_SQL = """e AS (SELECT event_id, CASE WHEN event_id % 89 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 97 <> 0 THEN ts END AS ts,
+  event_type, CASE WHEN event_id % 83 <> 0 THEN value END AS value FROM events),
+o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 89 <> 0 THEN o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 83 <> 0 THEN o_totalprice END AS o_totalprice FROM orders)"""
+
+
+def holey_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = load(spark, sf_dir, "events")
+    return ev.select(
+        "event_id",
+        F.when(F.col("event_id") % 89 != 0, F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("ts"),
+        "event_type",
+        F.when(F.col("event_id") % 83 != 0, F.col("value")).alias("value"),
+    )
+
+
+def holey_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 89 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.when(F.col("o_orderkey") % 83 != 0, F.col("o_totalprice")).alias("o_totalprice"),
+    )

@@ -61,8 +61,9 @@ def _closure(direction: str, start: str, here: str, there: str):
     @query(
         f"lineage_{direction}",
         f"""WITH RECURSIVE {EVENTS_SQL},
-        reach AS (SELECT '{start}' AS node, 0 AS d UNION SELECT h.{there}, r.d + 1 FROM reach r JOIN hops h ON h.{here} = r.node WHERE r.d < 40)
-        SELECT node AS dataset, min(d)::INT AS distance FROM reach GROUP BY node HAVING min(d) > 0""",
+        reach(node, d) USING KEY (node) AS (SELECT '{start}', 0 UNION SELECT h.{there}, min(r.d) + 1 FROM reach r JOIN hops h ON h.{here} = r.node
+          WHERE h.{there} NOT IN (SELECT node FROM recurring.reach) GROUP BY 1)
+        SELECT node AS dataset, d::INT AS distance FROM reach WHERE d > 0""",
     )
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lineage_closure(spark, lineage_edges(run_events(spark, sf_dir)), start, direction)

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from lakestream.operators.latest import current_rows
 from lakestream.plans.registry import query
 from lakestream.session import load, stream_session, work_dir
-from lakestream.sources.lake import read_log, read_upserted
+from lakestream.sources.lake import append, read_log, read_upserted
 from lakestream.sources.stream import stage_files, stream_source
-from lakestream.streaming.jobs import RESTART_MODES, checkpoint_for, run_code_job, run_sql_job
-from lakestream.streaming.joins import maintain_join, merge_aggregate, stream_join
+from lakestream.streaming.jobs import RESTART_MODES, checkpoint_for, run_code_job, run_sql_job, run_sql_stream
+from lakestream.streaming.joins import merge_aggregate, refresh_join, stream_join
 from lakestream.streaming.sink import append_to, keeping, run_available, upsert_to
 
 
+#: Files of the batch that comes before all others.
+FIRST_FILES = 2
+
+
 def _price():
     return F.col("o_totalprice").cast("decimal(18,2)")
 
@@ -61,6 +65,11 @@ def silver_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ANALYTICS_SQL = f"""SELECT s.record_key, c_name, c_mktsegment, order_count, total_price, first_date, last_date
   FROM ({_SUMMARY_SQL}) s JOIN ({_CUSTOMERS_SQL}) c ON s.record_key = c.record_key"""
+# the same with some orders and customers that have no key, which meet nothing
+HOLEY_ANALYTICS_SQL = """WITH some_orders AS (SELECT * REPLACE (CASE WHEN o_orderkey % 89 <> 0 THEN o_custkey END AS o_custkey) FROM orders),
+some_customers AS (SELECT * REPLACE (CASE WHEN c_custkey % 97 <> 0 THEN c_custkey END AS c_custkey) FROM customer) """ + (
+    ANALYTICS_SQL.replace("FROM orders", "FROM some_orders").replace("FROM customer", "FROM some_customers")
+)
 
 
 @query("customer_order_analytics", ANALYTICS_SQL)
@@ -73,43 +82,41 @@ def customer_order_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("customer_order_analytics_stream", ANALYTICS_SQL)
+@query("customer_order_analytics_stream", HOLEY_ANALYTICS_SQL)
 def customer_order_analytics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and customers arrive mixed in micro-batches; the summary and the join are kept up to date."""
+    """Orders, first alone and then mixed with customers, arrive in micro-batches; summary and join are kept up to date."""
     base = work_dir(spark, "analytics")
-    orders = load(spark, sf_dir, "orders")
-    customer = load(spark, sf_dir, "customer")
-    changes = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").unionByName(
-        customer.select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), allowMissingColumns=True
+    orders = load(spark, sf_dir, "orders").withColumn("o_custkey", F.expr("CASE WHEN o_orderkey % 89 <> 0 THEN o_custkey END"))
+    customer = load(spark, sf_dir, "customer").withColumn(
+        "o_custkey", F.expr("CASE WHEN c_custkey % 97 <> 0 THEN c_custkey END")
     )
-    changes = changes.withColumn("place", F.xxhash64("o_custkey", "o_orderkey"))
+    order_rows = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    first, later = order_rows.filter("o_orderkey % 4 = 0"), order_rows.filter("o_orderkey % 4 <> 0")
+    changes = later.unionByName(customer.select("o_custkey", "c_name", "c_mktsegment"), allowMissingColumns=True)
+    place = F.xxhash64("o_custkey", "o_orderkey")
+    stage_files(first.withColumn("place", place), f"{base}/in", "place", files=FIRST_FILES)
+    changes = changes.withColumn("place", place)
     stage_files(changes, f"{base}/in", "place")
     stream = stream_source(stream_session(spark), f"{base}/in", changes.schema)
-    merges = {
+    totals = {
         "order_count": F.sum("order_count"),
         "total_price": F.sum("total_price").cast("decimal(28,2)"),
         "first_date": F.min("first_date"),
         "last_date": F.max("last_date"),
     }
+    keys = ["o_custkey"]
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         is_order = F.col("o_orderkey").isNotNull()
-        stamp = {"version": F.lit(batch_id), "__deleted": F.lit("false")}
-        totals = merge_aggregate(summary(batch.filter(is_order)), f"{base}/summary", batch_id, ["o_custkey"], merges)
+        merge_aggregate(summary(batch.filter(is_order)), f"{base}/totals", batch_id, keys, totals)
         people = batch.filter(~is_order).select("o_custkey", "c_name", "c_mktsegment")
-        maintain_join(
-            totals.withColumns(stamp),
-            people.withColumns(stamp),
-            f"{base}/totals",
-            f"{base}/customers",
-            f"{base}/analytics",
-            batch_id,
-            ["o_custkey"],
-            ["version"],
+        append(people, f"{base}/customers", batch_id)
+        refresh_join(
+            batch.select(*keys), f"{base}/totals", f"{base}/customers", f"{base}/analytics", batch_id, keys, []
         )
 
     run_available(stream, keeping(commit), f"{base}/checkpoint")
-    result = current_rows(read_upserted(spark, f"{base}/analytics", ["o_custkey"], []))
+    result = current_rows(read_upserted(spark, f"{base}/analytics", keys, []))
     return result.select(
         F.col("o_custkey").cast("string").alias("record_key"),
         "c_name",
@@ -121,33 +128,58 @@ def customer_order_analytics_stream(spark: SparkSession, sf_dir: str) -> DataFra
     )
 
 
-@query(
-    "sql_script_job",
-    """SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(max(o_totalprice) AS DOUBLE) AS top_price FROM orders
-      WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2""",
-)
+_SCRIPT = """
+-- orders of one priority; comments and quoted ';' do not end a statement
+CREATE OR REPLACE TEMPORARY VIEW urgent AS
+  SELECT *, 'a;b' AS note FROM orders WHERE o_orderpriority = '1-URGENT';
+SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS top_price
+FROM urgent GROUP BY o_orderstatus, o_orderpriority;
+"""
+_SCRIPT_SQL = """SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(max(o_totalprice) AS DOUBLE) AS top_price FROM orders
+      WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2"""
+
+
+@query("sql_script_job", _SCRIPT_SQL)
 def sql_script_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load(spark, sf_dir, "orders").createOrReplaceTempView("lakestream_orders")
-    script = """
+    block = """
     BEGIN
-      CREATE OR REPLACE TEMPORARY VIEW lakestream_urgent AS
-        SELECT * FROM lakestream_orders WHERE o_orderpriority = wanted_priority;
-      CREATE OR REPLACE TEMPORARY VIEW lakestream_by_status AS
+      CREATE OR REPLACE TEMPORARY VIEW urgent AS SELECT * FROM orders WHERE o_orderpriority = wanted_priority;
+      CREATE OR REPLACE TEMPORARY VIEW by_status AS
         SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS top_price
-        FROM lakestream_urgent GROUP BY o_orderstatus, o_orderpriority;
-      SELECT * FROM lakestream_by_status;
+        FROM urgent GROUP BY o_orderstatus, o_orderpriority;
+      SELECT * FROM by_status;
     END
     """
-    return run_sql_job(spark, script, {"wanted_priority": "1-URGENT"})
+    tables = {"orders": lambda session: load(session, sf_dir, "orders")}
+    return run_sql_job(spark, block, {"wanted_priority": "1-URGENT"}, tables)
+
+
+@query("sql_script_plain", _SCRIPT_SQL)
+def sql_script_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql_job(spark, _SCRIPT, tables={"orders": lambda session: load(session, sf_dir, "orders")})
+
+
+@query("sql_script_stream", _SCRIPT_SQL)
+def sql_script_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same script over a topic: its counts are upserted into a silver table batch by batch."""
+    base = work_dir(spark, "sql_stream")
+    orders = load(spark, sf_dir, "orders")
+    stage_files(orders, f"{base}/orders", "o_orderkey")
+    topics = {"orders": lambda session: stream_source(session, f"{base}/orders", orders.schema)}
+    keys = ["o_orderstatus", "o_orderpriority"]
+    run_sql_stream(spark, _SCRIPT, topics, upsert_to(f"{base}/silver", keys, ["n"]), f"{base}/checkpoint", mode="update")
+    return read_upserted(spark, f"{base}/silver", keys, ["n"])
+
+
+def orders_by_status(session: SparkSession, params: dict[str, str]) -> DataFrame:
+    """Entry point of the code job."""
+    orders = load(session, params["path"], "orders").filter(F.col("o_orderstatus") == params["status"])
+    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @query("code_job", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def code_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def entry(session: SparkSession, params: dict[str, str]) -> DataFrame:
-        orders = load(session, params["path"], "orders").filter(F.col("o_orderstatus") == params["status"])
-        return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-
-    return run_code_job(spark, entry, {"path": sf_dir, "status": "F"})
+    return run_code_job(spark, "lakestream.plans.silver:orders_by_status", {"path": sf_dir, "status": "F"})
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -6,9 +6,8 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lakestream.operators.evolution import force_optional, union_evolved
+from lakestream.operators.evolution import union_evolved
 from lakestream.operators.latest import (
     clean,
     compact,
@@ -19,12 +18,11 @@ from lakestream.operators.latest import (
     upsert,
     upsert_small,
 )
-from lakestream.plans.fixtures import BRONZE_SQL, bronze_records
+from lakestream.plans.fixtures import BRONZE_SQL, HOLES_SQL, bronze_records, holey_events
 from lakestream.plans.registry import query
 from lakestream.session import load, stream_session, work_dir
 from lakestream.sources.lake import (
     append,
-    append_evolving,
     fold,
     read_log,
     read_upserted,
@@ -32,7 +30,7 @@ from lakestream.sources.lake import (
     upsert_commit,
 )
 from lakestream.sources.stream import stage_files, stream_source
-from lakestream.streaming.sink import run_available, upsert_routed_to, upsert_to
+from lakestream.streaming.sink import run_available, shifted, upsert_routed_to, upsert_to
 
 _LATEST_USER = "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY \"offset\" DESC) = 1"
 
@@ -79,13 +77,26 @@ def upsert_partition_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("upsert_multi_batch", f"WITH {BRONZE_SQL} SELECT * FROM bronze {_LATEST_USER}")
 def upsert_multi_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches whose offsets interleave, then the commits folded into one table."""
-    base = work_dir(spark, "multi_batch")
+    """Three batches whose offsets interleave, then the commits folded into a base."""
+    path = work_dir(spark, "multi_batch")
     rows = bronze_records(spark, sf_dir)
     for commit in range(3):
-        upsert_commit(rows.filter(F.col("offset") % 3 == commit), f"{base}/log", commit, ["user_id"], ["offset"])
-    fold(spark, f"{base}/log", f"{base}/folded", ["user_id"], ["offset"])
-    return read_log(spark, f"{base}/folded").select(*rows.columns)
+        upsert_commit(rows.filter(F.col("offset") % 3 == commit), path, commit, ["user_id"], ["offset"])
+    fold(spark, path, ["user_id"], ["offset"])
+    return read_log(spark, path).select(*rows.columns)
+
+
+@query("fold_and_replay", f"WITH {BRONZE_SQL} SELECT * FROM bronze {_LATEST_USER}")
+def fold_and_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches are folded, the last one and an empty one are replayed, and a third comes on top; then once more."""
+    path = work_dir(spark, "fold_replay")
+    rows = bronze_records(spark, sf_dir)
+    for commit in (0, 1, "fold", 1, 2, 2, 3, "fold", 3, 0, 4):
+        if commit == "fold":
+            fold(spark, path, ["user_id"], ["offset"])
+        else:
+            upsert_commit(rows.filter(F.col("offset") % 4 == commit), path, commit, ["user_id"], ["offset"])
+    return read_upserted(spark, path, ["user_id"], ["offset"]).select(*rows.columns)
 
 
 _LINE = (
@@ -148,9 +159,9 @@ def auto_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evolve_add_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "evolve_add")
     customer = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    schema = append_evolving(customer.filter("c_custkey % 2 = 0").drop("c_mktsegment"), path, 0, None)
-    schema = append_evolving(customer.filter("c_custkey % 2 = 1"), path, 1, schema)
-    return read_log(spark, path, schema).select(*schema.names)
+    append(customer.filter("c_custkey % 2 = 0").drop("c_mktsegment"), path, 0)
+    append(customer.filter("c_custkey % 2 = 1"), path, 1)
+    return read_log(spark, path).select(*customer.columns)
 
 
 @query(
@@ -161,9 +172,9 @@ def evolve_widen(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "evolve_widen")
     customer = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     wide = customer.withColumn("c_nationkey", F.col("c_nationkey").cast("long") + F.lit(10_000_000_000))
-    schema = append_evolving(customer.filter("c_custkey % 2 = 0"), path, 0, None)
-    schema = append_evolving(wide.filter("c_custkey % 2 = 1"), path, 1, schema)
-    return read_log(spark, path, schema).select(*schema.names)
+    append(customer.filter("c_custkey % 2 = 0"), path, 0)
+    append(wide.filter("c_custkey % 2 = 1"), path, 1)
+    return read_log(spark, path).select(*customer.columns)
 
 
 @query(
@@ -181,23 +192,57 @@ def evolve_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "force_optional",
-    """SELECT 'key' AS column_name, true AS nullable, count(*) AS n FROM events
-      UNION ALL SELECT 'flag', true, count(*) FROM events UNION ALL SELECT 'items', true, count(*) FROM events""",
+    """SELECT 'key' AS column_name, count(event_id) AS n, count(*) FILTER (WHERE event_id IS NULL) AS nulls FROM events
+      UNION ALL SELECT 'flag', count(*) FILTER (WHERE event_id % 2 = 0), count(*) FILTER (WHERE event_id % 2 = 1) FROM events
+      UNION ALL SELECT 'items', count(*) FILTER (WHERE event_id % 3 = 0), count(*) FILTER (WHERE event_id % 3 > 0) FROM events""",
 )
 def force_optional_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required columns, written and read back: every column is nullable and no row is lost."""
-    rows = load(spark, sf_dir, "events").select(
-        F.coalesce("event_id", F.lit(0)).alias("key"), F.lit(True).alias("flag"), F.array(F.lit(1)).alias("items")
-    )
-    optional: T.StructType = force_optional(rows.schema)
+    """Required columns in the first batch, nulls in the same columns after it: both are in the table."""
     path = work_dir(spark, "optional")
-    append(rows, path, 0)
-    back = read_log(spark, path, optional).drop("commit")
+    events = load(spark, sf_dir, "events").select(F.coalesce("event_id", F.lit(0)).alias("key"))
+    required = events.filter("key % 6 = 0").select("key", F.lit(True).alias("flag"), F.array(F.lit(1)).alias("items"))
+    later = events.filter("key % 6 <> 0").select(
+        "key", F.when(F.col("key") % 2 == 0, F.lit(True)).alias("flag"), F.when(F.col("key") % 3 == 0, F.array(F.lit(1))).alias("items")
+    )
+    append(required, path, 0)
+    append(later, path, 1)
     facts = [
-        F.struct(F.lit(f.name).alias("column_name"), F.lit(f.nullable).alias("nullable"), F.count("*").alias("n"))
-        for f in back.schema.fields
+        F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"))
+        for c in ("key", "flag", "items")
     ]
-    return back.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+    return read_log(spark, path).agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+
+
+@query(
+    "evolve_stream_upsert",
+    """SELECT 'table' AS place, c_custkey, CASE WHEN c_custkey % 3 = 1 THEN c_nationkey + 10000000000 ELSE c_nationkey END AS c_nationkey,
+        CASE WHEN c_custkey % 3 = 1 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 3 < 2
+      UNION ALL SELECT 'dead letters', c_custkey, NULL, NULL FROM customer WHERE c_custkey % 3 = 2""",
+)
+def evolve_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream whose later files add and widen columns, and at last change a type the table cannot hold."""
+    base = work_dir(spark, "evolve_stream")
+    customer = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    wide = F.col("c_nationkey").cast("long") + F.lit(10_000_000_000)
+    forms = (
+        customer.drop("c_mktsegment"),
+        customer.withColumn("c_nationkey", wide),
+        customer.withColumn("c_nationkey", F.concat(F.lit("n"), "c_nationkey")),
+    )
+    session = stream_session(spark)
+    for number, form in enumerate(forms):
+        stage_files(form.filter(F.col("c_custkey") % 3 == number), f"{base}/in{number}", "c_custkey")
+        stream = stream_source(session, f"{base}/in{number}", form.schema)
+        # a run of its own per schema, as a job restarted for it; batch numbers go on
+        sink = upsert_to(f"{base}/table", ["c_custkey"], ["c_custkey"], dlq_path=f"{base}/letters")
+        run_available(stream, shifted(sink, number * 1000), f"{base}/checkpoint{number}")
+    table = read_upserted(spark, f"{base}/table", ["c_custkey"], ["c_custkey"]).select(
+        F.lit("table").alias("place"), "c_custkey", "c_nationkey", "c_mktsegment"
+    )
+    letters = read_log(spark, f"{base}/letters").select(
+        F.lit("dead letters").alias("place"), F.get_json_object("record", "$.c_custkey").cast("long").alias("c_custkey")
+    )
+    return table.unionByName(letters, allowMissingColumns=True)
 
 
 def _bronze_stream(spark: SparkSession, sf_dir: str, base: str, shuffled: bool) -> tuple[DataFrame, DataFrame]:
@@ -270,18 +315,21 @@ def _now():
 
 @query(
     "compact_log",
-    """SELECT event_id, ts, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-24'
-      UNION ALL SELECT event_id, ts, user_id, event_type FROM (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-24'
+    f"""WITH {HOLES_SQL} SELECT event_id, ts, user_id, event_type FROM e WHERE ts >= TIMESTAMP '2024-01-24' OR ts IS NULL
+      UNION ALL SELECT event_id, ts, user_id, event_type FROM (SELECT * FROM e WHERE ts < TIMESTAMP '2024-01-24'
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)""",
 )
 def compact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    log = holey_events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type")
     return compact(log, ["user_id"], "event_id", "ts", _now())
 
 
-@query("retention_delete", "SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-17'")
+@query(
+    "retention_delete",
+    f"WITH {HOLES_SQL} SELECT event_id, ts, user_id FROM e WHERE ts >= TIMESTAMP '2024-01-17' OR ts IS NULL",
+)
 def retention_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = load(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    log = holey_events(spark, sf_dir).select("event_id", "ts", "user_id")
     return retain(log, "ts", _now(), timedelta(days=14))
 
 

@@ -48,38 +48,29 @@ def work_dir(spark: SparkSession, label: str) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         base = _local_folder(context.applicationId)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lakestream/{label}-{uuid.uuid4().hex}"
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
-    """A sibling session with RocksDB state and changelog checkpoints.
-
-    The state settings are read when a query starts; a sibling keeps them off the caller's session. Every
-    shuffle partition of a stateful query is a state store committed per batch: a local session gets no more
-    of them than it has cores, a cluster as many as its shuffle partitions say.
-    """
+def sibling(spark: SparkSession) -> SparkSession:
+    """A session on the same cluster with the caller's SQL settings and views and variables of its own."""
     session = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if key.startswith("spark.sql.") and session.conf.isModifiable(key):
             session.conf.set(key, value)
     session.conf.set("spark.sql.session.timeZone", "UTC")
+    return session
+
+
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A sibling session with RocksDB state and changelog checkpoints.
+
+    The state settings are read when a query starts; a sibling keeps them off the caller's session. Every
+    shuffle partition of a stateful query is a state store committed per batch; their number is the caller's setting.
+    """
+    session = sibling(spark)
     session.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    if spark.sparkContext.master.startswith("local"):
-        partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return session
-
-
-def small_side(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only when the optimizer's size estimate is within the limit.
-
-    Beyond it the plain join stays, and the optimizer picks a shuffled one.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.hint("broadcast") if int(str(size)) <= limit_bytes else df

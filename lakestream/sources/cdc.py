@@ -77,12 +77,12 @@ def filter_tables(
 def subscribe(
     df: DataFrame, topics: Sequence[str] | None = None, pattern: str | None = None, topic: str = "topic"
 ) -> DataFrame:
-    """Records of the listed topics, or of all topics matching a pattern from its start."""
+    """Records of the listed topics, or of all topics whose whole name matches a pattern."""
     if (topics is None) == (pattern is None):
         raise ValueError("give either topics or a pattern")
     if topics is not None:
         return df.filter(F.col(topic).isin(*topics))
-    return df.filter(F.col(topic).rlike(f"^(?:{pattern})"))
+    return df.filter(F.col(topic).rlike(f"^(?:{pattern})$"))
 
 
 def kafka_source(

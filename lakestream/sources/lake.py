@@ -1,16 +1,21 @@
 """Lake tables as partitioned Parquet.
 
-A table is a folder of commits: ``<path>/commit=<n>[/<partition>=<v>]``. A commit is written with dynamic
-partition overwrite, so writing commit *n* again replaces it and a replayed batch changes nothing. An upsert
-adds a commit holding the latest row per key of its batch only (cost of the batch, not of the table), and
-readers keep the latest row per key over the commits; :func:`fold` rewrites them into one.
+A table is a folder: ``commit=<n>/`` holds the rows of batch *n*, ``base=<n>/`` what all commits up to *n* fold into, and
+``_log/`` one small file per finished commit or base, written last, with the table's schema as of then. Readers go by
+the log, so a commit is seen whole or not at all, an empty or evolved table reads without looking into files, and
+a commit that is already in the log, or folded, is a replay and changes nothing. An upsert commits the latest
+row per key of its batch only (cost of the batch, not of the table), and readers keep the latest row per key over
+base and newer commits; :func:`fold` makes a new base.
 
 With a catalog that supports ``MERGE INTO`` use :func:`merge_into` instead.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,31 +23,90 @@ from pyspark.sql import types as T
 
 from lakestream.operators.evolution import align, evolve, force_optional
 from lakestream.operators.latest import identity, latest_per_key, upsert_small
+from lakestream.operators.ordered import null_safe_join
 
 COMMIT = "commit"
+#: Commits an upsert sink lets gather before it folds them into the base.
+FOLD_EVERY = 16
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
+@dataclass(frozen=True)
+class TableLog:
+    """Finished commits beyond ``base`` (a folded commit number), all finished commits, and the newest schema."""
+
+    base: int | None
+    commits: tuple[int, ...]
+    schema: T.StructType | None
+
+    def newer(self, upto: int | None = None) -> list[int]:
+        low = -1 if self.base is None else self.base
+        return [n for n in self.commits if n > low and (upto is None or n <= upto)]
+
+    def has(self, commit: int) -> bool:
+        return commit in self.commits or (self.base is not None and commit <= self.base)
+
+
+def _file_system(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def append(df: DataFrame, path: str, commit: int, partition_by: str | None = None) -> None:
-    """Write all rows as one commit; creates the table when it is absent.
+def table_exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _file_system(spark, path)
+    return fs.exists(jpath)
+
+
+def read_table_log(spark: SparkSession, path: str) -> TableLog:
+    """One listing of the log folder and the newest file in it; there are few, since folding clears older ones."""
+    fs, folder = _file_system(spark, f"{path}/_log")
+    if not fs.exists(folder):
+        return TableLog(None, (), None)
+    found = [re.fullmatch(r"(\d+)\.(commit|base)", s.getPath().getName()) for s in fs.listStatus(folder)]
+    numbers = {kind: sorted(int(m[1]) for m in found if m and m[2] == kind) for kind in ("commit", "base")}
+    newest = max((int(m[1]), m[2], m[0]) for m in found if m) if any(found) else None
+    schema = None
+    if newest:
+        stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_log/{newest[2]}"))
+        try:
+            schema = T.StructType.fromJson(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+    return TableLog(max(numbers["base"], default=None), tuple(numbers["commit"]), schema)
+
+
+def _mark(spark: SparkSession, path: str, name: str, schema: T.StructType) -> None:
+    """Make a commit or base visible: its log file appears by a rename."""
+    fs, target = _file_system(spark, f"{path}/_log/{name}")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_log/_{name}")
+    out = fs.create(draft, True)
+    out.write(bytearray(schema.json().encode()))
+    out.close()
+    if not fs.rename(draft, target):
+        raise OSError(f"could not finish {path}/{name}")
+
+
+def _write(df: DataFrame, folder: str, partition_by: str | None) -> None:
+    """The rebalance hint lets adaptive execution split a partition value that holds most rows and merge tiny ones."""
+    if partition_by:
+        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(folder)
+    else:
+        df.write.mode("overwrite").parquet(folder)
 
-    The rebalance hint lets adaptive execution split a partition value that holds most rows and merge tiny
-    ones, so the file count follows the data size.
+
+def append(df: DataFrame, path: str, commit: int, partition_by: str | None = None) -> T.StructType:
+    """Write all rows as one commit and return the table's schema after it; creates the table when it is absent.
+
+    The schema grows by the batch's new columns and wider types; a type the table cannot hold raises
+    ``IncompatibleSchema`` before anything is written. A replayed commit changes nothing.
     """
-    layout = [COMMIT, *([partition_by] if partition_by else [])]
-    if partition_by:
-        df = df.hint("rebalance", partition_by)
-    (
-        df.withColumn(COMMIT, F.lit(commit).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*layout)
-        .parquet(path)
-    )
+    spark = df.sparkSession
+    log = read_table_log(spark, path)
+    if log.has(commit):
+        return log.schema
+    schema = force_optional(df.schema) if log.schema is None else evolve(log.schema, df.schema)
+    _write(align(df, schema), f"{path}/{COMMIT}={commit}", partition_by)
+    _mark(spark, path, f"{commit}.commit", schema)
+    return schema
 
 
 def upsert_commit(
@@ -58,18 +122,32 @@ def upsert_commit(
     append(latest_per_key(batch, identity(ids, partition_by, scope), order), path, commit, partition_by)
 
 
-def read_log(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, upto: int | None = None
-) -> DataFrame:
-    """All committed rows with their commit number.
+def _commits(spark: SparkSession, path: str, numbers: Sequence[int], schema: T.StructType) -> DataFrame:
+    full = T.StructType([*schema.fields, T.StructField(COMMIT, T.LongType(), True)])
+    if not numbers:
+        return spark.createDataFrame([], full)
+    folders = [f"{path}/{COMMIT}={n}" for n in numbers]
+    return spark.read.schema(full).option("basePath", path).parquet(*folders)
 
-    Give ``schema`` for a table whose columns evolved: it saves reading the footer of every file.
-    """
-    reader = spark.read
-    if schema is not None:
-        reader = reader.schema(T.StructType([*schema.fields, T.StructField(COMMIT, T.LongType(), True)]))
-    log = reader.parquet(path).withColumn(COMMIT, F.col(COMMIT).cast("long"))
-    return log if upto is None else log.filter(F.col(COMMIT) <= upto)
+
+def _base(spark: SparkSession, path: str, number: int, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/base={number}").withColumn(COMMIT, F.lit(number).cast("long"))
+
+
+def _schema_of(log: TableLog, path: str) -> T.StructType:
+    if log.schema is None:
+        raise FileNotFoundError(f"no finished commit in {path}")
+    return log.schema
+
+
+def read_log(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """All committed rows with their commit number; folded ones have the number of the base."""
+    log = read_table_log(spark, path)
+    schema = _schema_of(log, path)
+    if log.base is None or (upto is not None and upto < log.base):
+        return _commits(spark, path, [n for n in log.commits if upto is None or n <= upto], schema)
+    newer = _commits(spark, path, log.newer(upto), schema)
+    return _base(spark, path, log.base, schema).unionByName(newer)
 
 
 def read_upserted(
@@ -79,53 +157,78 @@ def read_upserted(
     order: Sequence[str],
     partition_by: str | None = None,
     scope: str = "global",
-    schema: T.StructType | None = None,
     upto: int | None = None,
     only: DataFrame | None = None,
-    folded: int | None = None,
 ) -> DataFrame:
-    """Table content: the latest row per key over all commits, soft deletes included.
+    """Table content: the latest row per key over base and commits, soft deletes included.
 
-    ``only`` holds id values; other keys are dropped before rows are compared. ``folded`` is the commit
-    :func:`fold` returned: it is unique by key, so the newer commits are joined to it and, while they are
-    small enough to broadcast, the bulk of the table is read without a shuffle.
+    ``only`` holds id values; other keys are dropped before rows are compared. The base is unique by key, so the
+    newer commits are joined to it and, while they are small enough to broadcast, the bulk of the table is read
+    without a shuffle.
     """
-    log = read_log(spark, path, schema, upto)
-    if only is not None:
-        log = log.join(only.select(*ids), list(ids), "left_semi")
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        return rows if only is None else null_safe_join(rows, only.select(*ids), ids, "left_semi")
+
+    log = read_table_log(spark, path)
     order = [*order, COMMIT]
-    if folded is not None:
-        base, newer = log.filter(F.col(COMMIT) == folded), log.filter(F.col(COMMIT) > folded)
+    if log.base is not None and (upto is None or upto >= log.base):
+        schema = _schema_of(log, path)
+        base, numbers = wanted(_base(spark, path, log.base, schema)), log.newer(upto)
+        if not numbers:
+            return base.drop(COMMIT)
+        newer = wanted(_commits(spark, path, numbers, schema))
         return upsert_small(base, newer, ids, order, partition_by, scope).drop(COMMIT)
-    return latest_per_key(log, identity(ids, partition_by, scope), order).drop(COMMIT)
+    return latest_per_key(wanted(read_log(spark, path, upto)), identity(ids, partition_by, scope), order).drop(COMMIT)
 
 
 def fold(
     spark: SparkSession,
     path: str,
-    target: str,
     ids: Sequence[str],
     order: Sequence[str],
     partition_by: str | None = None,
     scope: str = "global",
-    schema: T.StructType | None = None,
-    folded: int | None = None,
 ) -> int:
-    """Rewrite a table into ``target`` as a single commit and return its number.
+    """Rewrite base and commits into a new base and return its number, that of the last commit.
 
-    Later commits go to ``target``; pass the number as ``folded`` when reading or folding it again.
+    Later commits go on top; a replay of a folded one changes nothing. Folders the base before this one replaced are
+    deleted, so whoever still reads the last state finds its files.
     """
-    last = read_log(spark, path, schema).agg(F.max(COMMIT)).first()[0]
-    rows = read_upserted(spark, path, ids, order, partition_by, scope, schema, folded=folded)
-    append(rows, target, last, partition_by)
+    log = read_table_log(spark, path)
+    numbers = log.newer()
+    if not numbers:
+        return log.base
+    last = numbers[-1]
+    _write(read_upserted(spark, path, ids, order, partition_by, scope), f"{path}/base={last}", partition_by)
+    _mark(spark, path, f"{last}.base", _schema_of(log, path))
+    if log.base is not None:
+        _drop_folded(spark, path, log)
     return last
 
 
-def append_evolving(df: DataFrame, path: str, commit: int, schema: T.StructType | None) -> T.StructType:
-    """Append a batch whose schema may differ from the table's; returns the evolved table schema."""
-    evolved = force_optional(df.schema) if schema is None else evolve(schema, df.schema)
-    append(align(df, evolved), path, commit)
-    return evolved
+def _drop_folded(spark: SparkSession, path: str, log: TableLog) -> None:
+    """Delete the commits the base of ``log`` holds, and older bases."""
+    fs, folder = _file_system(spark, path)
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    for status in [*fs.listStatus(folder), *fs.listStatus(to(f"{path}/_log"))]:
+        m = re.fullmatch(r"commit=(\d+)|base=(\d+)|(\d+)\.commit|(\d+)\.base", status.getPath().getName())
+        if m and any(int(n) <= log.base for n in (m[1], m[3]) if n) or m and any(int(n) < log.base for n in (m[2], m[4]) if n):
+            fs.delete(status.getPath(), True)
+
+
+def fold_when(
+    spark: SparkSession,
+    path: str,
+    ids: Sequence[str],
+    order: Sequence[str],
+    partition_by: str | None = None,
+    scope: str = "global",
+    every: int = FOLD_EVERY,
+) -> None:
+    """Fold once ``every`` commits have gathered, so a read never covers more than that many."""
+    if len(read_table_log(spark, path).newer()) >= every:
+        fold(spark, path, ids, order, partition_by, scope)
 
 
 def merge_into(
@@ -139,12 +242,12 @@ def merge_into(
 ) -> None:
     """Upsert into a catalog table that supports ``MERGE INTO`` (needs such a catalog on the cluster)."""
     keys = identity(ids, partition_by, scope)
-    latest_per_key(batch, keys, order).createOrReplaceTempView("lakestream_batch")
     on = " AND ".join(f"t.`{k}` <=> s.`{k}`" for k in keys)
     newer = (
         f"struct({', '.join(f's.`{c}`' for c in order)}) >= struct({', '.join(f't.`{c}`' for c in order)})"
     )
     spark.sql(
-        f"MERGE INTO {table} t USING lakestream_batch s ON {on} "
-        f"WHEN MATCHED AND {newer} THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *"
+        f"MERGE INTO {table} t USING {{batch}} s ON {on} "
+        f"WHEN MATCHED AND {newer} THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *",
+        batch=latest_per_key(batch, keys, order),
     )

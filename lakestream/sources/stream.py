@@ -21,19 +21,23 @@ def check_rate(batch_rows: int = DEFAULT_BATCH_ROWS, queue_rows: int = DEFAULT_Q
         raise ValueError("poll interval cannot be negative")
 
 
-def stage_files(df: DataFrame, path: str, order: str, files: int | None = None) -> None:
+def stage_files(df: DataFrame, path: str, order: str | list[str], files: int | None = None) -> None:
     """Write rows as files ranged by ``order``, the replay form of a topic."""
     spark = df.sparkSession
     files = files or max(8, spark.sparkContext.defaultParallelism)
-    df.repartitionByRange(files, order).write.mode("append").parquet(path)
+    df.repartitionByRange(files, *([order] if isinstance(order, str) else order)).write.mode("append").parquet(path)
 
 
-def stream_source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream a folder of Parquet files, a bounded number of files per micro-batch.
+def stream_source(
+    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None, bounded: bool = True
+) -> DataFrame:
+    """Stream a folder of Parquet files, a bounded number of files per micro-batch, or all there is if not ``bounded``.
 
     The default takes a quarter of the session's parallelism at least two files at a time, so the number of
     micro-batches stays the same when :func:`stage_files` writes more files on a larger cluster.
     """
+    if not bounded:
+        return spark.readStream.schema(schema).parquet(path)
     if files_per_trigger is None:
         files_per_trigger = max(2, spark.sparkContext.defaultParallelism // 4)
     check_rate(batch_rows=files_per_trigger)

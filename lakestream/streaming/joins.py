@@ -8,24 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakestream.operators.latest import current_rows, latest_per_key
-from lakestream.sources.lake import COMMIT, append, read_log, read_upserted, table_exists
+from lakestream.operators.ordered import null_safe_join
+from lakestream.sources.lake import append, fold_when, read_table_log, read_upserted
 
 
 def merge_aggregate(
     delta: DataFrame, path: str, commit: int, keys: Sequence[str], merges: dict[str, Column]
-) -> DataFrame:
-    """Add a batch of partial aggregates to a stored aggregate table; returns the changed rows as committed.
+) -> None:
+    """Add a batch of partial aggregates to a stored aggregate table.
 
     ``merges`` folds stored and new rows of a key, e.g. ``{"n": F.sum("n")}``. Only commits before this one
-    are read, so replaying the batch gives the same commit.
+    are read, and only the keys of the batch, so replaying the batch changes nothing.
     """
     spark = delta.sparkSession
     rows = delta
-    if table_exists(spark, path):
-        stored = read_upserted(spark, path, keys, [COMMIT], upto=commit - 1, only=delta)
+    if read_table_log(spark, path).schema is not None:
+        stored = read_upserted(spark, path, keys, [], upto=commit - 1, only=delta)
         rows = stored.select(*delta.columns).unionByName(delta)
     append(rows.groupBy(*keys).agg(*[col.alias(name) for name, col in merges.items()]), path, commit)
-    return read_log(spark, path).filter(F.col(COMMIT) == commit).drop(COMMIT)
 
 
 def maintain_join(
@@ -41,24 +41,37 @@ def maintain_join(
 ) -> None:
     """Apply one batch of changes of either side to both inputs and to the joined table.
 
-    Inputs and result are upsert tables keyed by ``on``. Keys the batch touched are joined again from the
-    current inputs; a key that has no joined row any more is written as deleted. The result equals the batch
-    join of the latest rows after every commit, whatever the order of arrival.
+    Inputs and result are upsert tables keyed by ``on``; a side of the batch may be empty. The result equals the
+    batch join of the latest rows after every commit, whatever the order of arrival.
     """
-    spark = left.sparkSession
-    keys = list(on)
     for side, path in ((left, left_path), (right, right_path)):
-        append(latest_per_key(side, keys, order), path, commit)
+        append(latest_per_key(side, on, order), path, commit)
+    refresh_join(left.select(*on).unionByName(right.select(*on)), left_path, right_path, out_path, commit, on, order, how)
+
 
-    touched = left.select(*keys).unionByName(right.select(*keys)).distinct()
+def refresh_join(
+    touched: DataFrame,
+    left_path: str,
+    right_path: str,
+    out_path: str,
+    commit: int,
+    on: Sequence[str],
+    order: Sequence[str],
+    how: str = "inner",
+) -> None:
+    """Join the touched keys again from the current inputs; a key without a joined row is written as deleted."""
+    spark, keys = touched.sparkSession, list(on)
+    touched = touched.distinct()
 
     def current(path: str) -> DataFrame:
         rows = read_upserted(spark, path, keys, order, upto=commit, only=touched)
-        return current_rows(rows).drop("__deleted", *order)
+        return (current_rows(rows) if "__deleted" in rows.columns else rows).drop("__deleted", *order)
 
     joined = current(left_path).join(current(right_path), keys, how).withColumn("__deleted", F.lit("false"))
-    gone = touched.join(joined.select(*keys), keys, "left_anti").withColumn("__deleted", F.lit("true"))
+    gone = null_safe_join(touched, joined.select(*keys), keys, "left_anti").withColumn("__deleted", F.lit("true"))
     append(joined.unionByName(gone, allowMissingColumns=True), out_path, commit)
+    for path, order_by in ((left_path, order), (right_path, order), (out_path, [])):
+        fold_when(spark, path, keys, order_by)
 
 
 def stream_join(

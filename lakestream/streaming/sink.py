@@ -7,11 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lakestream.operators.errors import Check, fail_fast, retry, split_errors
+from lakestream.operators.evolution import IncompatibleSchema
 from lakestream.operators.routing import route_by_field
-from lakestream.sources.lake import append, upsert_commit
+from lakestream.sources.cdc import decode_json
+from lakestream.sources.lake import FOLD_EVERY, append, fold_when, upsert_commit
 
 # Commit interval of a sink and of the debug sink, in seconds.
 COMMIT_INTERVAL = 60
@@ -49,19 +52,69 @@ def append_to(path: str, partition_by: str | None = None) -> Callable[[DataFrame
 
 
 def upsert_to(
-    path: str, ids: Sequence[str], order: Sequence[str], partition_by: str | None = None, scope: str = "global"
+    path: str,
+    ids: Sequence[str],
+    order: Sequence[str],
+    partition_by: str | None = None,
+    scope: str = "global",
+    dlq_path: str | None = None,
+    fold_every: int = FOLD_EVERY,
 ) -> Callable[[DataFrame, int], None]:
-    return lambda batch, batch_id: retry(
-        lambda: upsert_commit(batch, path, batch_id, ids, order, partition_by, scope)
+    """Upsert each batch, creating the table, growing its schema, and folding its commits as they gather.
+
+    A batch with a type the table cannot hold goes to ``dlq_path`` as JSON, or fails the query without one.
+    """
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        try:
+            retry(lambda: upsert_commit(batch, path, batch_id, ids, order, partition_by, scope))
+        except IncompatibleSchema as error:
+            if dlq_path is None:
+                raise
+            message = str(error)
+            retry(lambda: append(schema_letters(batch, message), dlq_path, batch_id))
+            return
+        fold_when(batch.sparkSession, path, ids, order, partition_by, scope, fold_every)
+
+    return commit
+
+
+def shifted(commit: Callable[[DataFrame, int], None], by: int) -> Callable[[DataFrame, int], None]:
+    """Number batches from ``by`` on: a job restarted without its checkpoint continues after the table's commits."""
+    return lambda batch, batch_id: commit(batch, batch_id + by)
+
+
+def schema_letters(batch: DataFrame, message: str) -> DataFrame:
+    """Dead letters of a batch whose schema does not fit: the whole record as JSON, and why."""
+    return batch.select(
+        F.to_json(F.struct(*batch.columns)).alias("record"),
+        F.lit("schema").alias("error_stage"),
+        F.lit("IncompatibleSchema").alias("error_class"),
+        F.lit(message).alias("error_message"),
     )
 
 
+def upsert_topics_to(
+    folder: str, field: str, value: str, schemas: dict[str, T.StructType], ids: Sequence[str], order: Sequence[str]
+) -> Callable[[DataFrame, int], None]:
+    """Route records whose targets have schemas of their own: a table per target, ``value`` decoded as it asks."""
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        routed = route_by_field(batch, field)
+        for target, schema in schemas.items():
+            rows = decode_json(routed.filter(F.col("target") == target).select(value), schema, value).select(*schema.names)
+            upsert_to(f"{folder}/{target}", ids, order)(rows, batch_id)
+
+    return keeping(commit)
+
+
 def upsert_routed_to(
     path: str, field: str, ids: Sequence[str], order: Sequence[str]
 ) -> Callable[[DataFrame, int], None]:
     """Route by a field and upsert: all target tables of a batch are written by one job, a folder per target.
 
-    Every target is a partition of ``path``; records without a target are left out.
+    Every target is a partition of ``path``; records without a target are left out. Targets share one schema; see
+    :func:`upsert_topics_to` for targets with their own.
     """
 
     def commit(batch: DataFrame, batch_id: int) -> None:

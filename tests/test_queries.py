@@ -5,14 +5,17 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from lakestream.plans import registry
 from tools.compare import compare, connect
 
 STREAMS = {
     "customer_order_analytics_stream",
+    "evolve_stream_upsert",
     "late_data",
     "restart_last_state",
     "restart_savepoint",
     "restart_stateless",
+    "sql_script_stream",
     "state_session_timeout",
     "stateful_count",
     "stream_dedup",
@@ -20,6 +23,7 @@ STREAMS = {
     "stream_join_ack",
     "stream_rate_limited",
     "stream_routed",
+    "stream_sink_metrics",
     "stream_upsert_final",
     "tumble_hourly_stream",
 }
@@ -40,16 +44,16 @@ def test_entry(spark):
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"agg_approx", "sample_seeded"}
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, sf_dir, name):
     ok, note = compare(spark, con, name, sf_dir)
     assert ok, note
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - STREAMS))
 def test_plan(spark, sf_dir, name):
     plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):
