@@ -1,7 +1,7 @@
 """Packing by concatenation: all documents' tokens as one stream, cut into windows of equal length.
 
 Pass one tokenizes: each row gets its ids and the number of tokens before it in its partition. Partition totals
-give each partition's place in the stream (one row per partition, prefix sums). Pass two cuts each document at the
+give each partition's place in the stream (one row per partition, prefix sums, broadcast). Pass two cuts each document at the
 multiples of the window length; a piece at a boundary says so.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,27 +29,47 @@ class Ids(dict):
     def __init__(self, path: str):
         self.cutter = cutter(path)
 
-    def of(self, texts: list[str]) -> list[bytes]:
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and how many each has."""
         pieces = [self.cutter.cut(t) for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in self})
+        codes, distinct = pd.factorize(np.array([p for ps in pieces for p in ps], dtype=object))
+        new = [p for p in distinct if p not in self]
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = list({p for ps in pieces for p in ps})
-        for piece, ids in zip(new, self.cutter.tokens(new), strict=True):
-            self[piece] = np.array(ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, ps)) for ps in pieces]
+            new = distinct.tolist()
+        ids, lengths = self.cutter.tokens(new)
+        data, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(lengths)
+        self.update(zip(new, [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)], strict=True))
+        parts = [self[p] for p in distinct]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        # each occurrence takes its pre-token's run of ids: where the run starts, less where it goes, plus its place
+        run = sizes[codes]
+        goes = np.cumsum(run) - run
+        flat = np.frombuffer(b"".join(parts), "<u4")[np.repeat(starts[codes] - goes, run) + np.arange(run.sum())]
+        ends = np.concatenate([[0], np.cumsum([len(ps) for ps in pieces])])
+        at = np.concatenate([goes, [run.sum()]])[ends]
+        return flat, np.diff(at)
+
+
+@lru_cache(1)
+def remembered(path: str) -> Ids:
+    """One per worker process, so that tasks go on with what earlier ones met."""
+    return Ids(path)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """``part, before, doc_id, ids``: a document's ids with ``end_id`` after them, and the tokens before it in its task."""
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, end, done = Ids(path), np.array([end_id], "<u4").tobytes(), 0
+        known, end, done = remembered(path), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             for start in range(0, len(texts), 500):
-                ids = [b + end for b in known.of(texts[start : start + 500])]
-                sizes = np.array([len(b) // 4 for b in ids], np.int64)
+                flat, sizes = known.of(texts[start : start + 500])
+                data, ends = flat.tobytes(), 4 * np.cumsum(sizes)
+                ids = [data[b - 4 * n : b] + end for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                sizes = sizes + 1
                 rows = batch.iloc[start : start + 500][["part", "doc_id"]]
                 yield rows.assign(before=done + np.cumsum(sizes) - sizes, n=sizes, ids=ids)
                 done += int(sizes.sum())
@@ -70,7 +91,8 @@ def packed(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> D
     totals = rows.groupBy("part").agg(F.sum("n").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    placed = rows.join(base, "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "ids")
+    # a row of two numbers for each task of the pass before
+    placed = rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("before")).alias("at"), "ids")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

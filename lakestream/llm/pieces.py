@@ -12,6 +12,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 #: Characters on which the short way and the tokenizer agree: they are their own composed form, have a one-character
@@ -46,6 +47,9 @@ class Cutter:
         # pre-tokens come normalised, and are no place to look for special strings
         settings |= {"added_tokens": [], "normalizer": None}
         self.bare = Tokenizer.from_str(json.dumps(settings))
+        suffix = settings["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.bare.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.bare.get_vocab().items() if token.endswith(suffix)]] = True
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
     def cut(self, text: str) -> list[str]:
@@ -60,10 +64,26 @@ class Cutter:
                 out += [clean[a:b] for _, (a, b) in self.split.pre_tokenize_str(clean)]
         return out
 
-    def tokens(self, pieces: list[str]) -> list[list[int]]:
-        """Token ids of each pre-token."""
-        out = [e.ids for e in self.bare.encode_batch(pieces, add_special_tokens=False)]
-        return [[self.special[p[1:]]] if p[:1] == "\0" and p[1:] in self.special else ids for p, ids in zip(pieces, out, strict=True)]
+    def tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the pre-tokens one after the other, and how many each has.
+
+        They are tokenized as one text of many words: no pre-token holds white space, and the last token of each, and
+        no other, carries the mark of a word's end.
+        """
+        marked = {i: self.special[p[1:]] for i, p in enumerate(pieces) if p[:1] == "\0" and p[1:] in self.special}
+        plain = [p for i, p in enumerate(pieces) if i not in marked] if marked else pieces
+        ids = np.array(
+            [t for a in range(0, len(plain), 1000) for t in self.bare.encode(" ".join(plain[a : a + 1000])).ids], np.uint32
+        )
+        lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(lengths) != len(plain):
+            raise ValueError("the tokenizer does not mark the ends of words")
+        if marked:
+            where = np.array(sorted(marked)) - np.arange(len(marked))
+            at = np.concatenate([[0], np.cumsum(lengths)])[where]
+            ids = np.insert(ids, at, [marked[i] for i in sorted(marked)])
+            lengths = np.insert(lengths, where, 1)
+        return ids, lengths
 
 
 @lru_cache(1)
