@@ -29,6 +29,11 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that helper columns cannot clash with any of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

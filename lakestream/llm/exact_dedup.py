@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakestream.llm.common import one_spaced, saved
+from lakestream.llm.common import one_spaced, saved, whole_row
 
 #: Digests named by the summary, and counters it keeps: a digest with over 1 / COUNTERS * 4 of the rows is found.
 WINNERS, COUNTERS = 1024, 16384
@@ -75,7 +75,7 @@ def without_copies(docs: DataFrame, winners: int = WINNERS, counters: int = COUN
         F.col("digest").alias("_heavy"), F.struct("keep.doc_id").alias("_keep")
     )
     heavy = saved(heavy, "heavy-digests")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), digest_of(F.col("text")).alias("_digest"))
+    rows = docs.select(whole_row(docs), digest_of(F.col("text")).alias("_digest"))
     rows = rows.join(F.broadcast(heavy), F.col("_digest") == F.col("_heavy"), "left")
     rows = rows.filter(F.col("_heavy").isNull() | (F.struct(F.col("_row")["doc_id"]) == F.col("_keep")))
     doc_id = F.col("_row")["doc_id"]

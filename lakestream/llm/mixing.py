@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakestream.llm.common import count_words, filled, prefix_sums, saved
+from lakestream.llm.common import count_words, filled, prefix_sums, saved, whole_row
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -133,9 +133,9 @@ def mixed_documents(
         (F.col("taken") - F.col("_turn") * F.col("size") < F.col("size")).alias("_cut"),
         due(F.col("_turn")).alias("_position"),
     )
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.struct("doc_id").alias("_key"))
+    rows = docs.select(whole_row(docs), F.struct("doc_id").alias("_key"))
     joined = rows.join(turns, "_key").repartitionByRange("_position").sortWithinPartitions("_position")
     text = F.col("_row")["text"]
     words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.when(F.col("_cut"), F.array_join(F.slice(words, F.lit(1), F.col("_words")), "")).otherwise(text)
-    return joined.select(*[(cut if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
+    return joined.select(*[(cut if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns])

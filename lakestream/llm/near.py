@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakestream.llm.common import SPACE, WORD, filled, saved, slices
+from lakestream.llm.common import SPACE, WORD, filled, saved, slices, whole_row
 from lakestream.llm.components import components
 
 WORDS = re.compile(WORD)
@@ -40,7 +40,7 @@ def banding(threshold: float, recall: float, hashes: int = 128) -> tuple[int, in
     """
     fits = []
     for rows in range(1, hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows)))
         if bands * rows <= hashes:
             fits.append((rows, bands))
     rows, bands = max(fits)
@@ -295,5 +295,5 @@ def one_per_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     """
     kept = near_classes(docs, n, threshold, recall).filter("kept").select(F.struct("doc_id", "key").alias("_at"))
     key = text_key(F.col("text"))
-    rows = docs.select(F.struct("doc_id", key.alias("key")).alias("_at"), F.struct(*docs.columns).alias("_row"))
+    rows = docs.select(F.struct("doc_id", key.alias("key")).alias("_at"), whole_row(docs))
     return rows.join(kept, "_at", "left_semi").dropDuplicates(["_at"]).select("_row.*")
