@@ -98,6 +98,10 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return counted.select("*", *[F.expr(e).alias(n) for n, e in FEATURES.items()])
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: str
@@ -151,7 +155,8 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndarray],
             for above, pos, size in ((False, hits, place), (True, p - hits, n - place)):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gains = np.where(pos > 0, pos * (np.log2(pos / size) - np.log2(p / n)), -1.0)
-                k = int(np.argmax(gains))
+                best_here = np.flatnonzero(gains >= gains.max() - 1e-9)
+                k = int(best_here[len(best_here) // 2])  # in the middle of the gap, away from both sides
                 if gains[k] > gain:
                     best, gain = Condition(name, above, float(thresholds[k])), gains[k]
         if best is None:
@@ -170,8 +175,16 @@ def learn(
     rules: int = 24,
     thresholds: int = 48,
 ) -> DecisionList:
-    """Sequential covering: rows two of three grow, the third prunes; a rule must be precise on what prunes it."""
-    cuts = {n: np.unique(np.quantile(v, np.linspace(0, 1, thresholds + 2)[1:-1])) for n, v in x.items() if len(v)}
+    """Sequential covering: rows two of three grow, the third prunes; a rule must be precise on what prunes it.
+
+    Thresholds lie between distinct values of a feature, evenly spread over them.
+    """
+    cuts = {}
+    for name, values in x.items():
+        distinct = np.unique(values)
+        between = (distinct[1:] + distinct[:-1]) / 2
+        if len(between):
+            cuts[name] = np.unique(between[np.linspace(0, len(between) - 1, thresholds).astype(int)])
     found: list[tuple[Condition, ...]] = []
     left = np.arange(len(bad))
     for turn in range(rules):
@@ -200,13 +213,13 @@ def learn(
 def learned_list(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DecisionList:
     """Learn from at most ``sample`` labelled documents, those of the smallest hashes of ``doc_id``.
 
-    Their statistics, a few numbers each, are gathered at the driver; ``sample`` bounds them at every size.
+    Documents that the base rules reject teach nothing: the list decides about the others. Their statistics, a few numbers each, are gathered at the driver; ``sample`` bounds them at every size.
     """
     chosen = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     stats = text_statistics(rows).join(F.broadcast(chosen), "doc_id")
-    table = stats.select("doc_id", "quality", *FEATURES).toPandas()
+    table = stats.filter(~base_failed()).select("doc_id", "quality", *FEATURES).toPandas()
     table = table.sort_values(["doc_id", *FEATURES], ignore_index=True)
     return learn({f: table[f].to_numpy(float) for f in FEATURES}, (table["quality"] == 0).to_numpy())
 
@@ -219,7 +232,6 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -
     words; null ids and repeated rows are rows of their own; an empty table gives no rows. Other columns are ignored.
     """
     rules = learned_list(docs, labels, sample)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    stats = text_statistics(docs).withColumn("base_failed", failed).withColumn("rule", rules.number())
+    stats = text_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", rules.number())
     kept = ~F.col("base_failed") & (F.col("rule") == 0)
     return stats.select("doc_id", *COUNTS[:5], "base_failed", kept.alias("kept"), "rule")
