@@ -9,7 +9,6 @@ a risk and cannot be below zero; when an estimate falls below, the step goes aga
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakestream.llm.common import saved
+
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -46,18 +47,18 @@ class Scorer:
         return out / max(1, len(self.bias))
 
 
-def sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([i for r in rows for i in r], np.int64)
+def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
 
 
 def fit_one(
-    positive: list[list[int]],
-    unlabelled: list[list[int]],
+    positive: list[np.ndarray],
+    unlabelled: list[np.ndarray],
     size: int,
     prior: float,
-    steps: int = 200,
-    rate: float = 0.05,
-    shrink: float = 1e-3,
+    steps: int = 300,
+    rate: float = 0.1,
+    shrink: float = 1e-4,
 ) -> tuple[np.ndarray, float]:
     """Adam on the non-negative risk with the logistic loss."""
     (p_row, p_col), (u_row, u_col) = sparse(positive), sparse(unlabelled)
@@ -80,40 +81,39 @@ def fit_one(
 
 
 def fit(
-    positive: list[set[str]], unlabelled: list[set[str]], prior: float, models: int = 3, vocabulary: int = 8192
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], vocabulary: list[str], prior: float, models: int = 3
 ) -> Scorer:
-    """Train ``models`` classifiers, each on its own share of the unlabelled rows.
+    """Train ``models`` classifiers, each on its own share of the unlabelled rows; rows are indexes of their words."""
+    if not len(positive) or not len(unlabelled):
+        return Scorer([], np.zeros((1, 0)), np.array([-4.0]))
+    size = len(vocabulary)
+    fitted = [fit_one(positive, unlabelled[k::models] or unlabelled, size, prior) for k in range(models)]
+    return Scorer(vocabulary, np.array([w for w, _ in fitted]).reshape(models, -1), np.array([b for _, b in fitted]))
+
 
-    Words are those that separate the positives best from the unlabelled rows (by a signed chi-square on
-    document counts), so a word must be more common among the toxic than chance explains, or less.
+def telling_words(rows: DataFrame, sizes: dict[int, int], most: int) -> list[str]:
+    """At most ``most`` words of sample rows ``(sort, words)`` that separate the positives (1) from the others (0).
+
+    Counted by documents; a word tells if it is more common among the positives, or less, than chance explains
+    (chi-square above 20).
     """
-    if not positive or not unlabelled:
-        return Scorer([], np.zeros((1, 0)), np.array([-4.0]))
-    in_p, in_u = Counter(), Counter()
-    for row in positive:
-        in_p.update(row)
-    for row in unlabelled:
-        in_u.update(row)
-    n_p, n_u = len(positive), len(unlabelled)
-
-    def gap(word: str) -> float:
-        p, u = in_p[word], in_u[word]
-        expect = (p + u) * n_p / (n_p + n_u)
-        return (p - expect) ** 2 / max(expect, 1e-9)
-
-    often = max(3, n_p // 100)
-    chosen = sorted((w for w in in_p if in_p[w] >= often and gap(w) >= 10.8), key=lambda w: (-gap(w), w))[:vocabulary]
-    index = {w: i for i, w in enumerate(chosen)}
-    coded = [[[index[w] for w in sorted(row) if w in index] for row in rows] for rows in (positive, unlabelled)]
-    fitted = [fit_one(coded[0], coded[1][k::models] or coded[1], len(chosen), prior) for k in range(models)]
-    return Scorer(chosen, np.array([w for w, _ in fitted]).reshape(models, -1), np.array([b for _, b in fitted]))
-
-
-def learned_scorer(docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabelled: int = 18_000) -> Scorer:
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    counts = rows.select("sort", F.explode("words").alias("word")).groupBy("word").agg(
+        F.count_if(F.col("sort") == 1).alias("p"), F.count("*").alias("n")
+    )
+    expected = F.col("n") * (n_p / max(1, n_p + n_u))
+    gap = (F.col("p") - expected) * (F.col("p") - expected) / expected
+    chosen = counts.filter(F.col("p") >= max(3, n_p // 100)).withColumn("gap", gap).filter("gap >= 20")
+    return [r["word"] for r in chosen.orderBy(F.desc("gap"), "word").limit(most).select("word").collect()]
+
+
+def learned_scorer(
+    docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabelled: int = 18_000, vocabulary: int = 8_192
+) -> Scorer:
     """Fit on bounded samples of documents that are not held out, those of the smallest hashes of ``doc_id``.
 
-    At most ``positives`` documents labelled toxic and ``unlabelled`` ones of any kind come to the driver as sets of
-    words. The class prior is the toxic share of all labelled rows that are not held out.
+    At most ``positives`` documents labelled toxic and ``unlabelled`` ones of any kind come to the driver, as indexes
+    of at most ``vocabulary`` words. The class prior is the toxic share of all labelled rows that are not held out.
     """
     usable = labels.select("doc_id", "toxic").dropna().filter(~is_held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     seen = usable.agg(F.avg("toxic")).first()[0]
@@ -124,12 +124,17 @@ def learned_scorer(docs: DataFrame, labels: DataFrame, positives: int = 6_000, u
     other = train.orderBy(*order).limit(unlabelled)
     wanted = toxic.withColumn("sort", F.lit(1)).unionByName(other.withColumn("sort", F.lit(0)))
     words = F.pandas_udf(lambda texts: texts.map(lambda t: sorted(terms(t))), "array<string>")
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "sort", words("text").alias("t"))
-    table = rows.toPandas()
-    table["key"] = table["t"].map(" ".join)
-    table = table.sort_values(["doc_id", "key"], ignore_index=True)
-    sets = [[set(t) for t in table.loc[table["sort"] == s, "t"]] for s in (1, 0)]
-    return fit(sets[0], sets[1], prior)
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "sort", words("text").alias("words"))
+    rows = saved(rows, "toxicity-sample")
+    telling = telling_words(rows, {r["sort"]: r["count"] for r in rows.groupBy("sort").count().collect()}, vocabulary)
+    index = {w: i for i, w in enumerate(telling)}
+    coded = F.pandas_udf(
+        lambda lists: lists.map(lambda ws: np.array([i for i in map(index.get, ws) if i is not None], "<i4").tobytes()), "binary"
+    )
+    table = rows.select("doc_id", "sort", coded("words").alias("coded")).toPandas()
+    table = table.sort_values(["doc_id", "coded"], ignore_index=True)
+    sides = [[np.frombuffer(b, "<i4") for b in table.loc[table["sort"] == side, "coded"]] for side in (1, 0)]
+    return fit(sides[0], sides[1], telling, prior)
 
 
 def toxicity_score(scorer: Scorer) -> Column:
