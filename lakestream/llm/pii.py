@@ -41,6 +41,8 @@ DIGIT_WORDS = {
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
+#: Written out without brackets, an address must end in one of these: "look at the dot on" is none.
+TOP_DOMAINS = frozenset("com org net edu gov io de fr es uk eu info co ai dev us ch at it nl me".split())
 AT_WORDS, DOT_WORDS = r"(?:at|arroba|ät|chez)", r"(?:dot|point|punkt|punto)"
 INVISIBLE = "­​‌‍⁠﻿"
 
@@ -136,9 +138,9 @@ class Mapped:
             self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
         return self
 
-    def within(self, pattern: re.Pattern, *steps: tuple[re.Pattern, str]) -> Mapped:
-        """Rewrite by ``steps``, but only inside the matches of ``pattern``."""
-        areas = [m.span() for m in pattern.finditer(self.text)]
+    def within(self, pattern: re.Pattern, accept: Callable[[str], bool], *steps: tuple[re.Pattern, str]) -> Mapped:
+        """Rewrite by ``steps``, but only inside the accepted matches of ``pattern``."""
+        areas = [m.span() for m in pattern.finditer(self.text) if accept(m[0])]
         out = Mapped("")
         texts, at = [], 0
         for a, b in [*areas, (len(self.text), len(self.text))]:
@@ -164,6 +166,11 @@ def look_alike(m: re.Match) -> str:
     return plain if plain.isascii() else m[0]
 
 
+def is_address(text: str) -> bool:
+    """A sign or a bracketed word shows intent; bare words need a top-level domain at the end."""
+    return bool(re.search(r"[@\[({<]", text)) or re.split(r"[^A-Za-z0-9]+", text)[-1].lower() in TOP_DOMAINS
+
+
 def spelled(m: re.Match) -> str:
     parts = [p[0].lower() for p in SPELLED_PART.finditer(m[0])]
     return "".join("+" if p == "plus" else str(DIGIT_WORDS[p]) for p in parts)
@@ -176,7 +183,7 @@ def disguised(text: str) -> list[Span]:
         normal.rewrite(SUSPECT, look_alike)
     normal.rewrite(SPELLED, spelled)
     if DISGUISED_DOT.search(normal.text):
-        normal = normal.within(WRITTEN, (WRITTEN_AT, "@"), (WRITTEN_DOT, "."))
+        normal = normal.within(WRITTEN, is_address, (WRITTEN_AT, "@"), (WRITTEN_DOT, "."))
     if normal.text == text:
         return []
     found = []
