@@ -3,7 +3,15 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lakestream.operators.governance import check_compat, conform, conformance, effective_level, latest_schema
+from lakestream.operators.errors import split_errors
+from lakestream.operators.governance import (
+    check_compat,
+    conform,
+    conformance,
+    conformance_checks,
+    effective_level,
+    latest_schema,
+)
 from lakestream.operators.lineage import job_status, lineage_closure, lineage_edges
 
 VERSION = "subject string, version long, field string, type string, nullable boolean, has_default boolean"
@@ -38,6 +46,32 @@ def test_levels(spark, level, width):
     assert got == {n: level not in broken for n, (_, _, broken) in CHANGES.items()}
 
 
+def test_default_and_unknown_levels(spark):
+    data = [("s", 1, "a", "int", False, False), ("s", 2, "a", "string", False, False)]
+    versions = spark.createDataFrame(data, VERSION)
+    none = spark.createDataFrame([("s", None), ("t", "FULL")], "subject string, level string")
+    for levels in (none, none.filter("subject = 't'")):
+        assert [(r["level"], r["ok"]) for r in check_compat(versions, levels).collect()] == [("BACKWARD", False)]
+    with pytest.raises(Exception, match="unknown compatibility level: BACKWARD_TRANSITIVE"):
+        check_compat(versions, spark.createDataFrame([("s", "BACKWARD_TRANSITIVE")], "subject string, level string")).collect()
+
+
+def test_records_that_do_not_conform_become_dead_letters(spark):
+    df = spark.createDataFrame([("1", "x"), (None, "2"), ("3", None)], "a string, b string")
+    checks = conformance_checks({"a": ("int", True), "b": ("int", False)})
+    good, bad = split_errors(df, checks, "c", ["a", "b"], F.lit("dlq"))
+    assert [tuple(r) for r in good.collect()] == [("3", None)]
+    assert [(r["a"], r["error_class"], r["error_message"]) for r in bad.collect()] == [
+        ("1", "WrongType", "b:type"), (None, "MissingField", "a:missing")
+    ]
+
+
+def test_closure_goes_on_to_the_end_of_a_chain(spark):
+    edges = [(f"d{i}", f"j{i}", "reads") for i in range(45)] + [(f"j{i}", f"d{i + 1}", "writes") for i in range(45)]
+    reached = lineage_closure(spark, spark.createDataFrame(edges, "source string, target string, kind string"), "d0")
+    assert {tuple(r) for r in reached.collect()} == {(f"d{i}", i) for i in range(1, 46)}
+
+
 def test_first_versions_are_not_checked_and_violations_are_listed(spark):
     data = [("s", 1, "a", "int", False, False), ("s", 2, "a", "string", False, False), ("s", 2, "b", "int", False, False)]
     levels = spark.createDataFrame([("s", "FULL")], "subject string, level string")

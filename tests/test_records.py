@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestream.operators.records import unwrap, unwrap_and_route
+from lakestream.functions.udf import Ngrams, digit_sum, geometric_mean
 from lakestream.sources.cdc import cdc_feed, decode_json, filter_tables, kafka_source, read_snapshot, subscribe
 from lakestream.sources.stream import check_rate
 
@@ -123,3 +124,28 @@ def test_limits_are_validated(spark):
             check_rate(**bad)
     with pytest.raises(ValueError):
         read_snapshot(spark, "jdbc:x", "t", "id", 0, 1, 0)
+
+
+def test_records_without_an_operation_are_kept(spark):
+    row = "struct<id: int>"
+    schema = f"topic string, value struct<before: {row}, after: {row}, op: string, source: struct<ts_ms: bigint>>"
+    feed = spark.createDataFrame([("t", (None, (1,), None, None)), ("t", ((2,), None, "d", None))], schema)
+    for mode, ids in (("drop", [1]), ("rewrite", [1, 2]), ("none", [None, 1])):
+        assert sorted((r["id"] for r in unwrap(feed, mode).collect()), key=str) == sorted(ids, key=str)
+
+
+def test_patterns_match_whole_topics(spark):
+    df = spark.createDataFrame([("a.b",), ("a.bc",), ("xa.b",)], "topic string")
+    assert [r["topic"] for r in subscribe(df, pattern=r"a\.b").collect()] == ["a.b"]
+
+
+def test_user_functions_on_nulls(spark):
+    smallest = -(1 << 63)
+    df = spark.createDataFrame([("a", 4.0, 1209), ("a", None, None), (None, 2.0, smallest), ("b", None, 0), (None, 8.0, -5)], "k string, v double, n long")
+    got = {r["n"]: r["d"] for r in df.select("n", digit_sum("n").alias("d")).collect()}
+    assert got == {1209: 12, None: None, smallest: sum(map(int, str(1 << 63))), 0: 0, -5: 5}
+    means = {r["k"]: r["geo_mean"] for r in geometric_mean(df, "k", "v").collect()}
+    assert means["a"] == pytest.approx(4) and means[None] == pytest.approx(4) and means["b"] is None
+    texts = spark.createDataFrame([("u", "a b c"), ("u", None), (None, "x y")], "role string, text string")
+    grams = {tuple(r) for r in Ngrams(texts.asTable(), F.lit(2)).collect()}
+    assert grams == {("u", "a b"), ("u", "b c"), (None, "x y")}

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from lakestream.session import small_side, stream_session, work_dir
+from lakestream.session import sibling, stream_session, work_dir
 
 
 class Fake:
@@ -27,21 +27,23 @@ def test_work_folders_are_fresh_and_under_the_shared_folder(spark):
     assert first != second
     shared = spark.conf.get("spark.checkpoint.dir", None)
     assert shared is None or first.startswith(shared)
-    assert spark.sparkContext.getCheckpointDir() is not None
 
 
 def test_only_local_sessions_fall_back_to_a_temporary_folder():
     local = Fake("local[2]")
     base = work_dir(local, "x").split("/lakestream/")[0]
-    assert local.folder == base and work_dir(local, "y").startswith(base)
+    assert local.folder is None and work_dir(local, "y").startswith(base)
     with pytest.raises(ValueError):
         work_dir(Fake("yarn"), "x")
 
 
-def test_broadcast_hint_is_bounded(spark):
-    df = spark.range(1000)
-    assert "broadcast" in small_side(df)._jdf.queryExecution().logical().toString()
-    assert small_side(df, limit_bytes=10) is df
+def test_siblings_share_settings_and_not_views(spark):
+    spark.range(3).createOrReplaceTempView("only_here")
+    other = sibling(spark)
+    assert other.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert stream_session(spark).conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert not other.catalog.tableExists("only_here")
+    spark.catalog.dropTempView("only_here")
 
 
 def test_stream_session_leaves_the_callers_settings_alone(spark):

@@ -80,24 +80,51 @@ def test_commits_replay_and_fold(spark, rows):
     assert rows(upto) == expected(data[0::3], lambda r: r[:2])
     only = spark.createDataFrame([(0,)], "id bigint")
     assert {r["id"] for r in lake.read_upserted(spark, f"{base}/t", **options, only=only).collect()} == {0}
-    last = lake.fold(spark, f"{base}/t", f"{base}/f", **options)
-    folded = lake.read_log(spark, f"{base}/f")
+    last = lake.fold(spark, f"{base}/t", **options)
+    folded = lake.read_log(spark, f"{base}/t")
     assert rows(folded.select("id", "part", "pos", "v")) == want
     assert [r[0] for r in folded.select("commit").distinct().collect()] == [last] == [2]
-    # later commits go on top of the folded one: a newer row, an outdated one and a new key
+    # replays of folded batches change nothing, later ones go on top: a newer row, an outdated one and a new key
     later = [(0, "a", 10_000, "last"), (0, "b", -1, "outdated"), (99, "c", 1, "new")]
-    lake.upsert_commit(spark.createDataFrame(later, SCHEMA), f"{base}/f", 3, ["id"], ["pos"], "part", "partition")
-    both = [lake.read_upserted(spark, f"{base}/f", **options, folded=f) for f in (None, last)]
-    got = [rows(df.select("id", "part", "pos", "v")) for df in both]
-    assert got[0] == got[1] == expected(data + later, lambda r: r[:2])
+    for commit, batch in ((2, data[2::3]), (0, data[0::3]), (3, later), (3, later)):
+        lake.upsert_commit(spark.createDataFrame(batch, SCHEMA), f"{base}/t", commit, ["id"], ["pos"], "part", "partition")
+    for _ in range(3):
+        got = lake.read_upserted(spark, f"{base}/t", **options).select("id", "part", "pos", "v")
+        assert rows(got) == expected(data + later, lambda r: r[:2])
+        lake.fold(spark, f"{base}/t", **options)
+    assert lake.read_table_log(spark, f"{base}/t").newer() == []
+
+
+def test_unfinished_commits_are_not_seen(spark):
+    path = work_dir(spark, "lake")
+    lake.append(spark.range(3), path, 0)
+    lake.append(spark.range(3, 5), path, 1)
+    spark.range(100).write.parquet(f"{path}/commit=2")
+    assert lake.read_log(spark, path).count() == 5
+    lake.append(spark.range(5, 6), path, 2)
+    assert lake.read_log(spark, path).count() == 6
+
+
+def test_empty_tables_are_read_with_their_schema(spark):
+    path = work_dir(spark, "lake")
+    with pytest.raises(FileNotFoundError):
+        lake.read_log(spark, path)
+    for partition_by in (None, "part"):
+        path = work_dir(spark, "lake")
+        lake.append(spark.createDataFrame([], SCHEMA), path, 0, partition_by)
+        assert lake.read_upserted(spark, path, ["id"], ["pos"]).columns == ["id", "part", "pos", "v"]
+        lake.append(spark.createDataFrame([(1, "x", 1, "a"), (2, None, 1, "b")], SCHEMA), path, 1, partition_by)
+        assert lake.read_log(spark, path).count() == 2
+        lake.fold(spark, path, ["id"], ["pos"], partition_by)
+        assert lake.read_log(spark, path).count() == 2
 
 
 def test_folded_table_is_read_without_a_shuffle(spark):
     base = work_dir(spark, "lake")
     lake.upsert_commit(spark.range(1000).withColumn("pos", F.lit(0)), f"{base}/t", 0, ["id"], ["pos"])
-    last = lake.fold(spark, f"{base}/t", f"{base}/f", ["id"], ["pos"])
-    lake.upsert_commit(spark.range(5).withColumn("pos", F.lit(1)), f"{base}/f", 1, ["id"], ["pos"])
-    df = lake.read_upserted(spark, f"{base}/f", ["id"], ["pos"], folded=last)
+    lake.fold(spark, f"{base}/t", ["id"], ["pos"])
+    lake.upsert_commit(spark.range(5).withColumn("pos", F.lit(1)), f"{base}/t", 1, ["id"], ["pos"])
+    df = lake.read_upserted(spark, f"{base}/t", ["id"], ["pos"])
     assert df.agg(F.sum("pos")).first()[0] == 5 and df.count() == 1000
     plan = df._jdf.queryExecution().executedPlan().toString()
     kept = plan[plan.index("Union") : plan.index("BroadcastExchange")]
@@ -122,16 +149,19 @@ def test_evolution_types():
 
 def test_evolving_table(spark, rows):
     path = work_dir(spark, "evolving")
-    schema = lake.append_evolving(spark.createDataFrame([(1, "x")], "a int, b string"), path, 0, None)
-    schema = lake.append_evolving(spark.createDataFrame([(1 << 40, 2.5)], "a bigint, c double"), path, 1, schema)
-    schema = lake.append_evolving(spark.createDataFrame([(3,)], "a int"), path, 2, schema)
-    got = lake.read_log(spark, path, schema).select("a", "b", "c")
+    lake.append(spark.createDataFrame([(1, "x")], "a int, b string"), path, 0)
+    lake.append(spark.createDataFrame([(1 << 40, 2.5)], "a bigint, c double"), path, 1)
+    lake.append(spark.createDataFrame([(3,)], "a int"), path, 2)
+    with pytest.raises(evolution.IncompatibleSchema):
+        lake.append(spark.createDataFrame([("x",)], "a string"), path, 3)
+    got = lake.read_log(spark, path).select("a", "b", "c")
     assert rows(got) == sorted([(1, "x", None), (1 << 40, None, 2.5), (3, None, None)], key=repr)
 
 
 def test_compaction_and_retention(spark):
     now = datetime(2024, 1, 31)
     data = [(key, i, now - timedelta(days=i)) for key in (1, 2) for i in range(20)]
+    undated = spark.createDataFrame([(1, 1, None), (1, 2, None), (None, 3, None)], "k int, pos int, ts timestamp_ntz")
     log = spark.createDataFrame([(k, 100 - i, t) for k, i, t in data], "k int, pos int, ts timestamp_ntz")
     at = F.lit(str(now)).cast("timestamp_ntz")
     kept = compact(log, ["k"], "pos", "ts", at).collect()
@@ -140,6 +170,9 @@ def test_compaction_and_retention(spark):
     assert clean(log, "delete", *args).count() == 8
     assert clean(log, "compact,delete", *args).count() == 8
     assert clean(log, "compact", *args).count() == 18
+    # what has no time has no age
+    for policy in ("delete", "compact", "compact,delete"):
+        assert clean(undated, policy, *args).count() == 3
     with pytest.raises(ValueError):
         clean(log, "shrink", *args)
 
