@@ -45,20 +45,29 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _feed(mode: str, has_offset: bool, sources: str):
-    parts = " UNION ALL ".join(f"SELECT * FROM {s}" for s in sources.split())
+def _feed(mode: str, first: str, restarted: str):
+    """The feed of a first start, and of a start that finds a stored position."""
+    parts = " UNION ALL ".join(
+        f"SELECT {state} AS has_offset, * FROM {s}"
+        for state, sources in (("false", first), ("true", restarted))
+        for s in sources.split()
+    )
 
     @query(f"cdc_feed_{mode}", f"WITH {CDC_SQL}, {SNAPSHOT_SQL} {parts}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        feed = cdc_feed(_snapshot(spark, sf_dir), cdc_events(spark, sf_dir), mode, has_offset)
-        return feed.select("key", "offset", "topic", "value.op", "value.ts_ms", "value.after.*")
+        def start(has_offset: bool) -> DataFrame:
+            feed = cdc_feed(_snapshot(spark, sf_dir), cdc_events(spark, sf_dir), mode, has_offset)
+            state = F.lit(has_offset).alias("has_offset")
+            return feed.select(state, "key", "offset", "topic", "value.op", "value.ts_ms", "value.after.*")
+
+        return start(False).unionByName(start(True))
 
 
-_feed("always", True, "snap changes")
-_feed("initial", False, "snap changes")
-_feed("never", False, "changes")
-_feed("schema_only", False, "changes")
-_feed("when_needed", True, "changes")
+_feed("always", "snap changes", "snap changes")
+_feed("initial", "snap changes", "changes")
+_feed("never", "changes", "changes")
+_feed("schema_only", "changes", "changes")
+_feed("when_needed", "snap changes", "changes")
 
 
 @query(

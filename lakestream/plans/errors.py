@@ -9,12 +9,20 @@ from pyspark.sql import functions as F
 from lakestream.functions.hashing import changed_rows, fingerprint
 from lakestream.functions.metrics import relabel
 from lakestream.functions.naming import dlq_topic
-from lakestream.operators.errors import Check, fail_fast, sink_metrics, split_errors, tag_errors, worker_counts
+from lakestream.operators.errors import (
+    Check,
+    fail_fast,
+    retry,
+    sink_metrics,
+    split_errors,
+    tag_errors,
+    worker_counts,
+)
 from lakestream.operators.routing import route_by_field
 from lakestream.plans.fixtures import DAMAGED_SQL, damaged_events, pick
 from lakestream.plans.registry import query
 from lakestream.session import load, stream_session, work_dir
-from lakestream.sources.lake import read_log
+from lakestream.sources.lake import append, read_log
 from lakestream.sources.stream import stage_files, stream_source
 from lakestream.streaming.sink import append_to, run_available, split_to
 
@@ -87,6 +95,24 @@ def fail_fast_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("retry_commit", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def retry_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch's first write fails half-way, after some files are there; the retried one is seen, once."""
+    path = work_dir(spark, "retry")
+    events = load(spark, sf_dir, "events").select("event_id", "event_type")
+    for commit in range(2):
+        batch, pending = events.filter(F.col("event_id") % 2 == commit), [ConnectionError("lost while writing")]
+
+        def write(batch: DataFrame = batch, commit: int = commit, pending: list[Exception] = pending) -> None:
+            if pending:
+                batch.filter("event_id % 3 = 0").write.parquet(f"{path}/commit={commit}")
+                raise pending.pop()
+            append(batch, path, commit)
+
+        retry(write, first_delay=0.01)
+    return read_log(spark, path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query(
     "sink_metrics",
     f"""WITH {_TAGGED} SELECT 'sink-' || user_id % 5 AS connector, "offset" % 4 AS task,

@@ -74,28 +74,36 @@ def filter_tables(
     return df
 
 
-def subscribe(
-    df: DataFrame, topics: Sequence[str] | None = None, pattern: str | None = None, topic: str = "topic"
-) -> DataFrame:
-    """Records of the listed topics, or of all topics whose whole name matches a pattern."""
-    if (topics is None) == (pattern is None):
-        raise ValueError("give either topics or a pattern")
-    if topics is not None:
-        return df.filter(F.col(topic).isin(*topics))
-    return df.filter(F.col(topic).rlike(f"^(?:{pattern})$"))
+def chosen_topics(settings: dict[str, Sequence[str] | str | None]) -> tuple[str, Sequence[str] | str]:
+    """The setting that counts, ``topics`` or ``pattern``: of several the last one given."""
+    if set(settings) - {"topics", "pattern"}:
+        raise TypeError(f"unknown settings: {sorted(set(settings) - {'topics', 'pattern'})}")
+    given = [(name, value) for name, value in settings.items() if value is not None]
+    if not given:
+        raise ValueError("give topics or a pattern")
+    return given[-1]
+
+
+def subscribe(df: DataFrame, topic: str = "topic", **settings: Sequence[str] | str | None) -> DataFrame:
+    """Records of the listed ``topics``, or of all topics whose whole name matches a ``pattern``; the last one wins."""
+    name, value = chosen_topics(settings)
+    if name == "topics":
+        return df.filter(F.col(topic).isin(*value))
+    return df.filter(F.col(topic).rlike(f"^(?:{value})$"))
 
 
 def kafka_source(
     spark: SparkSession,
     servers: str,
-    topics: Sequence[str] | None = None,
-    pattern: str | None = None,
     max_per_trigger: int | None = None,
+    **settings: Sequence[str] | str | None,
 ) -> DataFrame:
-    """Stream of a broker's topics, rate-limited when asked (needs the Kafka module on the cluster)."""
-    if (topics is None) == (pattern is None):
-        raise ValueError("give either topics or a pattern")
-    choice = {"subscribe": ",".join(topics)} if topics is not None else {"subscribePattern": pattern}
+    """Stream of a broker's ``topics`` or of those matching a ``pattern``, rate-limited when asked.
+
+    Needs the Kafka module on the cluster.
+    """
+    name, value = chosen_topics(settings)
+    choice = {"subscribe": ",".join(value)} if name == "topics" else {"subscribePattern": value}
     options = choice | {"kafka.bootstrap.servers": servers}
     if max_per_trigger is not None:
         check_rate(batch_rows=max_per_trigger)

@@ -98,14 +98,17 @@ def test_table_filter(spark):
         filter_tables(df, F.col("t"), include=[])
 
 
-def test_subscription_needs_one_choice(spark):
+def test_the_last_subscription_setting_wins(spark):
     df = spark.createDataFrame([("debug.silver.m3.a",), ("debugXsilver.m3.a",)], "topic string")
     assert subscribe(df, pattern=r"debug\.silver\..*").count() == 1
-    for choice in ({}, {"topics": ["a"], "pattern": "a"}):
-        with pytest.raises(ValueError):
-            subscribe(df, **choice)
-        with pytest.raises(ValueError):
-            kafka_source(spark, "host:1", **choice)
+    assert subscribe(df, topics=["debugXsilver.m3.a"], pattern="debug.*").count() == 2
+    assert subscribe(df, pattern="debug.*", topics=["debugXsilver.m3.a"]).count() == 1
+    with pytest.raises(ValueError):
+        subscribe(df)
+    with pytest.raises(ValueError):
+        kafka_source(spark, "host:1")
+    with pytest.raises(TypeError):
+        subscribe(df, names=["a"])
 
 
 def test_decode(spark):
