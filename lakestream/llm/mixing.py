@@ -56,7 +56,10 @@ def curriculum(targets: DataFrame, tilt: float = 0.5) -> DataFrame:
     ``tilt`` times the gap between its lead and the mean lead, so the shares add up to one all the time and the
     integral over the whole time is the target.
     """
-    everything = Window.partitionBy()
+    # in the order of sources, so that sums of doubles are the same in every run
+    everything = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
     whole = F.sum("target").over(everything)
     share = F.when(whole > 0, F.col("target") / whole).otherwise(F.lit(0.0))
     lead = F.when(F.col("weight") > 1, F.lit(1.0)).otherwise(F.lit(0.0))
@@ -102,7 +105,7 @@ def due(turn: Column) -> Column:
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, tilt: float = 0.5) -> DataFrame:
     """One row per document, sorted by training position.
 
-    Returns ``doc_id, size, source_size, source, target, taken, position``. ``size`` is the number of words.
+    Returns ``doc_id, size, source_size, target, taken, source, position``. ``size`` is the number of words.
     A source passes over its documents as often as its target asks for; the last pass stops in the middle of a
     document, so a source's ``taken`` adds up to its target's whole words. ``position`` is when the document's
     first pass begins (null if nothing is taken). Null and empty texts have size 0 and nothing taken; a null
@@ -111,7 +114,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, tilt:
     """
     placed = placed_documents(docs, weights, cap, tilt)
     mixed = placed.withColumn("position", F.when(F.col("taken") > 0, due(F.lit(0))))
-    return mixed.select("doc_id", "size", "source_size", "source", "target", "taken", "position").sort(
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "position").sort(
         "position", "doc_id"
     )
 

@@ -217,7 +217,8 @@ def learned_list(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> De
     """
     chosen = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # at most as many rows as the sample has ids, however often an id is repeated
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     stats = text_statistics(rows).join(F.broadcast(chosen), "doc_id")
     table = stats.filter(~base_failed()).select("doc_id", "quality", *FEATURES).toPandas()
     table = table.sort_values(["doc_id", *FEATURES], ignore_index=True)

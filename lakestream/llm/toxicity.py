@@ -124,8 +124,9 @@ def learned_scorer(
     other = train.orderBy(*order).limit(unlabelled)
     wanted = toxic.withColumn("sort", F.lit(1)).unionByName(other.withColumn("sort", F.lit(0)))
     words = F.pandas_udf(lambda texts: texts.map(lambda t: sorted(terms(t))), "array<string>")
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "sort", words("text").alias("words"))
-    rows = saved(rows, "toxicity-sample")
+    # at most as many rows as the sample has ids, however often an id is repeated
+    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "sort").agg(F.min("text").alias("text"))
+    rows = saved(found.select("doc_id", "sort", words("text").alias("words")), "toxicity-sample")
     telling = telling_words(rows, {r["sort"]: r["count"] for r in rows.groupBy("sort").count().collect()}, vocabulary)
     index = {w: i for i, w in enumerate(telling)}
     coded = F.pandas_udf(
