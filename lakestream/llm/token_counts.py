@@ -23,6 +23,8 @@ from lakestream.llm.pieces import cutter
 
 #: Characters of a block.
 BLOCK = 32_000_000
+#: A pre-token has fewer tokens than this.
+WIDE = 1 << 31
 BLOCKS = (
     "block long, doc_ids array<string>, n_bytes array<long>, pieces array<string>,"
     " sizes array<int>, entries binary, times binary"
@@ -97,7 +99,7 @@ def frequency_blocks(docs: DataFrame, path: str) -> DataFrame:
 
 
 def piece_lengths(entries: DataFrame, path: str) -> DataFrame:
-    """``block, entry, n``: entries with the number of tokens of their ``piece``.
+    """``block, sized``: entries with the number of tokens of their ``piece``, as ``entry * WIDE + n``.
 
     Entries are brought together and sorted by pre-token, so each is tokenized once, when it first comes by.
     """
@@ -113,10 +115,11 @@ def piece_lengths(entries: DataFrame, path: str) -> DataFrame:
             n = np.concatenate([[size], n]) if known else n
             if new:
                 last, size = new[-1], n[-1]
-            yield pd.DataFrame({"block": batch["block"], "entry": batch["entry"], "n": n[codes]})
+            sized = batch["entry"].to_numpy(np.int64) * WIDE + n[codes]
+            yield pd.DataFrame({"block": batch["block"], "sized": sized})
 
     together = entries.repartition("piece").sortWithinPartitions("piece")
-    return together.mapInPandas(lengths, "block long, entry int, n int")
+    return together.mapInPandas(lengths, "block long, sized long")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -128,21 +131,20 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
     blocks = saved(frequency_blocks(docs, path), "frequencies")
     entries = blocks.select("block", F.posexplode("pieces").alias("entry", "piece"))
-    sized = piece_lengths(entries, path).groupBy("block").agg(F.collect_list(F.struct("entry", "n")).alias("found"))
-    lengths = sized.select("block", F.col("found.entry").alias("entry"), F.col("found.n").alias("n"))
-    joined = blocks.drop("pieces").join(lengths, "block", "left")
+    sized = piece_lengths(entries, path).groupBy("block").agg(F.collect_list("sized").alias("sized"))
+    joined = blocks.drop("pieces").join(sized, "block", "left")
 
     @F.pandas_udf("array<bigint>")
-    def summed(sizes: pd.Series, entries: pd.Series, times: pd.Series, entry: pd.Series, n: pd.Series) -> pd.Series:
+    def summed(sizes: pd.Series, entries: pd.Series, times: pd.Series, sized: pd.Series) -> pd.Series:
         out = []
-        for s, e, t, at, found in zip(sizes, entries, times, entry, n, strict=True):
-            lengths = np.zeros(0 if at is None else len(at), np.int64)
-            if at is not None:
-                lengths[at] = found
+        for s, e, t, found in zip(sizes, entries, times, sized, strict=True):
+            found = np.zeros(0, np.int64) if found is None else np.asarray(found)
+            lengths = np.zeros(len(found), np.int64)
+            lengths[found // WIDE] = found % WIDE
             out.append(document_totals(s, e, t, lengths))
         return pd.Series(out, dtype=object)
 
-    totals = joined.withColumn("n_tokens", summed("sizes", "entries", "times", "entry", "n"))
+    totals = joined.withColumn("n_tokens", summed("sizes", "entries", "times", "sized"))
     rows = totals.select(F.explode(F.arrays_zip("doc_ids", "n_bytes", "n_tokens")).alias("d")).select("d.*")
     doc_id = F.col("doc_ids").cast(docs.schema["doc_id"].dataType)
     return rows.select(doc_id.alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
