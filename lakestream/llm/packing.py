@@ -20,7 +20,7 @@ from lakestream.llm.common import saved
 from lakestream.llm.pieces import cutter
 
 #: Pre-tokens whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Ids(dict):
