@@ -11,14 +11,16 @@ from lakestream.llm.common import saved
 def star(edges: DataFrame) -> DataFrame:
     """Point each node's larger neighbours, and then each node's smaller ones, at its smallest neighbour.
 
-    ``edges`` are distinct ``(a, b)`` with ``a < b``. The smallest neighbour is a partial aggregate joined back,
-    so a node with very many neighbours is neither collected nor held by one task.
+    ``edges`` are distinct ``(a, b)`` with ``a < b``. The smallest neighbour is a partial aggregate, written out and
+    joined back: with a shuffle of its own on either side, adaptive execution splits the join at a node that has
+    very many neighbours.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    least = saved(least, "least")
     large = both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b")
     large = saved(large.filter("a < b").distinct(), "large-star")
-    down = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "n")
+    down = saved(large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "n"), "least-below")
     small = large.join(down, F.col("b") == F.col("n"))
     to_least = small.select(F.col("m").alias("a"), "b").unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b")))
     return saved(to_least.filter("a < b").distinct(), "small-star")
