@@ -2,7 +2,8 @@
 
 A chat logged after each turn leaves snapshots: conversations that are a prefix of a longer one. Every turn's
 row gets a rolling hash of its conversation up to there (running sums of position-salted hashes, so a prefix hash is
-a window, never a collected conversation). A conversation whose whole hash appears as a proper prefix hash of
+a window, never a collected conversation). Digests stand for texts all the while; texts are read again for the
+conversations that are rendered. A conversation whose whole hash appears as a proper prefix hash of
 another goes by an anti-join; of equal ones the smallest id stays. What is left is rendered.
 """
 
@@ -18,9 +19,13 @@ CHUNK, PART = 256, 256
 HASHES = ("h0", "h1", "h2", "h3")
 
 
+def digest() -> Column:
+    return F.unhex(F.sha2("text", 256)).alias("digest")
+
+
 def conversation_key() -> Column:
     """Rows of one conversation share it. A row without an id is a conversation of its own."""
-    own = F.sha2(F.to_json(F.struct("turn", "role", "text")), 256)
+    own = F.sha2(F.to_json(F.struct("turn", "role", F.hex("digest").alias("digest"))), 256)
     return F.struct("conv_id", F.when(F.col("conv_id").isNull(), own).alias("own"))
 
 
@@ -40,7 +45,7 @@ def running(rows: DataFrame, sums: dict[str, Column], totals: dict[str, str]) ->
     )
     inside = (
         Window.partitionBy("conv", "chunk")
-        .orderBy(F.col("turn").isNull(), "turn", "role", "text")
+        .orderBy(F.col("turn").isNull(), "turn", "role", "digest")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     summed = inputs.withColumns({f"_run_{n}": F.sum(f"_in_{n}").over(inside) for n in sums})
@@ -53,13 +58,13 @@ def running(rows: DataFrame, sums: dict[str, Column], totals: dict[str, str]) ->
 def prefix_hashes(conversations: DataFrame) -> DataFrame:
     """Turns with ``position`` (from 1), ``n_turns`` and the four sums that hash the conversation up to there.
 
-    Turns stand by number (null last), then role and text; a repeated row is one turn.
+    Turns stand by number (null last), then by role and the text's SHA-256; a repeated row is one turn.
     """
-    rows = conversations.select("conv_id", "turn", "role", "text").distinct()
+    rows = conversations.select("conv_id", "turn", "role", digest()).distinct()
     chunk = F.coalesce(F.floor(F.col("turn") / CHUNK).cast("long"), F.lit(1 << 62))
     rows = rows.withColumn("conv", conversation_key()).withColumn("chunk", chunk)
     rows = running(rows, {"position": F.lit(1)}, {"position": "n_turns"})
-    content = F.to_json(F.struct("position", "role", "text"), {"ignoreNullFields": "false"})
+    content = F.to_json(F.struct("position", "role", F.hex("digest").alias("text")), {"ignoreNullFields": "false"})
     rows = rows.withColumn("_digest", F.md5(content))
     pieces = {
         h: F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("long") for i, h in enumerate(HASHES)
@@ -68,14 +73,17 @@ def prefix_hashes(conversations: DataFrame) -> DataFrame:
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """Keys of the conversations that are no proper prefix of another, one of each set of equal ones."""
+    """Keys of the conversations that are no proper prefix of another, one of each set of equal ones.
+
+    Equal ones are reduced before the shuffle, so a conversation logged very often is a row per task.
+    """
     at = F.struct("position", *HASHES).alias("_hash")
     whole = turns.filter("position = n_turns").select("conv", at)
     proper = turns.filter("position < n_turns").select(at).distinct()
-    return whole.join(proper, "_hash", "left_anti").groupBy("_hash").agg(F.min("conv").alias("conv")).select("conv")
+    return whole.groupBy("_hash").agg(F.min("conv").alias("conv")).join(proper, "_hash", "left_anti").select("conv")
 
 
-def rendered(turns: DataFrame) -> DataFrame:
+def rendered(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     """Chat text in parts of ``PART`` turns: ``conv_id, part, n_turns, text``; most conversations have one part.
 
     Markers inside a role or text are broken by a space, so a turn cannot end itself or open another.
@@ -84,8 +92,12 @@ def rendered(turns: DataFrame) -> DataFrame:
     role = safe(F.coalesce(F.col("role"), F.lit("unknown")))
     turn = F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), safe(filled(F.col("text"))), F.lit("<|im_end|>\n"))
     part = F.floor((F.col("position") - 1) / PART).cast("long")
-    parts = turns.select("conv", "conv_id", "n_turns", part.alias("part"), F.struct("position", turn.alias("t")).alias("_t"))
-    grouped = parts.groupBy("conv", "conv_id", "n_turns", "part").agg(F.sort_array(F.collect_list("_t")).alias("_t"))
+    row = ("conv_id", "turn", "role", "digest")
+    texts = conversations.select("conv_id", "turn", "role", "text", digest()).select(F.struct(*row).alias("_at"), "role", "text")
+    placed = turns.select(F.struct(*row).alias("_at"), "conv", "conv_id", "n_turns", "position", part.alias("part"))
+    parts = texts.join(placed, "_at").select("conv", "conv_id", "n_turns", "part", F.struct("position", turn.alias("t")).alias("_t"))
+    # as a set, since a repeated row is one turn
+    grouped = parts.groupBy("conv", "conv_id", "n_turns", "part").agg(F.sort_array(F.collect_set("_t")).alias("_t"))
     return grouped.select("conv_id", "part", "n_turns", F.array_join("_t.t", "").alias("text"))
 
 
@@ -97,4 +109,4 @@ def chat_texts(conversations: DataFrame) -> DataFrame:
     empty table gives no rows. Other columns are ignored.
     """
     turns = saved(prefix_hashes(conversations), "turns")
-    return rendered(turns.join(maximal(turns), "conv", "left_semi"))
+    return rendered(turns.join(maximal(turns), "conv", "left_semi"), conversations)

@@ -54,7 +54,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHAT_SQL = r"""
 WITH r AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-c AS (SELECT conv_id, count(*) AS n, list(struct_pack(role := role, text := text) ORDER BY turn NULLS LAST, role, text) AS turns FROM r GROUP BY conv_id),
+c AS (SELECT conv_id, count(*) AS n, list(struct_pack(role := role, text := text) ORDER BY turn NULLS LAST, role, sha256(text)) AS turns FROM r GROUP BY conv_id),
 m AS (SELECT min(conv_id) AS conv_id, n, turns FROM c GROUP BY n, turns),
 k AS (SELECT * FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.n > a.n AND b.turns[1:a.n] = a.turns)),
 e AS (SELECT conv_id, n, unnest(range(1, n + 1)) AS i, unnest(turns) AS t FROM k)

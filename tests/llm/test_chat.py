@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 
 import pytest
@@ -16,7 +17,7 @@ def plain(data, part=256):
     turns = defaultdict(list)
     for conv_id, turn, role, text in {row[:4] for row in data}:
         key = (conv_id,) if conv_id is not None else (None, turn, role, text)
-        turns[key].append(((turn is None, turn or 0, role is not None, role or "", text is not None, text or ""), role, text))
+        turns[key].append(((turn is None, turn or 0, role is not None, role or "", text is not None, hashlib.sha256((text or "").encode()).hexdigest()), role, text))
     whole = {k: [(role, text) for _, role, text in sorted(v, key=lambda t: t[0])] for k, v in turns.items()}
     out = []
     for key, one in whole.items():
