@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,10 @@ REMEMBERED = 200_000
 
 
 class Ids(dict):
-    """Pre-token to the bytes of its ids (little-endian, 32 bits each), tokenized when first met."""
+    """Pre-token to the bytes of its ids (little-endian, 32 bits each), tokenized when first met.
+
+    The first ``REMEMBERED`` ones stay, which has all the frequent ones; the rest is tokenized where it comes up.
+    """
 
     def __init__(self, path: str):
         self.cutter = cutter(path)
@@ -34,13 +38,11 @@ class Ids(dict):
         pieces = [self.cutter.cut(t) for t in texts]
         codes, distinct = pd.factorize(np.array([p for ps in pieces for p in ps], dtype=object))
         new = [p for p in distinct if p not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = distinct.tolist()
         ids, lengths = self.cutter.tokens(new)
         data, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(lengths)
-        self.update(zip(new, [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)], strict=True))
-        parts = [self[p] for p in distinct]
+        fresh = dict(zip(new, [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)], strict=True))
+        parts = [self[p] if p in self else fresh[p] for p in distinct]
+        self.update(islice(fresh.items(), max(0, REMEMBERED - len(self))))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(sizes) - sizes
         # each occurrence takes its pre-token's run of ids: where the run starts, less where it goes, plus its place
