@@ -80,14 +80,17 @@ def position_at(done: Column, target: Column, share: Column, early: Column, late
     return F.when(early + root > 0, F.least(2 * need / (early + root), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-def placed_documents(docs: DataFrame, weights: Sequence[int], cap: int, tilt: float) -> DataFrame:
-    """Each document with its place in its source (``before``), its source's plan, and the words taken of it."""
-    rows = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
+def placed_documents(docs: DataFrame, weights: Sequence[int], cap: int, tilt: float, *keys: str) -> DataFrame:
+    """Each document with its place in its source (``before``), its source's plan, and the words taken of it.
+
+    ``keys`` are columns of ``docs`` that stay with their row and decide between rows of equal id and size.
+    """
+    rows = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *keys)
     digest = F.md5(filled(F.col("doc_id").cast("string")))
     rows = saved(rows.withColumn("digest", digest), "mixing")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = curriculum(source_targets(sizes, weights, cap), tilt).withColumnRenamed("source", "_source")
-    placed = prefix_sums(rows, "source", "digest", ["doc_id", "size"], "size", "before", "_total")
+    placed = prefix_sums(rows, "source", "digest", ["doc_id", "size", *keys], "size", "before", "_total")
     joined = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0)
     passes = F.least(passes, F.lit(cap)).cast("long")
@@ -125,19 +128,20 @@ def mixed_documents(
     """The documents the mix trains on, with the columns of ``docs``, in training order.
 
     A document comes once for each pass over it; the last pass of a source may end within a text, which is then
-    cut after the last word taken. Documents nothing is taken of go. Rows find their place by ``doc_id``, which
-    must be unique here, as it is after de-duplication; a null id is matched as one.
+    cut after the last word taken. Documents nothing is taken of go. Rows find their place by a number of their
+    own, written with them, so null and repeated ids are documents of their own.
     """
-    placed = placed_documents(docs, weights, cap, tilt).filter("taken > 0")
+    numbered = saved(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("_id")), "mixing-rows")
+    slim = numbered.select("_row.doc_id", "_row.source", "_row.text", "_id")
+    placed = placed_documents(slim, weights, cap, tilt, "_id").filter("taken > 0")
     turns = F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))
     turns = placed.withColumn("_turn", F.explode(turns)).select(
-        F.struct("doc_id").alias("_key"),
+        "_id",
         F.least(F.col("taken") - F.col("_turn") * F.col("size"), F.col("size")).cast("int").alias("_words"),
         (F.col("taken") - F.col("_turn") * F.col("size") < F.col("size")).alias("_cut"),
         due(F.col("_turn")).alias("_position"),
     )
-    rows = docs.select(whole_row(docs), F.struct("doc_id").alias("_key"))
-    joined = rows.join(turns, "_key").repartitionByRange("_position").sortWithinPartitions("_position")
+    joined = numbered.join(turns, "_id").repartitionByRange("_position").sortWithinPartitions("_position")
     text = F.col("_row")["text"]
     words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.when(F.col("_cut"), F.array_join(F.slice(words, F.lit(1), F.col("_words")), "")).otherwise(text)

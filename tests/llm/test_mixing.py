@@ -89,6 +89,18 @@ def test_mixed_documents_are_what_was_taken(given):
         assert sum(p != texts[doc_id] for p in parts) <= 1
 
 
+def test_mixed_documents_with_null_and_repeated_ids(spark):
+    data = [(None, "n1 " * 30, "a"), (None, "n2 " * 20, "a"), (None, "n3 " * 25, "b"), (1, "r1 " * 40, "a"), (1, "r2 " * 15, "b"), (2, "u " * 50, "b")]
+    docs = spark.createDataFrame([document(*row) for row in data], DOCUMENTS).repartition(3).checkpoint()
+    taken = {(r["source"], r["size"]): r["taken"] for r in mixing.mix(docs).collect()}
+    found = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        words = WORD.findall(r["text"])
+        size = next(len(WORD.findall(t)) for i, t, s in data if (i, s) == (r["doc_id"], r["source"]) and t.startswith(words[0]))
+        found[(r["source"], size)] += len(words)
+    assert +found == +Counter(taken)
+
+
 def test_shares_add_up_all_the_time(given):
     docs, _ = given
     sizes = mixing.placed_documents(docs, (5, 2, 1), 3, 0.5)
