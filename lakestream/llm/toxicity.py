@@ -95,7 +95,8 @@ def telling_words(rows: DataFrame, sizes: dict[int, int], most: int) -> list[str
     """At most ``most`` words of sample rows ``(sort, words)`` that separate the positives (1) from the others (0).
 
     Counted by documents; a word tells if it is more common among the positives, or less, than chance explains
-    (chi-square above 20).
+    (chi-square above 20), and at least 3 positives have it, at every size of the sample. If more than ``most`` words
+    tell, those with the largest gaps stay.
     """
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     counts = rows.select("sort", F.explode("words").alias("word")).groupBy("word").agg(
@@ -103,7 +104,7 @@ def telling_words(rows: DataFrame, sizes: dict[int, int], most: int) -> list[str
     )
     expected = F.col("n") * (n_p / max(1, n_p + n_u))
     gap = (F.col("p") - expected) * (F.col("p") - expected) / expected
-    chosen = counts.filter(F.col("p") >= max(3, n_p // 100)).withColumn("gap", gap).filter("gap >= 20")
+    chosen = counts.filter(F.col("p") >= 3).withColumn("gap", gap).filter("gap >= 20")
     return [r["word"] for r in chosen.orderBy(F.desc("gap"), "word").limit(most).select("word").collect()]
 
 

@@ -124,6 +124,15 @@ def test_toxicity_of_tricky_rows(tricky, nothing, no_labels):
     assert toxicity.toxicity_scores(nothing, no_labels).count() == toxicity.clean_documents(nothing, no_labels).count() == 0
 
 
+def test_words_of_few_toxic_documents_tell_at_every_size(spark):
+    # 1,000 positives, and 3 of them have each rare word: under one in a hundred
+    data = [(1, [f"rare{i // 3}", "common"]) for i in range(1000)] + [(0, ["common", f"other{i}"]) for i in range(9000)]
+    rows = spark.createDataFrame(data, "sort int, words array<string>")
+    found = toxicity.telling_words(rows, {1: 1000, 0: 9000}, 8192)
+    assert {f"rare{i}" for i in range(333)} <= set(found) and "other1" not in found
+    assert len(toxicity.telling_words(rows, {1: 1000, 0: 9000}, 50)) == 50
+
+
 def test_risk_is_never_negative_for_the_step():
     # every unlabelled row is a positive: the corrected risk would fall without bound
     row = [np.array([0], np.int32)] * 50
