@@ -201,7 +201,7 @@ def tile_links(tile: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def near_links(
     docs: DataFrame, n: int, threshold: float, recall: float
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows ``doc_id, key``; distinct texts ``key, node, copies, least``; their ``node, links, root`` by tile."""
+    """Rows ``doc_id, key, row_id``; distinct texts ``key, node, copies, least``; their ``node, links, root`` by tile."""
     bands, rows = banding(threshold, recall)
     keyed = with_bands(docs, n, bands, rows).withColumn("row_id", F.monotonically_increasing_id())
     keyed = saved(keyed, "bands")
@@ -247,7 +247,7 @@ def near_links(
     compared = tiles.groupBy("bucket", "first", "second").applyInPandas(
         lambda tile: tile_links(tile, threshold), "node long, links long, root long"
     )
-    return keyed.select("doc_id", "key"), nodes, saved(compared, "links")
+    return keyed.select("doc_id", "key", "row_id"), nodes, saved(compared, "links")
 
 
 def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
@@ -255,25 +255,27 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 
     Two documents are linked if their sets of word ``n``-grams have a Jaccard similarity of at least
     ``threshold``; ``n_links`` counts the linked documents, copies too. ``class_id`` is the smallest ``doc_id``
-    that links lead to. One document per class is ``kept``: the one with that id. A text of fewer than ``n``
+    that links lead to. One row per class is ``kept``: one with that id, also where ids are null or repeated. A text of fewer than ``n``
     words has one gram, all its words. A text without words (null, empty) has no gram and no links; such documents
-    share a key but each is a class of its own. Repeated rows are copies, each of them kept if their id is. An
-    empty table gives no rows. Other columns are ignored.
+    share a key but each is a class of its own. Repeated rows are copies, of which one is kept. An empty table gives
+    no rows. Other columns are ignored.
     """
     return classified(*near_links(docs, n, threshold, recall))
 
 
 def classified(keyed: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes and link counts of distinct texts, brought back to all rows ``doc_id, key``."""
+    """Classes and link counts of distinct texts, brought back to all rows ``doc_id, key, row_id``."""
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     found = nodes.join(counts, "node", "left").join(roots, "node", "left")
     found = found.withColumn("root", F.coalesce("root", "node"))
     found = saved(found, "linked-nodes")
-    ids = F.struct(F.col("least").isNull().alias("none"), "least")
-    classes = found.groupBy("root").agg(F.min(ids)["least"].alias("class_id"), F.sum("copies").alias("class_size"))
+    # a node is the row with its text's smallest id
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    classes = found.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"))
+    classes = classes.select("root", F.col("first.least").alias("class_id"), F.col("first.node").alias("winner"), "class_size")
     texts = found.join(classes, "root").select(
-        "key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "key", "class_id", "winner", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     empty = F.unhex(F.sha2(F.lit(""), 256))
     rows = keyed.join(texts, "key")
@@ -284,7 +286,7 @@ def classified(keyed: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFram
         F.when(bare, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(bare, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         F.when(bare, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
-        (bare | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        (bare | (F.col("row_id") == F.col("winner"))).alias("kept"),
     )
 
 

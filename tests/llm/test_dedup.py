@@ -124,6 +124,17 @@ def test_near_classes_of_tricky_rows(tricky, nothing):
     assert near.near_classes(nothing).count() == near.one_per_class(nothing).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(None, None, None), (1, 1, 1), (None, 1, 1)])
+def test_near_copies_with_null_or_equal_ids(spark, ids):
+    base = " ".join(f"w{i}" for i in range(100))
+    data = [document(i, t) for i, t in zip(ids, (base, base + " x", base + " y"), strict=True)]
+    docs = spark.createDataFrame([*data, document(ids[0], "far away")], DOCUMENTS)
+    got = near.near_classes(docs).collect()
+    assert sorted((r["class_size"], r["kept"]) for r in got) == [(1, True), (3, False), (3, False), (3, True)]
+    texts = [r["text"] for r in near.one_per_class(docs).collect()]
+    assert len(texts) == 2 and "far away" in texts
+
+
 def test_banding_reaches_the_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, per_band = near.banding(threshold, 0.999)
