@@ -1,9 +1,9 @@
 """Personal data, also in disguise: offset-preserving deobfuscation.
 
 The base detectors read a text as it is. A text that shows a sign of disguise also goes through transducers, one after
-the other: look-alike characters to ASCII, spelled digits to digits, written-out at and dot to signs. Each
-normalised character remembers the source characters it came from, so what the same detectors find in the
-normalised text is mapped back to a source span.
+the other: look-alike characters to ASCII, spelled digits to digits, written-out at and dot to signs, the latter in
+addresses and between groups of digits. Each normalised character remembers the source characters it came from, so
+what the same detectors find in the normalised text is mapped back to a source span.
 """
 
 from __future__ import annotations
@@ -57,6 +57,10 @@ WRITTEN = re.compile(
 )
 WRITTEN_AT = re.compile(rf"(?i)\s?[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]\s?|\s{AT_WORDS}\s")
 WRITTEN_DOT = re.compile(rf"(?i)\s?[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s?|\s{DOT_WORDS}\s")
+#: Groups of digits joined by dots, written out or plain: what they are is left to the detectors.
+WRITTEN_DIGITS = re.compile(
+    rf"(?i)(?<![0-9])[0-9]++(?:(?:\.|\s?[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s?|\s{DOT_WORDS}\s)[0-9]++)+"
+)
 DISGUISED_DOT = re.compile(rf"(?i)(?<![^\W_]){DOT_WORDS}(?![^\W_])|[\[({{<]\s?(?:{AT_WORDS}|@|\.)\s?[\])}}>]")
 SUSPECT = re.compile(
     "[" + "".join(LOOK_ALIKE) + INVISIBLE + "！-～\U0001d400-\U0001d7ff①-⓿٠-٩۰-۹]"
@@ -171,6 +175,10 @@ def is_address(text: str) -> bool:
     return bool(re.search(r"[@\[({<]", text)) or re.split(r"[^A-Za-z0-9]+", text)[-1].lower() in TOP_DOMAINS
 
 
+def has_written_dot(text: str) -> bool:
+    return bool(WRITTEN_DOT.search(text))
+
+
 def spelled(m: re.Match) -> str:
     parts = [p[0].lower() for p in SPELLED_PART.finditer(m[0])]
     return "".join("+" if p == "plus" else str(DIGIT_WORDS[p]) for p in parts)
@@ -184,6 +192,7 @@ def disguised(text: str) -> list[Span]:
     normal.rewrite(SPELLED, spelled)
     if DISGUISED_DOT.search(normal.text):
         normal = normal.within(WRITTEN, is_address, (WRITTEN_AT, "@"), (WRITTEN_DOT, "."))
+        normal = normal.within(WRITTEN_DIGITS, has_written_dot, (WRITTEN_DOT, "."))
     if normal.text == text:
         return []
     found = []

@@ -123,6 +123,12 @@ def test_base_spans_are_the_plain_matches(text):
         ("call plus four nine three zero one two three four five six seven today", "phone", "plus four nine three zero one two three four five six seven"),
         ("card four one one one-one one one one one one one one one one one one.", "card", "four one one one-one one one one one one one one one one one one"),
         ("host １９２.１６８.0.１ up", "ip", "１９２.１６８.0.１"),
+        ("host 192[.]168[.]0[.]1 up", "ip", "192[.]168[.]0[.]1"),
+        ("host 192(dot)168(dot)0(dot)1 up", "ip", "192(dot)168(dot)0(dot)1"),
+        ("host 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host 192.168.0[.]1 up", "ip", "192.168.0[.]1"),
+        ("root at 10 dot 0 dot 0 dot 7 now", "ip", "10 dot 0 dot 0 dot 7"),
+        ("call +1 202[.]555[.]0123 now", "phone", "+1 202[.]555[.]0123"),
         ("zw 4111​1111​1111​1111 x", "card", "4111​1111​1111​1111"),
     ],
 )
@@ -137,6 +143,7 @@ def test_disguises_are_mapped_back(text, kind, source):
     [
         "look at the dot on the map", "we met at noon. Point taken.", "one two three four five",
         "at home (at last) and (dot) com", "The ratio is 1 at 2 dot", "Привет, как дела? Точка.", "un deux trois",
+        "3 point 5 and 300 dot 1 dot 1 dot 1", "1 dot 2 dot 3 only",
     ],
 )
 def test_plain_prose_has_no_hidden_spans(text):
