@@ -42,14 +42,41 @@ DIGIT_WORDS = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 #: Written out without brackets, an address must end in one of these: "look at the dot on" is none.
-TOP_DOMAINS = frozenset("com org net edu gov io de fr es uk eu info co ai dev us ch at it nl me".split())
+COUNTRIES = frozenset(
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf "
+    "cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf "
+    "gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki "
+    "km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx "
+    "my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc "
+    "sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us "
+    "uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+GENERIC = frozenset(
+    "com org net edu gov mil int info biz name pro mobi aero coop museum jobs travel tel asia cat post dev app xyz online "
+    "site website shop store tech blog cloud club email page top wiki news media agency digital live space world network "
+    "solutions services group team life today work works studio design systems software company consulting fun icu vip art".split()
+)
+TOP_DOMAINS = COUNTRIES | GENERIC
+#: Top-level domains that are common words, too, and words that stand before a point or dot in a plain sentence.
+WORDY = frozenset(
+    "in is so no to my be do as by am an la se ne si sa va om name pro jobs travel post cat online site website shop store "
+    "tech blog cloud club email page top news media agency digital live space world network solutions services group team "
+    "life today work works studio design systems software company consulting fun art".split()
+)
+SENTENCE_WORDS = frozenset(
+    "a an the this that these those which what each every any some one no another my your his her its our their whose "
+    "same such first last next".split()
+)
 AT_WORDS, DOT_WORDS = r"(?:at|arroba|ät|chez)", r"(?:dot|point|punkt|punto)"
 INVISIBLE = "­​‌‍⁠﻿"
 
 _digit = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _gap = r"[\x20\t.,-]{1,3}"
-SPELLED = re.compile(rf"(?i)(?:\bplus{_gap})?\b{_digit}(?:{_gap}{_digit}){{6,}}\b")
+#: A run of digits and spelled digits, and the parts of it that are spelled.
+DIGIT_RUN = re.compile(rf"(?i)(?:\bplus{_gap})?\b(?:[0-9]++|{_digit})\b(?:{_gap}(?:[0-9]++|{_digit})\b)+")
+SPELLED = re.compile(rf"(?i)\bplus{_gap}(?=[0-9])|(?:\bplus{_gap})?\b{_digit}(?:{_gap}{_digit})*\b")
 SPELLED_PART = re.compile(rf"(?i){_digit}\b|plus\b")
+SPELLED_WORD = re.compile(rf"(?i)\b{_digit}\b")
 WRITTEN = re.compile(
     rf"(?i)[A-Za-z0-9%+_-]+(?:(?:\.|\s?[\[({{<]\s?{DOT_WORDS}\s?[\])}}>]\s?|\s{DOT_WORDS}\s)[A-Za-z0-9%+_-]+){{0,4}}"
     rf"(?:@|\s?[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]\s?|\s{AT_WORDS}\s)[A-Za-z0-9-]+"
@@ -61,12 +88,18 @@ WRITTEN_DOT = re.compile(rf"(?i)\s?[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s?|\
 WRITTEN_DIGITS = re.compile(
     rf"(?i)(?<![0-9])[0-9]++(?:(?:\.|\s?[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s?|\s{DOT_WORDS}\s)[0-9]++)+"
 )
+#: A plain dot after a whole address, and a capital after it, begin a sentence; in "example.co.UK" they do not.
+SENTENCE = re.compile(
+    rf"(@(?:[A-Za-z0-9-]+\.)+?(?:{'|'.join(sorted(TOP_DOMAINS))}))\."
+    rf"(?=[A-Z][a-z]|[A-Z]\b)(?!(?i:{'|'.join(sorted(TOP_DOMAINS - WORDY - {'it', 'at', 'me', 'us'}))})\b)"
+)
 DISGUISED_DOT = re.compile(rf"(?i)(?<![^\W_]){DOT_WORDS}(?![^\W_])|[\[({{<]\s?(?:{AT_WORDS}|@|\.)\s?[\])}}>]")
 SUSPECT = re.compile(
     "[" + "".join(LOOK_ALIKE) + INVISIBLE + "！-～\U0001d400-\U0001d7ff①-⓿٠-٩۰-۹]"
 )
 
 Span = tuple[int, str, int]
+Turn = Callable[[re.Match], str]
 
 
 def luhn(digits: str) -> bool:
@@ -122,7 +155,7 @@ class Mapped:
     def __init__(self, text: str):
         self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
 
-    def rewrite(self, pattern: re.Pattern, turn: Callable[[re.Match], str]) -> Mapped:
+    def rewrite(self, pattern: re.Pattern, turn: Turn) -> Mapped:
         """Replace matches. As many characters as before keep their places; else each new one stands for the match."""
         parts, starts, ends, at = [], [], [], 0
         for m in pattern.finditer(self.text):
@@ -142,17 +175,19 @@ class Mapped:
             self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
         return self
 
-    def within(self, pattern: re.Pattern, accept: Callable[[str], bool], *steps: tuple[re.Pattern, str]) -> Mapped:
+    def within(self, pattern: re.Pattern, accept: Callable[[str], bool], *steps: tuple[re.Pattern, Turn]) -> Mapped:
         """Rewrite by ``steps``, but only inside the accepted matches of ``pattern``."""
         areas = [m.span() for m in pattern.finditer(self.text) if accept(m[0])]
+        if not areas:
+            return self
         out = Mapped("")
         texts, at = [], 0
         for a, b in [*areas, (len(self.text), len(self.text))]:
             for x, y, inner in ((at, a, False), (a, b, True)):
                 piece = Mapped("")
                 piece.text, piece.starts, piece.ends = self.text[x:y], self.starts[x:y], self.ends[x:y]
-                for step, new in steps if inner else ():
-                    piece.rewrite(step, lambda _, new=new: new)
+                for step, turn in steps if inner else ():
+                    piece.rewrite(step, turn)
                 texts.append(piece.text)
                 out.starts += piece.starts
                 out.ends += piece.ends
@@ -170,15 +205,42 @@ def look_alike(m: re.Match) -> str:
     return plain if plain.isascii() else m[0]
 
 
+def at_sign(_: re.Match) -> str:
+    return "@"
+
+
+def dot(_: re.Match) -> str:
+    return "."
+
+
+def end_sentence(m: re.Match) -> str:
+    return m[1] + " "
+
+
 def is_address(text: str) -> bool:
-    """A sign or a bracketed word shows intent; bare words need a top-level domain at the end."""
-    return bool(re.search(r"[@\[({<]", text)) or re.split(r"[^A-Za-z0-9]+", text)[-1].lower() in TOP_DOMAINS
+    """A sign or a bracketed word shows intent; bare words need a top-level domain at the end.
+
+    Where that is a common word, the domain must not read like a sentence: "arrive at this point in" is none.
+    """
+    if re.search(r"[@\[({<]", text):
+        return True
+    address = WRITTEN_DOT.sub(".", WRITTEN_AT.sub("@", text, count=1))
+    labels = SENTENCE.sub(end_sentence, address).split(" ")[0].partition("@")[2].lower().split(".")
+    if labels[-1] not in TOP_DOMAINS:
+        return False
+    return labels[-1] not in WORDY or not (labels[0] in SENTENCE_WORDS or re.search(r"(?i)\sat\s.*\spoint\s", text))
 
 
 def has_written_dot(text: str) -> bool:
     return bool(WRITTEN_DOT.search(text))
 
 
+def is_spelled(run: str) -> bool:
+    """Seven digits or more, at least one of them spelled."""
+    words = len(SPELLED_WORD.findall(run))
+    return words > 0 and words + len(ascii_digits(run)) >= 7
+
+
 def spelled(m: re.Match) -> str:
     parts = [p[0].lower() for p in SPELLED_PART.finditer(m[0])]
     return "".join("+" if p == "plus" else str(DIGIT_WORDS[p]) for p in parts)
@@ -189,10 +251,10 @@ def disguised(text: str) -> list[Span]:
     normal = Mapped(text)
     if SUSPECT.search(text):
         normal.rewrite(SUSPECT, look_alike)
-    normal.rewrite(SPELLED, spelled)
+    normal = normal.within(DIGIT_RUN, is_spelled, (SPELLED, spelled))
     if DISGUISED_DOT.search(normal.text):
-        normal = normal.within(WRITTEN, is_address, (WRITTEN_AT, "@"), (WRITTEN_DOT, "."))
-        normal = normal.within(WRITTEN_DIGITS, has_written_dot, (WRITTEN_DOT, "."))
+        normal = normal.within(WRITTEN, is_address, (WRITTEN_AT, at_sign), (WRITTEN_DOT, dot), (SENTENCE, end_sentence))
+        normal = normal.within(WRITTEN_DIGITS, has_written_dot, (WRITTEN_DOT, dot))
     if normal.text == text:
         return []
     found = []
@@ -205,7 +267,9 @@ def disguised(text: str) -> list[Span]:
 
 def may_hide(text: str) -> bool:
     return bool(
-        (not text.isascii() and SUSPECT.search(text)) or DISGUISED_DOT.search(text) or SPELLED.search(text)
+        (not text.isascii() and SUSPECT.search(text))
+        or DISGUISED_DOT.search(text)
+        or any(is_spelled(m[0]) for m in DIGIT_RUN.finditer(text))
     )
 
 

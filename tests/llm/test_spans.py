@@ -129,6 +129,18 @@ def test_base_spans_are_the_plain_matches(text):
         ("host 192.168.0[.]1 up", "ip", "192.168.0[.]1"),
         ("root at 10 dot 0 dot 0 dot 7 now", "ip", "10 dot 0 dot 0 dot 7"),
         ("call +1 202[.]555[.]0123 now", "phone", "+1 202[.]555[.]0123"),
+        ("mail jane at example dot pl now", "email", "jane at example dot pl"),
+        ("mail jane at example dot ca, or call", "email", "jane at example dot ca"),
+        ("mail jane at example dot in or call", "email", "jane at example dot in"),
+        ("mail jane at example dot com.Then wait", "email", "jane at example dot com"),
+        ("mail jane [at] example [dot] com.It works", "email", "jane [at] example [dot] com"),
+        ("mail j.de.Vries [at] Example.Co.UK now", "email", "j.de.Vries [at] Example.Co.UK"),
+        ("mail jane [at] example.co.UK now", "email", "jane [at] example.co.UK"),
+        ("card 4111 1111 1111 one one one one.", "card", "4111 1111 1111 one one one one"),
+        ("on 25, 4111 1111 1111 one one one one.", "card", "4111 1111 1111 one one one one"),
+        ("ref 5, four one one one one one one one one one one one one one one one.", "card", "four one one one one one one one one one one one one one one one"),
+        ("call +49 170 one two three four five now", "phone", "+49 170 one two three four five"),
+        ("call plus 49 170 one two three four five now", "phone", "plus 49 170 one two three four five"),
         ("zw 4111​1111​1111​1111 x", "card", "4111​1111​1111​1111"),
     ],
 )
@@ -144,6 +156,7 @@ def test_disguises_are_mapped_back(text, kind, source):
         "look at the dot on the map", "we met at noon. Point taken.", "one two three four five",
         "at home (at last) and (dot) com", "The ratio is 1 at 2 dot", "Привет, как дела? Точка.", "un deux trois",
         "3 point 5 and 300 dot 1 dot 1 dot 1", "1 dot 2 dot 3 only",
+        "we arrive at this point in time", "look at the dot in the map", "stop at boiling point is bad", "one in 2019, 2020, 2021",
     ],
 )
 def test_plain_prose_has_no_hidden_spans(text):
