@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestream.llm import chat, exact_dedup, mixing, near, packing, pii, quality, secrets, token_counts, toxicity
+from lakestream.llm import (
+    chat,
+    exact_dedup,
+    hard_negatives,
+    mixing,
+    near,
+    packing,
+    pii,
+    quality,
+    resampling,
+    secrets,
+    token_counts,
+    toxicity,
+    winnowing,
+)
 from lakestream.llm.common import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +152,66 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+#: Lower-cased A-Z and the words of a text, as a list.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LEAKS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM b WHERE len(w) > 0)),
+o AS (SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i))),
+h AS (SELECT rid, p, o.n, item FROM o JOIN i ON o.n = i.n AND o.s = i.s),
+x AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM h) GROUP BY rid),
+y AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN x USING (rid) LEFT JOIN y USING (rid)
+"""
+
+
+@query("op11_decontamination", LEAKS_SQL)
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+RESAMPLING_SQL = f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+o AS (SELECT rid, unnest(w) AS word FROM d),
+b AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+v AS (SELECT word, xor(4294967295, list_reduce(list_transform(range(1, length(hx), 2), lambda p: CAST('0x' || substr(hx, CAST(p AS INT), 2) AS BIGINT)), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8), 4294967295)) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS hx FROM (SELECT word FROM o UNION SELECT word FROM b)), crc),
+s AS (SELECT bucket, count(*) AS s FROM o JOIN v USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM o) AS s_all, (SELECT count(*) FROM b) AS t_all),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket), n),
+m AS (SELECT rid, CAST(sum(gain) AS BIGINT) AS total FROM o JOIN v USING (word) JOIN g USING (bucket) GROUP BY rid),
+f AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CASE WHEN len(w) = 0 THEN 0 ELSE (total - (total % len(w) + len(w)) % len(w)) // len(w) END AS weight,
+  CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (rid)),
+e AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM f),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_words, weight) AS rank, count(*) OVER () AS fit FROM e WHERE n_words >= 20)
+SELECT doc_id, n_words, n_words AS n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN rank <= 10 * fit // 100 THEN rank END AS rank FROM e LEFT JOIN r USING (rid)
+"""
+
+
+@query("op12_importance_resampling", RESAMPLING_SQL)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resampling(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+NEGATIVES_SQL = """
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS anchor, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS other, c.rid AS crid, CAST(coalesce(list_inner_product(a.v, c.v), 0) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.vec_id % 100 = 0 AND a.rid <> c.rid),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other NULLS LAST, crid) AS place FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor, place ORDER BY s.score DESC, s.other NULLS LAST, s.crid) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
