@@ -58,6 +58,51 @@ def lineage_closure(
     return read("").filter("distance > 0").select(F.col("node").alias("dataset"), "distance")
 
 
+def lineage_impact(spark: SparkSession, edges: DataFrame, starts: DataFrame, direction: str = "downstream") -> DataFrame:
+    """``node`` of ``starts`` and ``datasets``, the number of other datasets reachable from it, for all starts at once.
+
+    A start is a bit of a 64-bit word, and a frontier row says which of a word's starts have just come to a node. Hops
+    merge by bitwise or, so the edges are read once per hop for all starts together, and a row serves 64 of them.
+    A hop keeps the bits a node did not have before; it ends when there are none. Cycles are fine, and a start
+    without edges reaches 0. Everything between hops is a table in the shared folder.
+    """
+    if direction not in ("downstream", "upstream"):
+        raise ValueError(f"unknown direction: {direction}")
+    base = work_dir(spark, "impact")
+    ends = ("source", "target") if direction == "downstream" else ("target", "source")
+    kinds = ("reads", "writes") if direction == "downstream" else ("writes", "reads")
+    stored = edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next"), "kind")
+    stored.write.partitionBy("kind").parquet(f"{base}/edges")
+    hops = [spark.read.parquet(f"{base}/edges").filter(F.col("kind") == kind).select("node", "next") for kind in kinds]
+    number = F.monotonically_increasing_id()
+    starts.select("node").distinct().select("node", number.alias("number")).write.parquet(f"{base}/starts")
+    starts = spark.read.parquet(f"{base}/starts").select(
+        "node", F.shiftright("number", 6).alias("word"), F.col("number").bitwiseAND(63).cast("int").alias("bit")
+    )
+    merged = F.bit_or("bits").alias("bits")
+
+    def read(hop: str) -> DataFrame:
+        return spark.read.schema("node string, word long, bits long, distance int").parquet(f"{base}/reached{hop}")
+
+    first = starts.select("node", "word", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("bits"))
+    first.write.parquet(f"{base}/reached/distance=0")
+    for hop in itertools.count(1):
+        here = read(f"/distance={hop - 1}").select("node", "word", "bits")
+        for leave in hops:
+            here = here.join(leave, "node").groupBy(F.col("next").alias("node"), "word").agg(merged)
+        known = read("").groupBy("node", "word").agg(F.bit_or("bits").alias("known"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        found = here.join(known, ["node", "word"], "left").select("node", "word", fresh.alias("bits")).filter("bits != 0")
+        found.write.parquet(f"{base}/reached/distance={hop}")
+        if read(f"/distance={hop}").isEmpty():
+            break
+    counts = F.array(*[F.sum(F.shiftright("bits", i).bitwiseAND(1)) for i in range(64)]).alias("counts")
+    reached = read("").filter("distance > 0").groupBy("word").agg(counts)
+    reached = reached.select("word", F.posexplode("counts").alias("bit", "datasets"))
+    found = starts.join(reached, ["word", "bit"], "left")
+    return found.select("node", F.coalesce("datasets", F.lit(0)).cast("long").alias("datasets"))
+
+
 def job_status(events: DataFrame) -> DataFrame:
     """Last status per job, completed runs and their total duration in seconds."""
     at = F.unix_seconds(F.col("event_time").cast("timestamp"))

@@ -181,20 +181,20 @@ def _money(name: str):
     return F.col(name).cast("decimal(18,2)")
 
 
-_PRINT_SQL = """substring(sha256(concat_ws(chr(31), coalesce(c_name, chr(30)), coalesce(CAST(c_nationkey AS VARCHAR), chr(30)),
+PRINT_SQL = """substring(sha256(concat_ws(chr(31), coalesce(c_name, chr(30)), coalesce(CAST(c_nationkey AS VARCHAR), chr(30)),
     coalesce(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR), chr(30)), coalesce(c_mktsegment, chr(30)))), 1, 16)"""
 
 
-def _customer_columns():
+def customer_columns():
     return [F.col("c_name"), F.col("c_nationkey"), _money("c_acctbal"), F.col("c_mktsegment")]
 
 
-@query("row_fingerprint", f"SELECT c_custkey, {_PRINT_SQL} AS print FROM customer")
+@query("row_fingerprint", f"SELECT c_custkey, {PRINT_SQL} AS print FROM customer")
 def row_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").select("c_custkey", fingerprint(_customer_columns()).alias("print"))
+    return load(spark, sf_dir, "customer").select("c_custkey", fingerprint(customer_columns()).alias("print"))
 
 
-_EDITED_SQL = """edited AS (
+EDITED_SQL = """edited AS (
   SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 50 = 1 THEN CAST(c_acctbal AS DECIMAL(18,2)) + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment
     FROM customer WHERE c_custkey % 50 <> 0
   UNION ALL SELECT c_custkey + 10000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 50 = 2)"""
@@ -213,11 +213,11 @@ def edited_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snapshot_diff",
-    f"""WITH {_EDITED_SQL}, o AS (SELECT c_custkey, {_PRINT_SQL} AS old_print FROM customer), n AS (SELECT c_custkey, {_PRINT_SQL} AS new_print FROM edited)
+    f"""WITH {EDITED_SQL}, o AS (SELECT c_custkey, {PRINT_SQL} AS old_print FROM customer), n AS (SELECT c_custkey, {PRINT_SQL} AS new_print FROM edited)
       SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, old_print, new_print,
         CASE WHEN old_print IS NULL THEN 'added' WHEN new_print IS NULL THEN 'removed' WHEN old_print <> new_print THEN 'changed' ELSE 'same' END AS change
       FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""",
 )
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = load(spark, sf_dir, "customer")
-    return changed_rows(old, edited_customer(spark, sf_dir), ["c_custkey"], _customer_columns())
+    return changed_rows(old, edited_customer(spark, sf_dir), ["c_custkey"], customer_columns())

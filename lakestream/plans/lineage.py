@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestream.operators.lineage import job_status, lineage_closure, lineage_edges
+from lakestream.operators.lineage import job_status, lineage_closure, lineage_edges, lineage_impact
 from lakestream.plans.registry import query
 from lakestream.session import load
 
@@ -73,6 +73,19 @@ _closure("downstream", "ds_5", "a", "b")
 _closure("upstream", "ds_100", "b", "a")
 
 
+@query(
+    "lineage_impact",
+    f"""WITH RECURSIVE {EVENTS_SQL}, starts AS (SELECT DISTINCT 'ds_' || o_custkey AS node FROM orders WHERE o_custkey % 20 = 0),
+      reach(origin, node) AS (SELECT node, node FROM starts UNION SELECT origin, b FROM reach JOIN hops ON a = node)
+      SELECT origin AS node, count(*) - 1 AS datasets FROM reach GROUP BY 1""",
+)
+def lineage_impact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many datasets depend on each twentieth customer's dataset, all counted in one pass over the edges per hop."""
+    chosen = load(spark, sf_dir, "orders").filter("o_custkey % 20 = 0")
+    starts = chosen.select(F.concat(F.lit("ds_"), F.col("o_custkey").cast("string")).alias("node"))
+    return lineage_impact(spark, lineage_edges(run_events(spark, sf_dir)), starts)
+
+
 @query(
     "job_status",
     f"""WITH {EVENTS_SQL}, runs AS (SELECT job, run_id,

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakestream.operators.latest import current_rows
 from lakestream.plans.registry import query
 from lakestream.session import load, stream_session, work_dir
-from lakestream.sources.lake import append, read_log, read_upserted
+from lakestream.sources.lake import read_log, read_upserted
 from lakestream.sources.stream import stage_files, stream_source
 from lakestream.streaming.jobs import RESTART_MODES, checkpoint_for, run_code_job, run_sql_job, run_sql_stream
-from lakestream.streaming.joins import merge_aggregate, refresh_join, stream_join
-from lakestream.streaming.sink import append_to, keeping, run_available, upsert_to
+from lakestream.streaming.joins import keyed_join, stream_join
+from lakestream.streaming.sink import append_to, run_available, upsert_to
 
 
 #: Files of the batch that comes before all others.
@@ -84,7 +83,7 @@ def customer_order_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("customer_order_analytics_stream", HOLEY_ANALYTICS_SQL)
 def customer_order_analytics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders, first alone and then mixed with customers, arrive in micro-batches; summary and join are kept up to date."""
+    """Orders, first alone and then mixed with customers, arrive in micro-batches; their join is one aggregate per customer."""
     base = work_dir(spark, "analytics")
     orders = load(spark, sf_dir, "orders").withColumn("o_custkey", F.expr("CASE WHEN o_orderkey % 89 <> 0 THEN o_custkey END"))
     customer = load(spark, sf_dir, "customer").withColumn(
@@ -92,35 +91,31 @@ def customer_order_analytics_stream(spark: SparkSession, sf_dir: str) -> DataFra
     )
     order_rows = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     first, later = order_rows.filter("o_orderkey % 4 = 0"), order_rows.filter("o_orderkey % 4 <> 0")
-    changes = later.unionByName(customer.select("o_custkey", "c_name", "c_mktsegment"), allowMissingColumns=True)
+    people = customer.select("o_custkey", "c_custkey", "c_name", "c_mktsegment")
+    changes = later.unionByName(people, allowMissingColumns=True)
     place = F.xxhash64("o_custkey", "o_orderkey")
     stage_files(first.withColumn("place", place), f"{base}/in", "place", files=FIRST_FILES)
     changes = changes.withColumn("place", place)
     stage_files(changes, f"{base}/in", "place")
     stream = stream_source(stream_session(spark), f"{base}/in", changes.schema)
-    totals = {
-        "order_count": F.sum("order_count"),
-        "total_price": F.sum("total_price").cast("decimal(28,2)"),
-        "first_date": F.min("first_date"),
-        "last_date": F.max("last_date"),
+    person = F.when(F.col("c_custkey").isNotNull(), F.struct("c_name", "c_mktsegment"))
+    sides = {
+        # null until the first order: a sum without rows
+        "order_count": F.sum(F.when(F.col("o_orderkey").isNotNull(), 1)),
+        "total_price": F.sum(_price()).cast("decimal(28,2)"),
+        "first_date": F.min("o_orderdate"),
+        "last_date": F.max("o_orderdate"),
+        "person": F.max_by(person, "c_custkey"),
     }
-    keys = ["o_custkey"]
-
-    def commit(batch: DataFrame, batch_id: int) -> None:
-        is_order = F.col("o_orderkey").isNotNull()
-        merge_aggregate(summary(batch.filter(is_order)), f"{base}/totals", batch_id, keys, totals)
-        people = batch.filter(~is_order).select("o_custkey", "c_name", "c_mktsegment")
-        append(people, f"{base}/customers", batch_id)
-        refresh_join(
-            batch.select(*keys), f"{base}/totals", f"{base}/customers", f"{base}/analytics", batch_id, keys, []
-        )
-
-    run_available(stream, keeping(commit), f"{base}/checkpoint")
-    result = current_rows(read_upserted(spark, f"{base}/analytics", keys, []))
+    joined = keyed_join(stream, ["o_custkey"], sides, ["order_count", "person"])
+    # counts only grow, and of equal ones the later commit holds
+    place = (["o_custkey"], ["order_count"])
+    run_available(joined, upsert_to(f"{base}/analytics", *place), f"{base}/checkpoint", mode="update")
+    result = read_upserted(spark, f"{base}/analytics", *place)
     return result.select(
         F.col("o_custkey").cast("string").alias("record_key"),
-        "c_name",
-        "c_mktsegment",
+        "person.c_name",
+        "person.c_mktsegment",
         "order_count",
         F.col("total_price").cast("double").alias("total_price"),
         "first_date",
@@ -251,3 +246,37 @@ def stream_join_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_available(joined, append_to(f"{base}/out"), f"{base}/checkpoint")
     out = read_log(spark, f"{base}/out").drop("commit")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "ack_ts")})
+
+
+@query(
+    "stream_join_left",
+    """SELECT event_id, user_id, ts, CASE WHEN event_id % 3 <> 0 AND event_id % 90 <= 60 THEN ts + to_minutes(CAST(event_id % 90 AS INT)) END AS ack_ts FROM events""",
+)
+def stream_join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event, with its acknowledgement if one came within an hour; a third is never answered, others too late."""
+    base, session = work_dir(spark, "ack-left"), stream_session(spark)
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    acks = events.filter("event_id % 3 <> 0").select(
+        "event_id", F.timestamp_add("MINUTE", F.col("event_id") % 90, F.col("ts")).alias("ack_ts")
+    )
+    # the feeds go on: a row of each, long after, moves both watermarks past all others
+    later = F.max("ts") + F.expr("interval 200 days")
+    end = events.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), later.alias("ts"))
+    stage_files(events, f"{base}/events", "event_id")
+    stage_files(acks, f"{base}/acks", "event_id")
+    joined = lambda: stream_join(
+        stream_source(session, f"{base}/events", events.schema),
+        stream_source(session, f"{base}/acks", acks.schema),
+        ["event_id"],
+        "ts",
+        "ack_ts",
+        late="40 days",
+        within="1 hour",
+        how="left",
+    )
+    run_available(joined(), append_to(f"{base}/out"), f"{base}/checkpoint")
+    stage_files(end, f"{base}/events", "event_id", files=1)
+    stage_files(end.select(F.lit(-2).cast("long").alias("event_id"), F.col("ts").alias("ack_ts")), f"{base}/acks", "event_id", files=1)
+    run_available(joined(), append_to(f"{base}/out"), f"{base}/checkpoint")
+    out = read_log(spark, f"{base}/out").filter("event_id >= 0").drop("commit")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "ack_ts")})

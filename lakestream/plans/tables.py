@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakestream.operators.evolution import union_evolved
 from lakestream.operators.latest import (
@@ -30,7 +31,7 @@ from lakestream.sources.lake import (
     upsert_commit,
 )
 from lakestream.sources.stream import stage_files, stream_source
-from lakestream.streaming.sink import run_available, shifted, upsert_routed_to, upsert_to
+from lakestream.streaming.sink import run_available, shifted, upsert_routed_to, upsert_to, upsert_topics_to
 
 _LATEST_USER = "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY \"offset\" DESC) = 1"
 
@@ -342,3 +343,41 @@ def retention_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compact_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = load(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     return clean(log, "compact,delete", ["user_id"], "event_id", "ts", _now(), timedelta(days=14))
+
+
+_TOPIC_FIELDS = {"silver.view": "k", "silver.click": "at", "silver.purchase": "amount"}
+
+
+@query(
+    "stream_routed_topics",
+    """WITH r AS (SELECT event_id, user_id, event_id % 97 = 0 AS broken, CASE WHEN event_id % 103 <> 0 THEN 'silver.' || event_type END AS target FROM events),
+      k AS (SELECT *, CASE WHEN target IS NULL THEN 'NoTarget' WHEN target NOT IN ('silver.view', 'silver.click', 'silver.purchase') THEN 'UnknownTarget' WHEN broken THEN 'BadRecord' END AS error_class FROM r)
+      SELECT target, error_class, count(*) AS records, max(event_id) AS last_id FROM (SELECT * FROM k WHERE error_class IS NOT NULL
+        UNION ALL SELECT * FROM k WHERE error_class IS NULL QUALIFY row_number() OVER (PARTITION BY target, user_id ORDER BY event_id DESC) = 1) GROUP BY 1, 2""",
+)
+def stream_routed_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records to tables with schemas of their own; unknown targets and broken records become dead letters."""
+    base = work_dir(spark, "topics")
+    events = load(spark, sf_dir, "events")
+    fields = F.struct(
+        "event_id", "user_id", F.length("props").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("value").alias("amount")
+    )
+    text = F.to_json(fields)
+    broken = F.when(F.col("event_id") % 97 == 0, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    routed = F.when(F.col("event_id") % 103 != 0, F.concat(F.lit("Silver."), "event_type"))
+    records = events.select("event_id", routed.alias("topic_field"), text.alias("value")).withColumn("value", broken)
+    stage_files(records, f"{base}/in", "event_id")
+    schemas = {
+        target: T.StructType().add("event_id", "long").add("user_id", "long").add(name, "double" if name == "amount" else "long")
+        for target, name in _TOPIC_FIELDS.items()
+    }
+    stream = stream_source(stream_session(spark), f"{base}/in", records.schema)
+    commit = upsert_topics_to(f"{base}/tables", "topic_field", "value", schemas, ["user_id"], ["event_id"])
+    run_available(stream, commit, f"{base}/checkpoint")
+    letters = read_log(spark, f"{base}/tables/dead_letters")
+    lost = letters.select("target", "error_class", F.get_json_object(F.concat(F.rtrim("record", F.lit("}")), F.lit("}")), "$.event_id").cast("long").alias("event_id"))
+    found = lost
+    for target in schemas:
+        rows = read_upserted(spark, f"{base}/tables/{target}", ["user_id"], ["event_id"])
+        found = found.unionByName(rows.select(F.lit(target).alias("target"), F.lit(None).cast("string").alias("error_class"), "event_id"))
+    return found.groupBy("target", "error_class").agg(F.count("*").alias("records"), F.max("event_id").alias("last_id"))

@@ -74,10 +74,39 @@ def refresh_join(
         fold_when(spark, path, keys, order_by)
 
 
+def keyed_join(stream: DataFrame, keys: Sequence[str], sides: dict[str, Column], both: Sequence[str]) -> DataFrame:
+    """A maintained join as one aggregate per key over the union of its topics, for a sink in update mode.
+
+    Rows of all sides come in one stream with null in the columns of the others; ``sides`` are aggregates over
+    those, sums for a side that adds up and ``max_by(..., offset)`` for one whose latest row counts. A key is
+    emitted whenever a batch changes it, once all of ``both`` are known. State is one row per key, partial aggregates are made
+    before the shuffle, and no stored table is read, so a batch costs what it brings. Null keys meet nothing.
+    Rows only ever add: where a side can take rows back, use :func:`maintain_join`.
+    """
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    joined = stream.filter(known).groupBy(*keys).agg(*[side.alias(name) for name, side in sides.items()])
+    for name in both:
+        joined = joined.filter(F.col(name).isNotNull())
+    return joined
+
+
 def stream_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, late: str, within: str
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    left_ts: str,
+    right_ts: str,
+    late: str,
+    within: str,
+    how: str = "inner",
 ) -> DataFrame:
-    """Append-only variant: rows of both streams with equal keys whose times are at most ``within`` apart."""
+    """Append-only variant: rows of both streams with equal keys, the right one at most ``within`` after the left.
+
+    With ``how="left"`` a left row without an answer leaves with nulls once the watermarks of both sides are past the
+    last moment at which one could come; state is bounded by ``late`` and ``within`` either way.
+    """
     a = left.withWatermark(left_ts, late).alias("a")
     b = right.withWatermark(right_ts, late).alias("b")
     near = (F.col(f"b.{right_ts}") >= F.col(f"a.{left_ts}")) & (
@@ -86,4 +115,4 @@ def stream_join(
     for key in on:
         near = near & (F.col(f"a.{key}") == F.col(f"b.{key}"))
     others = [c for c in right.columns if c not in on]
-    return a.join(b, near).select("a.*", *[F.col(f"b.{c}") for c in others])
+    return a.join(b, near, how).select("a.*", *[F.col(f"b.{c}") for c in others])

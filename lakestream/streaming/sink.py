@@ -30,7 +30,7 @@ def start(
 ) -> StreamingQuery:
     """Run ``commit(batch, batch_id)`` per micro-batch; ``interval=None`` reads what is there and stops.
 
-    A batch replayed after a failure has the same id and overwrites its own commit.
+    A batch replayed after a failure has the same id; a commit that is finished already changes nothing.
     """
     writer = stream.writeStream.outputMode(mode).foreachBatch(commit).option("checkpointLocation", checkpoint)
     if interval is None:
@@ -47,8 +47,16 @@ def run_available(
     return query
 
 
-def append_to(path: str, partition_by: str | None = None) -> Callable[[DataFrame, int], None]:
-    return lambda batch, batch_id: retry(lambda: append(batch, path, batch_id, partition_by))
+def append_to(
+    path: str, partition_by: str | None = None, fold_every: int = FOLD_EVERY
+) -> Callable[[DataFrame, int], None]:
+    """Append each batch as a commit; gathered commits are merged into few larger parts, with the same rows."""
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        retry(lambda: append(batch, path, batch_id, partition_by))
+        fold_when(batch.sparkSession, path, [], [], partition_by, every=fold_every)
+
+    return commit
 
 
 def upsert_to(
@@ -95,15 +103,45 @@ def schema_letters(batch: DataFrame, message: str) -> DataFrame:
 
 
 def upsert_topics_to(
-    folder: str, field: str, value: str, schemas: dict[str, T.StructType], ids: Sequence[str], order: Sequence[str]
+    folder: str,
+    field: str,
+    value: str,
+    schemas: dict[str, T.StructType],
+    ids: Sequence[str],
+    order: Sequence[str],
+    dlq_path: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """Route records whose targets have schemas of their own: a table per target, ``value`` decoded as it asks."""
+    """Route records whose targets have schemas of their own: a table per target, ``value`` decoded as it asks.
+
+    No record is lost: one without a target, with a target that has no schema, or with a value that does not
+    decode goes to the dead letters (``folder/dead_letters`` unless given) with its raw value and target.
+    """
+    letters_path = dlq_path or f"{folder}/dead_letters"
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         routed = route_by_field(batch, field)
+        known = F.coalesce(F.col("target").isin(list(schemas)), F.lit(False))
+        lost = F.when(F.col("target").isNull(), "NoTarget").otherwise("UnknownTarget")
+        letters = routed.filter(~known).select(
+            F.col(value).alias("record"), "target", F.lit("route").alias("error_stage"), lost.alias("error_class")
+        )
+        decoded = {}
+        for target, schema in schemas.items():
+            here = routed.filter(F.col("target") == target).select(F.col(value).alias("_raw"), F.col(value).alias("_value"))
+            decoded[target] = decode_json(here, schema, "_value")
+            broken = F.col("_raw").isNull() | F.col("_corrupt_record").isNotNull()
+            letters = letters.unionByName(
+                decoded[target].filter(broken).select(
+                    F.col("_raw").alias("record"),
+                    F.lit(target).alias("target"),
+                    F.lit("decode").alias("error_stage"),
+                    F.lit("BadRecord").alias("error_class"),
+                )
+            )
+        append_to(letters_path)(letters, batch_id)
         for target, schema in schemas.items():
-            rows = decode_json(routed.filter(F.col("target") == target).select(value), schema, value).select(*schema.names)
-            upsert_to(f"{folder}/{target}", ids, order)(rows, batch_id)
+            fine = decoded[target].filter(F.col("_raw").isNotNull() & F.col("_corrupt_record").isNull())
+            upsert_to(f"{folder}/{target}", ids, order)(fine.select(*schema.names), batch_id)
 
     return keeping(commit)
 

@@ -20,14 +20,17 @@ STREAMS = {
     "stateful_count",
     "stream_dedup",
     "stream_dlq",
+    "state_snapshot",
     "stream_join_ack",
+    "stream_join_left",
     "stream_rate_limited",
     "stream_routed",
+    "stream_routed_topics",
     "stream_sink_metrics",
     "stream_upsert_final",
     "tumble_hourly_stream",
 }
-PYTHON = {"udf_scalar", "udaf_geo_mean", "udtf_ngrams"}
+PYTHON = {"match_pattern", "udf_scalar", "udaf_geo_mean", "udtf_ngrams"}
 # final aggregates to a single row
 ONE_ROW = {"conformance", "force_optional", "replay_idempotent"}
 
