@@ -33,7 +33,7 @@ def whole(vectors: list[np.ndarray], scale: int) -> np.ndarray:
     for i, v in enumerate(vectors):
         rows[i, : len(v)] = v
     rows = np.floor(scale * rows)
-    if not rows.size or np.abs(rows).max() < 2**62:
+    if not rows.size or np.abs(rows).max() < 2**61:
         return rows.astype(np.int64)
     return np.array([[int(x) for x in r] for r in rows], object)
 
@@ -50,7 +50,8 @@ class Fields:
             self.width = 8
         biased = (rows + self.bias).T
         self.packed = [int.from_bytes(self.written(column), "little") for column in biased]
-        self.sums = biased.sum(axis=0)
+        # beyond four bytes the products below may pass 63 bits
+        self.sums = (biased if self.width == 4 else biased.astype(object)).sum(axis=0)
 
     def written(self, column: np.ndarray) -> bytes:
         if self.width <= 8:
@@ -65,7 +66,7 @@ class Fields:
         data = total.to_bytes(self.n * self.width, "little")
         if self.width <= 8:
             raw = np.frombuffer(data, f"<u{self.width}")
-            raw = raw.astype(np.int64 if self.width < 8 else object)
+            raw = raw.astype(np.int64 if self.width == 4 else object)
         else:
             raw = np.array([int.from_bytes(data[i : i + self.width], "little") for i in range(0, len(data), self.width)], object)
         # sum (a + reach)(c + bias) = score + reach * sum(c + bias) + bias * sum(a)
