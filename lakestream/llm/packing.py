@@ -10,7 +10,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,8 @@ REMEMBERED = 200_000
 class Ids(dict):
     """Pre-token to the bytes of its ids (little-endian, 32 bits each), tokenized when first met.
 
-    The first ``REMEMBERED`` ones stay, which has all the frequent ones; the rest is tokenized where it comes up.
+    The first ``REMEMBERED`` ones stay, which has all the frequent ones of the texts a task begins with; others are
+    tokenized once per slice of texts, so a task that goes on to another language is slower there, not wrong.
     """
 
     def __init__(self, path: str):
@@ -35,23 +35,20 @@ class Ids(dict):
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, and how many each has."""
+        parts = self.bytes_of(texts)
+        return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+    def bytes_of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
         pieces = [self.cutter.cut(t) for t in texts]
-        codes, distinct = pd.factorize(np.array([p for ps in pieces for p in ps], dtype=object))
-        new = [p for p in distinct if p not in self]
+        new = list(set().union(*pieces).difference(self))
         ids, lengths = self.cutter.tokens(new)
         data, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(lengths)
-        fresh = dict(zip(new, [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)], strict=True))
-        parts = [self[p] if p in self else fresh[p] for p in distinct]
-        self.update(islice(fresh.items(), max(0, REMEMBERED - len(self))))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts = np.cumsum(sizes) - sizes
-        # each occurrence takes its pre-token's run of ids: where the run starts, less where it goes, plus its place
-        run = sizes[codes]
-        goes = np.cumsum(run) - run
-        flat = np.frombuffer(b"".join(parts), "<u4")[np.repeat(starts[codes] - goes, run) + np.arange(run.sum())]
-        ends = np.concatenate([[0], np.cumsum([len(ps) for ps in pieces])])
-        at = np.concatenate([goes, [run.sum()]])[ends]
-        return flat, np.diff(at)
+        self.update(zip(new, [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)], strict=True))
+        out = [b"".join(map(self.__getitem__, ps)) for ps in pieces]
+        for piece in new[max(0, len(new) - max(0, len(self) - REMEMBERED)) :]:
+            del self[piece]
+        return out
 
 
 @lru_cache(1)
@@ -68,10 +65,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             for start in range(0, len(texts), 500):
-                flat, sizes = known.of(texts[start : start + 500])
-                data, ends = flat.tobytes(), 4 * np.cumsum(sizes)
-                ids = [data[b - 4 * n : b] + end for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                sizes = sizes + 1
+                ids = [data + end for data in known.bytes_of(texts[start : start + 500])]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 rows = batch.iloc[start : start + 500][["part", "doc_id"]]
                 yield rows.assign(before=done + np.cumsum(sizes) - sizes, n=sizes, ids=ids)
                 done += int(sizes.sum())
