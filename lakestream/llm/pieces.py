@@ -26,6 +26,9 @@ LETTERS = "".join(sorted({c.lower() for c in PLAIN if unicodedata.category(c)[0]
 DIGITS = "".join(c for c in PLAIN if unicodedata.category(c)[0] == "N")
 _letters, _digits = re.escape(LETTERS), re.escape(DIGITS)
 NOT_PLAIN = re.compile(f"[^{re.escape(PLAIN)}]")
+#: The character a byte-level vocabulary writes for each byte: itself where it shows, else the next free one from 256.
+SHOWN = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
+BYTES = {b: b if b in SHOWN else 256 + sum(i not in SHOWN for i in range(b)) for b in range(256)}
 CUT = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_digits}]|[^\x09-\x0D\x20{_letters}{_digits}]+"
 )
@@ -50,6 +53,7 @@ class Cutter:
         suffix = settings["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.bare.get_vocab_size(), bool)
         self.ends[[i for token, i in self.bare.get_vocab().items() if token.endswith(suffix)]] = True
+        self.model = self.bare.model
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
     def cut(self, text: str) -> list[str]:
@@ -64,6 +68,14 @@ class Cutter:
                 out += [clean[a:b] for _, (a, b) in self.split.pre_tokenize_str(clean)]
         return out
 
+    def ids(self, piece: str) -> list[int]:
+        """Token ids of one pre-token, straight from the tokenizer's model."""
+        if piece[:1] == "\0" and piece[1:] in self.special:
+            return [self.special[piece[1:]]]
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(BYTES)
+        return [token.id for token in self.model.tokenize(piece)]
+
     def tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the pre-tokens one after the other, and how many each has.
 
