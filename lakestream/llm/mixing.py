@@ -85,9 +85,10 @@ def placed_documents(docs: DataFrame, weights: Sequence[int], cap: int, tilt: fl
 
     ``keys`` are columns of ``docs`` that stay with their row and decide between rows of equal id and size.
     """
-    rows = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *keys)
-    digest = F.md5(filled(F.col("doc_id").cast("string")))
-    rows = saved(rows.withColumn("digest", digest), "mixing")
+    # the text counts too, so that many rows without an id, or with one, do not share a slot
+    digest = F.md5(F.concat_ws(":", filled(F.col("doc_id").cast("string")), F.md5(filled(F.col("text")))))
+    rows = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), digest.alias("digest"), *keys)
+    rows = saved(rows, "mixing")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = curriculum(source_targets(sizes, weights, cap), tilt).withColumnRenamed("source", "_source")
     placed = prefix_sums(rows, "source", "digest", ["doc_id", "size", *keys], "size", "before", "_total")
@@ -111,7 +112,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, tilt:
     Returns ``doc_id, size, source_size, target, taken, source, position``. ``size`` is the number of words.
     A source passes over its documents as often as its target asks for; the last pass stops in the middle of a
     document, so a source's ``taken`` adds up to its target's whole words. ``position`` is when the document's
-    first pass begins (null if nothing is taken). Null and empty texts have size 0 and nothing taken; a null
+    first pass begins (null if nothing is taken); ties go by id. Null and empty texts have size 0 and nothing taken; a null
     source is a source; a null ``doc_id`` is put in order like an empty one; repeated rows are rows of their own
     (which of two equal ones is cut does not matter). An empty table gives no rows. Other columns are ignored.
     """
@@ -125,8 +126,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, tilt:
 def mixed_documents(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, tilt: float = 0.5
 ) -> DataFrame:
-    """The documents the mix trains on, with the columns of ``docs``, in training order.
+    """The documents the mix trains on, with the columns of ``docs``, in training order: by position, then pass and row.
 
+    The order is that of the partitions and of the rows in them, and stays when they are written as files (by the
+    files' numbers; ``packing.written_order`` reads it back).
     A document comes once for each pass over it; the last pass of a source may end within a text, which is then
     cut after the last word taken. Documents nothing is taken of go. Rows find their place by a number of their
     own, written with them, so null and repeated ids are documents of their own.
@@ -140,8 +143,10 @@ def mixed_documents(
         F.least(F.col("taken") - F.col("_turn") * F.col("size"), F.col("size")).cast("int").alias("_words"),
         (F.col("taken") - F.col("_turn") * F.col("size") < F.col("size")).alias("_cut"),
         due(F.col("_turn")).alias("_position"),
+        "_turn",
     )
-    joined = numbered.join(turns, "_id").repartitionByRange("_position").sortWithinPartitions("_position")
+    order = ("_position", "_turn", "_id")
+    joined = numbered.join(turns, "_id").repartitionByRange(*order).sortWithinPartitions(*order)
     text = F.col("_row")["text"]
     words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.when(F.col("_cut"), F.array_join(F.slice(words, F.lit(1), F.col("_words")), "")).otherwise(text)

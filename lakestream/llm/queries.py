@@ -47,34 +47,40 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIX_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS digest FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS turn FROM d GROUP BY source),
 w AS (SELECT *, CASE (turn - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS bound FROM s),
 r AS (SELECT *, CAST(bound AS DOUBLE) / weight AS ratio FROM w),
 u AS (SELECT *, CAST(CAST(sum(source_size) OVER () AS BIGINT) - coalesce(CAST(sum(bound) OVER o AS BIGINT), 0) AS DOUBLE) / CAST(sum(weight) OVER l AS BIGINT) AS unit FROM r
   WINDOW o AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), l AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 k AS (SELECT arg_min(unit, ratio) AS unit FROM u WHERE ratio > unit),
-t AS (SELECT source, source_size, CASE WHEN u.ratio <= k.unit OR k.unit IS NULL THEN CAST(bound AS DOUBLE) ELSE weight * k.unit END AS target FROM u, k),
-p AS (SELECT d.*, source_size, target, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
-  CASE WHEN source_size > 0 THEN least(3, CAST(floor(floor(target) / source_size) AS BIGINT)) ELSE 0 END AS passes FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, source, target, CAST(passes * size + greatest(least(CAST(floor(target) AS BIGINT) - passes * source_size - before, size), 0) AS BIGINT) AS taken FROM p
+t AS (SELECT source, source_size, CASE WHEN weight > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lead, CASE WHEN u.ratio <= k.unit OR k.unit IS NULL THEN CAST(bound AS DOUBLE) ELSE weight * k.unit END AS target FROM u, k),
+h AS (SELECT *, CASE WHEN whole > 0 THEN target / whole ELSE 0.0::DOUBLE END AS share FROM t, (SELECT list_reduce(list(target ORDER BY source IS NULL, source), lambda a, b: a + b) AS whole FROM t)),
+g AS (SELECT *, lead - (SELECT list_reduce(list(share * lead ORDER BY source IS NULL, source), lambda a, b: a + b) FROM h) AS gap FROM h),
+c AS (SELECT *, share * (1.0::DOUBLE + 0.5::DOUBLE * gap) AS early, share * (1.0::DOUBLE - 0.5::DOUBLE * gap) AS late FROM g),
+p AS (SELECT d.*, source_size, target, share, early, late, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
+  CASE WHEN source_size > 0 THEN least(3, CAST(floor(floor(target) / source_size) AS BIGINT)) ELSE 0 END AS passes FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+n AS (SELECT *, CAST(passes * size + greatest(least(CAST(floor(target) AS BIGINT) - passes * source_size - before, size), 0) AS BIGINT) AS taken, CASE WHEN target > 0 THEN before::DOUBLE / target * share ELSE 0.0::DOUBLE END AS need FROM p),
+z AS (SELECT *, sqrt(greatest(early * early + 2.0::DOUBLE * (late - early) * need, 0.0::DOUBLE)) AS root FROM n)
+SELECT doc_id, size, source_size, source, target, taken, CASE WHEN taken > 0 THEN CASE WHEN early + root > 0 THEN least(2.0::DOUBLE * need / (early + root), 1.0::DOUBLE) ELSE 0.0::DOUBLE END END AS position FROM z
 """
 
 
 @query("op2_source_mixing", MIX_SQL)
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("position")
+    return mixing.mix(documents(spark, sf_dir))
 
 
 CHAT_SQL = r"""
 WITH r AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-c AS (SELECT conv_id, count(*) AS n, list(struct_pack(role := role, text := text) ORDER BY turn NULLS LAST, role, sha256(text)) AS turns FROM r GROUP BY conv_id),
-m AS (SELECT min(conv_id) AS conv_id, n, turns FROM c GROUP BY n, turns),
+o AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM r),
+c AS (SELECT conv_id, count(*) AS n, list(struct_pack(role := role, text := text) ORDER BY turn NULLS LAST, role NULLS FIRST, sha256(text) NULLS FIRST) AS turns FROM o GROUP BY conv_id, own),
+m AS (SELECT row_number() OVER () AS mid, CASE WHEN count(*) = count(conv_id) THEN min(conv_id) END AS conv_id, n, turns FROM c GROUP BY n, turns),
 k AS (SELECT * FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.n > a.n AND b.turns[1:a.n] = a.turns)),
-e AS (SELECT conv_id, n, unnest(range(1, n + 1)) AS i, unnest(turns) AS t FROM k)
+e AS (SELECT mid, conv_id, n, unnest(range(1, n + 1)) AS i, unnest(turns) AS t FROM k)
 SELECT conv_id, CAST((i - 1) // 256 AS BIGINT) AS part, CAST(n AS BIGINT) AS n_turns,
   string_agg('<|im_start|>' || replace(coalesce(t.role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(t.text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY i) AS text
-FROM e GROUP BY conv_id, n, (i - 1) // 256
+FROM e GROUP BY mid, conv_id, n, (i - 1) // 256
 """
 
 
@@ -114,13 +120,13 @@ def _secret_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 found AS ({" UNION ALL ".join(parts)}),
 apart AS (SELECT * FROM found f WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM found b WHERE b.rid = f.rid AND b.rank < 3 AND b.start < f.stop AND f.start < b.stop)),
-own AS (SELECT value, count(DISTINCT coalesce('s' || source, '')) AS n_owners, count(DISTINCT (coalesce('s' || source, ''), coalesce('d' || doc_id, ''))) AS n_repos FROM apart JOIN d USING (rid) GROUP BY value),
-judged AS (SELECT apart.*, n_owners = 1 AND n_repos <= 3 AS live, n_owners >= 3 AS shared FROM apart JOIN own USING (value)),
+own AS (SELECT value, count(DISTINCT coalesce('s' || source, '')) AS n_owners, count(DISTINCT (coalesce('s' || source, ''), text)) AS n_repos FROM apart JOIN d USING (rid) GROUP BY value),
+judged AS (SELECT apart.*, n_owners < 3 AS live, n_owners >= 3 AS shared, n_repos FROM apart JOIN own USING (value)),
 joined AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3 OR live) AS spans,
-  count(*) FILTER (live) AS n_live, count(*) FILTER (shared) AS n_shared FROM judged GROUP BY rid)
+  count(*) FILTER (live) AS n_live, count(*) FILTER (shared) AS n_shared, max(n_repos) AS most_repos FROM judged GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared FROM d LEFT JOIN joined USING (rid)
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(most_repos, 0) AS most_repos FROM d LEFT JOIN joined USING (rid)
 """
 
 

@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are found by pattern in every text. Their hashes are counted over the whole corpus, by distinct
-repositories (documents) and distinct owners (sources): a value that many owners hold is a copied example, a value
-that only one owner holds in a few documents looks live. All of it is DataFrame expressions.
+repositories (different texts of an owner, so a copied document is no further one) and distinct owners (sources): a
+value that many owners hold is a copied example, any other one looks live. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -79,13 +79,14 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def secret_spans(docs: DataFrame, live_repos: int = 3, shared_owners: int = 3) -> DataFrame:
-    """One row per document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared``.
+def secret_spans(docs: DataFrame, shared_owners: int = 3) -> DataFrame:
+    """One row per document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, most_repos``.
 
     Base spans are those of the first three kinds. The method adds spans of kind ``mixed``: runs of 20 or more
     characters with small and capital letters and digits that do not touch a base span and look live. A value
-    is live if one owner holds it, in at most ``live_repos`` documents, and shared if ``shared_owners`` or more hold it;
-    ``n_live`` and ``n_shared`` count a document's candidates of either sort. Null counts as an empty text,
+    is shared if ``shared_owners`` or more owners hold it, and live otherwise, however many copies there are;
+    ``n_live`` and ``n_shared`` count a document's candidates of either sort, and ``most_repos`` is in how many
+    repositories the most copied of them is. Null counts as an empty text,
     which has no span; a null source is an owner; repeated rows are rows of their own, but one repository. An
     empty table gives no rows. Other columns are ignored.
     """
@@ -95,7 +96,7 @@ def secret_spans(docs: DataFrame, live_repos: int = 3, shared_owners: int = 3) -
         spans_of(text, 3, *KINDS[3]),
         lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"),
     )
-    found = docs.select("doc_id", F.col("source").alias("owner"), F.concat(*base).alias("base"), mixed.alias("mixed"))
+    found = docs.select("doc_id", F.col("source").alias("owner"), F.md5(text).alias("repo"), F.concat(*base).alias("base"), mixed.alias("mixed"))
     apart = F.filter(
         "mixed", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     )
@@ -103,27 +104,30 @@ def secret_spans(docs: DataFrame, live_repos: int = 3, shared_owners: int = 3) -
         F.concat("base", apart),
         lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"], F.sha2(s["value"], 256).alias("hash")),
     )
-    rows = found.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "owner", hashed.alias("spans"))
+    repo = F.when(F.size("spans") > 0, F.col("repo")).alias("repo")
+    rows = found.withColumn("spans", hashed).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "owner", repo, "spans")
     rows = saved(rows, "secrets")
-    each = rows.select("row_id", "doc_id", "owner", F.explode("spans").alias("span"))
+    each = rows.select("row_id", "doc_id", "owner", "repo", F.explode("spans").alias("span"))
     each = each.withColumn("hash", F.col("span.hash"))
-    known = ownership(each.select("hash", "owner", F.col("doc_id").alias("repo")))
+    known = ownership(each.select("hash", "owner", "repo"))
     judged = each.join(known, "hash").select(
         "row_id",
         "doc_id",
         F.struct("span.start", "span.rank", "span.end", "span.kind").alias("span"),
-        ((F.col("n_owners") == 1) & (F.col("n_repos") <= live_repos)).alias("live"),
+        (F.col("n_owners") < shared_owners).alias("live"),
         (F.col("n_owners") >= shared_owners).alias("shared"),
+        "n_repos",
     )
     judged = judged.groupBy("row_id", "doc_id").agg(
         F.array_sort(F.collect_list(F.when((F.col("span.rank") < 3) | F.col("live"), F.col("span")))).alias("spans"),
         F.count_if("live").alias("n_live"),
         F.count_if("shared").alias("n_shared"),
+        F.max("n_repos").alias("most_repos"),
     )
     none = F.array().cast(judged.schema["spans"].dataType)
     zero = F.lit(0).cast("long")
     bare = rows.filter(F.size("spans") == 0).select(
-        "row_id", "doc_id", none.alias("spans"), zero.alias("n_live"), zero.alias("n_shared")
+        "row_id", "doc_id", none.alias("spans"), zero.alias("n_live"), zero.alias("n_shared"), zero.alias("most_repos")
     )
     every = judged.unionByName(bare)
     counts = [
@@ -137,4 +141,5 @@ def secret_spans(docs: DataFrame, live_repos: int = 3, shared_owners: int = 3) -
         joined_spans(F.col("spans")).alias("spans"),
         "n_live",
         "n_shared",
+        "most_repos",
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 
-from lakestream.llm import chat
+from lakestream.llm import chat, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string, position int, conv string, h0 string"
 
@@ -61,6 +62,16 @@ def test_hard_conversations(spark, rows):
     assert chat.chat_texts(made(spark, [])).count() == 0
 
 
+def test_sql_says_the_same_of_rows_without_ids(spark, rows):
+    data = [r for r in HARD if len(r[3] or "") < 100]
+    data += [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "a"), (9, 0, "user", "lonely")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", data)
+    wanted = con.execute(queries.CHAT_SQL).fetchall()
+    assert rows(chat.chat_texts(made(spark, data))) == sorted(wanted, key=repr) == plain(data)
+
+
 @pytest.mark.parametrize("chunk", [2, 7])
 def test_long_conversations_are_split(spark, rows, chunk, monkeypatch):
     monkeypatch.setattr(chat, "CHUNK", chunk)

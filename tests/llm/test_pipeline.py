@@ -6,10 +6,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lakestream.llm import exact_dedup, near, packing, queries, toxicity
+from lakestream.llm import exact_dedup, mixing, near, packing, queries, toxicity
 from tests.llm.conftest import TRICKY
 from tests.llm.test_dedup import brute_links
 from tools.compare import compare, connect
@@ -20,8 +21,8 @@ NATIVE = ("op2_source_mixing", "op4_exact_dedup", "op5_secret_ownership")
 def test_registration():
     names = set(queries.QUERIES) | {"pipeline"}
     assert names <= set(entry.queries())
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
-    assert set(queries.ORACLES) == {"op2_source_mixing", "op3_chat_snapshots", "op4_exact_dedup", "op5_secret_ownership"}
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
+    assert {n.split("_")[0] for n in queries.ORACLES} == {f"op{i}" for i in (2, 3, 4, 5, 11, 12, 13)}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard", "source_mixing", "packing"]
 
 
@@ -65,6 +66,34 @@ def test_stages(spark, sf_dir):
     assert len({p["sequence_id"] for p in pieces}) == -(-total // 2048)
 
 
+def test_sequences_follow_the_training_order(spark, sf_dir, tmp_path):
+    """Written as eight files of very unequal size and read again, rows still are packed by position."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    position = {r["doc_id"]: r["position"] for r in mixing.mix(docs).collect()}
+    mixed = mixing.mixed_documents(docs)
+    wanted = [r["doc_id"] for r in mixed.collect()]
+    first_turns = [position[i] for i in dict.fromkeys(wanted)]
+    assert first_turns == sorted(first_turns)
+    place = F.monotonically_increasing_id()
+    rows = mixed.withColumn("_at", place).checkpoint()
+    numbered = {r["_at"]: n for n, r in enumerate(rows.select("_at").sort("_at").collect())}
+    ends = [len(numbered) * f // 100 for f in (1, 2, 4, 8, 16, 90, 95, 100)]
+    cuts = sorted(numbered)
+    for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+        part = rows.filter(F.col("_at").between(cuts[a], cuts[b - 1]) if b > a else F.lit(False))
+        part.sort("_at").coalesce(1).drop("_at").write.parquet(f"{tmp_path}/one-{i}")
+    folder = tmp_path / "all"
+    folder.mkdir()
+    for i in range(8):
+        for n, file in enumerate(sorted((tmp_path / f"one-{i}").glob("part-*"))):
+            (folder / f"part-{i:05d}-{n}.parquet").write_bytes(file.read_bytes())
+    scan = spark.read.parquet(str(folder))
+    path = corpus_pipeline.public_tokenizers.path("word_bpe_49k.json")
+    for source in (scan, scan.filter("length(text) >= 0"), mixed):
+        pieces = packing.packed(source, path).filter("start = 0").sort("sequence_id", "offset").collect()
+        assert [p["doc_id"] for p in pieces] == wanted
+
+
 def test_stages_with_tricky_rows(spark, tricky, nothing, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for docs, n in ((tricky, len(TRICKY)), (nothing, 0)):
