@@ -11,7 +11,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,11 +30,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 MANY_DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){11}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Letters of other scripts that look like ASCII ones, and how digits, at and dot are spelled.
+# Letters that look like ASCII ones and have no compatibility form, and how digits, at and dot are spelled.
 LOOK_ALIKE = dict(
     zip(
-        "аАВсСеЕНіІјЈкКМоОрРѕЅТхХуУһԁԛԝαΑΒΕΖΗιΙκΚΜΝνοΟρΡτΤυΥχΧ",
-        "aABcCeEHiIjJkKMoOpPsSTxXyYhdqwaABEZHiIkKMNvoOpPtTuYxX",
+        "аАВсСеЕНіІјЈкКМоОрРѕЅТхХуУһԁԛԝӏѵѡԍαΑΒΕΖΗιΙκΚΜΝνοΟρΡτΤυΥχΧϲϳɑɡɩıʋօսհոց",
+        "aABcCeEHiIjJkKMoOpPsSTxXyYhdqwlvwgaABEZHiIkKMNvoOpPtTuYxXcjagiivouhng",
         strict=True,
     )
 )
@@ -68,7 +71,6 @@ SENTENCE_WORDS = frozenset(
     "same such first last next".split()
 )
 AT_WORDS, DOT_WORDS = r"(?:at|arroba|ät|chez)", r"(?:dot|point|punkt|punto)"
-INVISIBLE = "­​‌‍⁠﻿"
 
 _digit = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _gap = r"[\x20\t.,-]{1,3}"
@@ -77,26 +79,24 @@ DIGIT_RUN = re.compile(rf"(?i)(?:\bplus{_gap})?\b(?:[0-9]++|{_digit})\b(?:{_gap}
 SPELLED = re.compile(rf"(?i)\bplus{_gap}(?=[0-9])|(?:\bplus{_gap})?\b{_digit}(?:{_gap}{_digit})*\b")
 SPELLED_PART = re.compile(rf"(?i){_digit}\b|plus\b")
 SPELLED_WORD = re.compile(rf"(?i)\b{_digit}\b")
+#: Signs as they are written out: in brackets, as a word between spaces, or as a sign between spaces.
+_AT = rf"\s?[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]\s?|[\[({{<]a[\])}}>]|\s{AT_WORDS}\s|\x20@\x20"
+_DOT = rf"\s?[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s?|\s{DOT_WORDS}\s|\x20\.\x20"
 WRITTEN = re.compile(
-    rf"(?i)[A-Za-z0-9%+_-]+(?:(?:\.|\s?[\[({{<]\s?{DOT_WORDS}\s?[\])}}>]\s?|\s{DOT_WORDS}\s)[A-Za-z0-9%+_-]+){{0,4}}"
-    rf"(?:@|\s?[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]\s?|\s{AT_WORDS}\s)[A-Za-z0-9-]+"
-    rf"(?:(?:\.|\s?[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s?|\s{DOT_WORDS}\s)[A-Za-z0-9-]+)+"
+    rf"(?i)(?<![A-Za-z0-9%+_-])[A-Za-z0-9%+_-]++(?:(?:\.|{_DOT})[A-Za-z0-9%+_-]++)*+"
+    rf"(?:@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+"
 )
-WRITTEN_AT = re.compile(rf"(?i)\s?[\[({{<]\s?(?:{AT_WORDS}|@)\s?[\])}}>]\s?|\s{AT_WORDS}\s")
-WRITTEN_DOT = re.compile(rf"(?i)\s?[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s?|\s{DOT_WORDS}\s")
+WRITTEN_AT, WRITTEN_DOT = re.compile(f"(?i){_AT}"), re.compile(f"(?i){_DOT}")
+#: Signs as references of a page or escapes of an address.
+ESCAPED = re.compile(r"(?i)&#0*64;|&#x0*40;|&commat;|%40|&#0*46;|&#x0*2e;|&period;|%2e")
 #: Groups of digits joined by dots, written out or plain: what they are is left to the detectors.
-WRITTEN_DIGITS = re.compile(
-    rf"(?i)(?<![0-9])[0-9]++(?:(?:\.|\s?[\[({{<]\s?(?:{DOT_WORDS}|\.)\s?[\])}}>]\s?|\s{DOT_WORDS}\s)[0-9]++)+"
-)
+WRITTEN_DIGITS = re.compile(rf"(?i)(?<![0-9])[0-9]++(?:(?:\.|{_DOT})[0-9]++)+")
 #: A plain dot after a whole address, and a capital after it, begin a sentence; in "example.co.UK" they do not.
 SENTENCE = re.compile(
     rf"(@(?:[A-Za-z0-9-]+\.)+?(?:{'|'.join(sorted(TOP_DOMAINS))}))\."
     rf"(?=[A-Z][a-z]|[A-Z]\b)(?!(?i:{'|'.join(sorted(TOP_DOMAINS - WORDY - {'it', 'at', 'me', 'us'}))})\b)"
 )
-DISGUISED_DOT = re.compile(rf"(?i)(?<![^\W_]){DOT_WORDS}(?![^\W_])|[\[({{<]\s?(?:{AT_WORDS}|@|\.)\s?[\])}}>]")
-SUSPECT = re.compile(
-    "[" + "".join(LOOK_ALIKE) + INVISIBLE + "！-～\U0001d400-\U0001d7ff①-⓿٠-٩۰-۹]"
-)
+DISGUISED_DOT = re.compile(rf"(?i)(?<![^\W_]){DOT_WORDS}(?![^\W_])|[\[({{<]\s?(?:{AT_WORDS}|@|\.|a)\s?[\])}}>]|\x20[@.]\x20")
 
 Span = tuple[int, str, int]
 Turn = Callable[[re.Match], str]
@@ -196,13 +196,34 @@ class Mapped:
         return out
 
 
-def look_alike(m: re.Match) -> str:
-    if m[0] in INVISIBLE:
+@lru_cache(1 << 16)
+def plain_form(c: str) -> str | None:
+    """What a character stands for in ASCII, by its properties: nothing if it is invisible, its compatibility form, the
+    digit it is, or the letter it looks like. None for a character that stands for itself.
+    """
+    if c.isascii():
+        return None
+    if unicodedata.category(c) == "Cf":
         return ""
-    plain = LOOK_ALIKE.get(m[0]) or unicodedata.normalize("NFKC", m[0])
-    if not plain.isascii() and len(plain) == 1 and plain.isdigit():
-        plain = str(unicodedata.digit(plain))
-    return plain if plain.isascii() else m[0]
+    form = LOOK_ALIKE.get(c) or unicodedata.normalize("NFKC", c)
+    if len(form) == 1 and not form.isascii():
+        form = LOOK_ALIKE.get(form, form)
+        if form.isdigit():
+            form = str(unicodedata.digit(form))
+    return form if form.isascii() else None
+
+
+def suspects(text: str) -> list[str]:
+    """The text's characters that stand for others."""
+    return [] if text.isascii() else sorted(c for c in set(text) if plain_form(c) is not None)
+
+
+def look_alike(m: re.Match) -> str:
+    return plain_form(m[0])
+
+
+def unescaped(m: re.Match) -> str:
+    return "." if re.search("(?i)46|2e|period", m[0]) else "@"
 
 
 def at_sign(_: re.Match) -> str:
@@ -218,11 +239,11 @@ def end_sentence(m: re.Match) -> str:
 
 
 def is_address(text: str) -> bool:
-    """A sign or a bracketed word shows intent; bare words need a top-level domain at the end.
+    """A sign or a bracketed word shows intent; bare words, signs between spaces and "(a)" need a top-level domain.
 
     Where that is a common word, the domain must not read like a sentence: "arrive at this point in" is none.
     """
-    if re.search(r"[@\[({<]", text):
+    if re.search(r"[@\[({<]", re.sub(r"\x20[@.]\x20|[\[({<][aA][\])}>]", "", text)):
         return True
     address = WRITTEN_DOT.sub(".", WRITTEN_AT.sub("@", text, count=1))
     labels = SENTENCE.sub(end_sentence, address).split(" ")[0].partition("@")[2].lower().split(".")
@@ -249,8 +270,9 @@ def spelled(m: re.Match) -> str:
 def disguised(text: str) -> list[Span]:
     """Spans of the source that read as personal data once normalised, and not before."""
     normal = Mapped(text)
-    if SUSPECT.search(text):
-        normal.rewrite(SUSPECT, look_alike)
+    if strange := suspects(text):
+        normal.rewrite(re.compile("[" + re.escape("".join(strange)) + "]"), look_alike)
+    normal.rewrite(ESCAPED, unescaped)
     normal = normal.within(DIGIT_RUN, is_spelled, (SPELLED, spelled))
     if DISGUISED_DOT.search(normal.text):
         normal = normal.within(WRITTEN, is_address, (WRITTEN_AT, at_sign), (WRITTEN_DOT, dot), (SENTENCE, end_sentence))
@@ -267,17 +289,24 @@ def disguised(text: str) -> list[Span]:
 
 def may_hide(text: str) -> bool:
     return bool(
-        (not text.isascii() and SUSPECT.search(text))
+        suspects(text)
         or DISGUISED_DOT.search(text)
+        or ESCAPED.search(text)
         or any(is_spelled(m[0]) for m in DIGIT_RUN.finditer(text))
     )
 
 
 def pii_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans: hidden ones are added where they touch no base span."""
+    """Base spans, and all spans: hidden ones are added that touch no base span, or hold those of their kind they touch."""
     base = detect(text)
     hidden = disguised(text) if may_hide(text) else []
-    extra = [h for h in hidden if not any(a < h[2] and h[0] < b for a, _, b in base)]
+    # starts rise, and so do the furthest ends up to each: the base spans a hidden one can touch lie side by side
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    extra = []
+    for start, kind, end in hidden:
+        near = base[bisect_right(reach, start) : bisect_left(starts, end)]
+        if all(b <= start or (k == kind and start <= a and b <= end) for a, k, b in near):
+            extra.append((start, kind, end))
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
