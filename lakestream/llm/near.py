@@ -296,6 +296,7 @@ def one_per_class(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     Texts without words all stay: they are near nothing.
     """
     kept = near_classes(docs, n, threshold, recall).filter("kept").select(F.struct("doc_id", "key").alias("_at"))
-    key = text_key(F.col("text"))
-    rows = docs.select(F.struct("doc_id", key.alias("key")).alias("_at"), whole_row(docs))
-    return rows.join(kept, "_at", "left_semi").dropDuplicates(["_at"]).select("_row.*")
+    bare = text_key(F.col("text")) == F.unhex(F.sha2(F.lit(""), 256))
+    rows = docs.select(F.struct("doc_id", text_key(F.col("text")).alias("key")).alias("_at"), whole_row(docs), bare.alias("_bare"))
+    one = rows.filter(~F.col("_bare")).join(kept, "_at", "left_semi").dropDuplicates(["_at"])
+    return one.unionByName(rows.filter("_bare")).select("_row.*")

@@ -215,7 +215,8 @@ def learned_list(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> De
 
     Documents that the base rules reject teach nothing: the list decides about the others. Their statistics, a few numbers each, are gathered at the driver; ``sample`` bounds them at every size.
     """
-    chosen = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"])
+    # of conflicting labels the smaller one counts, so that reruns agree
+    chosen = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most as many rows as the sample has ids, however often an id is repeated
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))

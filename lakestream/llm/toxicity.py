@@ -116,7 +116,9 @@ def learned_scorer(
     At most ``positives`` documents labelled toxic and ``unlabelled`` ones of any kind come to the driver, as indexes
     of at most ``vocabulary`` words. The class prior is the toxic share of all labelled rows that are not held out.
     """
-    usable = labels.select("doc_id", "toxic").dropna().filter(~is_held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    usable = labels.select("doc_id", "toxic").dropna().filter(~is_held_out(F.col("doc_id")))
+    # of conflicting labels the smaller one counts, so that reruns agree
+    usable = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     seen = usable.agg(F.avg("toxic")).first()[0]
     prior = float(np.clip(seen if seen is not None else 0.1, 0.005, 0.5))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))

@@ -135,6 +135,11 @@ def test_near_copies_with_null_or_equal_ids(spark, ids):
     assert len(texts) == 2 and "far away" in texts
 
 
+def test_texts_without_words_all_stay(spark):
+    docs = spark.createDataFrame([document(i, t) for i, t in ((1, None), (1, ""), (1, " "), (None, "\n"), (None, None), (2, "a b"), (2, "a b"))], DOCUMENTS)
+    assert near.one_per_class(docs).count() == near.near_classes(docs).filter("kept").count() == 6
+
+
 def test_banding_reaches_the_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, per_band = near.banding(threshold, 0.999)
