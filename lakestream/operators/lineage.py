@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakestream.operators.latest import latest_per_key
 from lakestream.session import work_dir
+from lakestream.sources.lake import folders
+
+#: Folders that edges are dealt into by node.
+BUCKETS = 32
 
 
 def lineage_edges(events: DataFrame) -> DataFrame:
@@ -22,82 +27,98 @@ def lineage_edges(events: DataFrame) -> DataFrame:
     return reads.unionByName(writes).distinct()
 
 
+def _bucket(node: str = "node") -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _stored_edges(spark: SparkSession, edges: DataFrame, base: str, direction: str) -> list[DataFrame]:
+    """Edges out of datasets and out of jobs as ``node, next, bucket``, in a folder per bucket of nodes."""
+    if direction not in ("downstream", "upstream"):
+        raise ValueError(f"unknown direction: {direction}")
+    ends = ("source", "target") if direction == "downstream" else ("target", "source")
+    # a step from a dataset, then one from a job
+    kinds = ("reads", "writes") if direction == "downstream" else ("writes", "reads")
+    stored = edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next"), "kind", _bucket(ends[0]))
+    stored.hint("rebalance", "kind", "bucket").write.partitionBy("kind", "bucket").parquet(f"{base}/edges")
+    whole = spark.read.schema("node string, next string, kind string, bucket int").parquet(f"{base}/edges")
+    return [whole.filter(F.col("kind") == kind).drop("kind") for kind in kinds]
+
+
 def lineage_closure(
     spark: SparkSession, edges: DataFrame, start: str, direction: str = "downstream"
 ) -> DataFrame:
     """Datasets reachable from ``start`` with their distance in jobs; cycles are fine.
 
-    Breadth-first until a hop finds nothing new: each is two joins of the frontier with the edges. Edges and frontiers are tables in the
-    shared folder, so plans stay short and survive the loss of an executor, and the measured size of a
-    frontier decides whether it is broadcast or the edges are shuffled.
+    Breadth-first, a step from datasets to jobs or back at a time, until a step finds nothing new. Edges and frontiers
+    are tables in the shared folder, so plans stay short and survive the loss of an executor. A step reads the
+    edges of its frontier's buckets only, and the measured size of the frontier decides whether it is broadcast or
+    those edges are shuffled.
     """
-    if direction not in ("downstream", "upstream"):
-        raise ValueError(f"unknown direction: {direction}")
     base = work_dir(spark, "closure")
-    ends = ("source", "target") if direction == "downstream" else ("target", "source")
-    # first hop of a pair leaves a dataset, the second leaves a job
-    kinds = ("reads", "writes") if direction == "downstream" else ("writes", "reads")
-    stored = edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next"), "kind")
-    stored.write.partitionBy("kind").parquet(f"{base}/edges")
-    leave_dataset, leave_job = (
-        spark.read.parquet(f"{base}/edges").filter(F.col("kind") == kind).select("node", "next") for kind in kinds
-    )
+    leave = _stored_edges(spark, edges, base, direction)
+
+    def read(steps: Sequence[int]) -> DataFrame:
+        paths = [f"{base}/reached/step={i}" for i in steps]
+        return spark.read.schema("node string, step int").option("basePath", f"{base}/reached").parquet(*paths)
 
-    def read(hops: str) -> DataFrame:
-        return spark.read.schema("node string, distance int").parquet(f"{base}/reached{hops}")
-
-    spark.range(1).select(F.lit(start).alias("node")).write.parquet(f"{base}/reached/distance=0")
-    for hop in itertools.count(1):
-        frontier = read(f"/distance={hop - 1}").select("node")
-        jobs = leave_dataset.join(frontier, "node").select(F.col("next").alias("node")).distinct()
-        reached = leave_job.join(jobs, "node").select(F.col("next").alias("node")).distinct()
-        found = reached.join(read("").select("node"), "node", "left_anti")
-        found.write.parquet(f"{base}/reached/distance={hop}")
-        if read(f"/distance={hop}").isEmpty():
+    spark.range(1).select(F.lit(start).alias("node")).select("node", _bucket()).write.partitionBy("bucket").parquet(f"{base}/reached/step=0")
+    done = [0]
+    for step in itertools.count(1):
+        buckets = [int(b) for b in folders(spark, f"{base}/reached/step={step - 1}", "bucket")]
+        if not buckets:
             break
-    return read("").filter("distance > 0").select(F.col("node").alias("dataset"), "distance")
+        near = leave[(step - 1) % 2].filter(F.col("bucket").isin(buckets))
+        reached = near.join(read([step - 1]).select("node"), "node").select(F.col("next").alias("node")).distinct()
+        # datasets come up in even steps, jobs in odd ones
+        earlier = [i for i in done if i % 2 == step % 2]
+        found = reached.join(read(earlier).select("node"), "node", "left_anti") if earlier else reached
+        found = found.select("node", _bucket())
+        found.write.partitionBy("bucket").parquet(f"{base}/reached/step={step}")
+        done.append(step)
+    found = read([i for i in done if i % 2 == 0]).filter("step > 0")
+    return found.select(F.col("node").alias("dataset"), F.floor(F.col("step") / 2).cast("int").alias("distance"))
 
 
 def lineage_impact(spark: SparkSession, edges: DataFrame, starts: DataFrame, direction: str = "downstream") -> DataFrame:
     """``node`` of ``starts`` and ``datasets``, the number of other datasets reachable from it, for all starts at once.
 
-    A start is a bit of a 64-bit word, and a frontier row says which of a word's starts have just come to a node. Hops
-    merge by bitwise or, so the edges are read once per hop for all starts together, and a row serves 64 of them.
-    A hop keeps the bits a node did not have before; it ends when there are none. Cycles are fine, and a start
-    without edges reaches 0. Everything between hops is a table in the shared folder.
+    A start is a bit of a 64-bit word, and a frontier row says which of a word's starts have just come to a node. Steps
+    merge by bitwise or, so the edges are read once per step for all starts together, and a row serves 64 of them.
+    A step keeps the bits a node did not have before; it ends when there are none. Cycles are fine, and a start
+    without edges reaches 0. Everything between steps is a table in the shared folder, by buckets of nodes.
     """
-    if direction not in ("downstream", "upstream"):
-        raise ValueError(f"unknown direction: {direction}")
     base = work_dir(spark, "impact")
-    ends = ("source", "target") if direction == "downstream" else ("target", "source")
-    kinds = ("reads", "writes") if direction == "downstream" else ("writes", "reads")
-    stored = edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("next"), "kind")
-    stored.write.partitionBy("kind").parquet(f"{base}/edges")
-    hops = [spark.read.parquet(f"{base}/edges").filter(F.col("kind") == kind).select("node", "next") for kind in kinds]
+    leave = _stored_edges(spark, edges, base, direction)
     number = F.monotonically_increasing_id()
     starts.select("node").distinct().select("node", number.alias("number")).write.parquet(f"{base}/starts")
     starts = spark.read.parquet(f"{base}/starts").select(
         "node", F.shiftright("number", 6).alias("word"), F.col("number").bitwiseAND(63).cast("int").alias("bit")
     )
-    merged = F.bit_or("bits").alias("bits")
-
-    def read(hop: str) -> DataFrame:
-        return spark.read.schema("node string, word long, bits long, distance int").parquet(f"{base}/reached{hop}")
-
-    first = starts.select("node", "word", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("bits"))
-    first.write.parquet(f"{base}/reached/distance=0")
-    for hop in itertools.count(1):
-        here = read(f"/distance={hop - 1}").select("node", "word", "bits")
-        for leave in hops:
-            here = here.join(leave, "node").groupBy(F.col("next").alias("node"), "word").agg(merged)
-        known = read("").groupBy("node", "word").agg(F.bit_or("bits").alias("known"))
-        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
-        found = here.join(known, ["node", "word"], "left").select("node", "word", fresh.alias("bits")).filter("bits != 0")
-        found.write.parquet(f"{base}/reached/distance={hop}")
-        if read(f"/distance={hop}").isEmpty():
+
+    def read(steps: Sequence[int]) -> DataFrame:
+        paths = [f"{base}/reached/step={i}" for i in steps]
+        rows = spark.read.schema("node string, word long, bits long, step int, bucket int")
+        return rows.option("basePath", f"{base}/reached").parquet(*paths)
+
+    first = starts.select("node", "word", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("bits"), _bucket())
+    first.write.partitionBy("bucket").parquet(f"{base}/reached/step=0")
+    done = [0]
+    for step in itertools.count(1):
+        buckets = [int(b) for b in folders(spark, f"{base}/reached/step={step - 1}", "bucket")]
+        if not buckets:
             break
+        near = leave[(step - 1) % 2].filter(F.col("bucket").isin(buckets)).drop("bucket")
+        here = read([step - 1]).select("node", "word", "bits").join(near, "node")
+        here = here.groupBy(F.col("next").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        earlier = [i for i in done if i % 2 == step % 2]
+        if earlier:
+            known = read(earlier).groupBy("node", "word").agg(F.bit_or("bits").alias("known"))
+            fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+            here = here.join(known, ["node", "word"], "left").select("node", "word", fresh.alias("bits")).filter("bits != 0")
+        here.select("*", _bucket()).write.partitionBy("bucket").parquet(f"{base}/reached/step={step}")
+        done.append(step)
     counts = F.array(*[F.sum(F.shiftright("bits", i).bitwiseAND(1)) for i in range(64)]).alias("counts")
-    reached = read("").filter("distance > 0").groupBy("word").agg(counts)
+    reached = read([i for i in done if i % 2 == 0]).filter("step > 0").groupBy("word").agg(counts)
     reached = reached.select("word", F.posexplode("counts").alias("bit", "datasets"))
     found = starts.join(reached, ["word", "bit"], "left")
     return found.select("node", F.coalesce("datasets", F.lit(0)).cast("long").alias("datasets"))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 #: Rows a packed chunk aims at.
 CHUNK_ROWS = 65_536
+#: Keys longer than a chunk that are gathered and broadcast.
+FEW_KEYS = 10_000
 
 
 def micros(ts: Column) -> Column:
@@ -35,28 +37,46 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_on_{c}" for c in on])
 
 
+def long_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | None:
+    """Keys with more than ``rows`` rows, or None: there are at most as many as the table has times ``rows`` rows.
+
+    A few are gathered and known by size, so that the rows are joined to them where they are; if there are very many, both sides
+    are shuffled.
+    """
+    heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).select(*keys)
+    some = heavy.limit(FEW_KEYS + 1).collect()
+    if not some:
+        return None
+    return heavy if len(some) > FEW_KEYS else F.broadcast(df.sparkSession.createDataFrame(some, heavy.schema))
+
+
 def packed(
     df: DataFrame, keys: Sequence[str], at: Column, tie: str | None = None, width: int = MICROS, rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Add ``_chunk``, a number that follows ``at`` within the key, such that a chunk holds about ``rows`` rows.
 
-    Rows are counted per key and slice of ``width``; whole slices go into a chunk until it is full, so it never holds
-    more than ``rows`` plus one slice, however the rows lie in time. Rows with a null ``at`` come last, sliced
-    by ``tie``.
+    A key with no more rows is one chunk, which takes no shuffle to know. Rows of longer keys are counted per slice of
+    ``width``; whole slices go into a chunk until it is full, so it never holds more than ``rows`` plus one slice,
+    however the rows lie in time. Rows with a null ``at`` come last, sliced by ``tie``.
     """
+    heavy = long_keys(df, keys, rows)
+    whole = F.lit(0).cast("long").alias("_chunk")
+    if heavy is None:
+        return df.select("*", whole)
     none = F.lit(None).cast("long")
-    cut = df.withColumns(
+    cut = null_safe_join(df, heavy, keys, "left_semi").withColumns(
         {
             "_slice": F.floor(at / F.lit(width)).cast("long"),
             "_rest": none if tie is None else F.when(at.isNull(), F.floor(F.col(tie) / 4096)).cast("long"),
         }
     )
-    places = [*keys, "_slice", "_rest"]
-    counts = cut.groupBy(*places).agg(F.count("*").alias("_n"))
-    order = [F.col(c).asc_nulls_last() for c in ("_slice", "_rest")]
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = cut.withColumn("_place", F.struct(*keys, "_slice", "_rest"))
+    counts = dealt.groupBy("_place").agg(F.count("*").alias("_n"))
+    order = [F.col(f"_place.{c}").asc_nulls_last() for c in ("_slice", "_rest")]
+    before = Window.partitionBy(*[F.col(f"_place.{k}") for k in keys]).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     chunk = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows).cast("long")
-    return null_safe_join(cut, counts.select(*places, chunk.alias("_chunk")), places).drop("_slice", "_rest")
+    long = dealt.join(counts.select("_place", chunk.alias("_chunk")), "_place").select(*df.columns, "_chunk")
+    return null_safe_join(df, heavy, keys, "left_anti").select("*", whole).unionByName(long)
 
 
 def running_sums(
@@ -72,15 +92,17 @@ def running_sums(
     The rows are shuffled once by ``(key, chunk)``; the totals of earlier chunks come from a pre-aggregated
     side with one row per key and chunk.
     """
-    inputs = df.withColumns({f"_in_{name}": value for name, value in sums.items()})
-    totals = inputs.groupBy(*keys, chunk).agg(*[F.sum(f"_in_{n}").alias(f"_total_{n}") for n in sums])
-    by_chunk = F.col(chunk).desc() if descending_chunks else F.col(chunk).asc()
-    earlier = Window.partitionBy(*keys).orderBy(by_chunk).rowsBetween(Window.unboundedPreceding, -1)
+    inputs = df.withColumns({f"_in_{name}": value for name, value in sums.items()} | {"_part": F.struct(*keys, chunk)})
+    totals = inputs.groupBy("_part").agg(*[F.sum(f"_in_{n}").alias(f"_total_{n}") for n in sums])
+    at = F.col(f"_part.{chunk}")
+    earlier = Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy(at.desc() if descending_chunks else at.asc())
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
-        *keys, chunk, *[F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums]
+        "_part", *[F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums]
     )
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = null_safe_join(inputs, before, [*keys, chunk])
+    # join and window go by one column, so the rows move once
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = inputs.join(before, "_part")
     return joined.select(
         *df.columns, *[(F.sum(f"_in_{n}").over(inside) + F.col(f"_before_{n}")).alias(n) for n in sums]
     )
@@ -150,8 +172,8 @@ def sums_between(
     """Add to each left row the ``sums`` over the key's right rows with ``at`` in ``[p + first, p + last]``.
 
     A sum over a frame is the difference of two running sums, one read at each of its ends. Right rows and both
-    ends of every left row stand in one order, so the work grows with the rows, not with the frame. Left rows
-    must differ from each other (a unique column among them); ``at`` is a whole number, not null.
+    ends of every left row stand in one order, so the work grows with the rows, not with the frame. Equal left rows
+    stay apart; ``at`` is a whole number, not null.
     """
     ends = F.explode(
         F.array(
@@ -160,14 +182,15 @@ def sums_between(
         )
     )
     weights = {f"_w_{n}": c for n, c in sums.items()}
-    probes = left.withColumn("_end", ends).select(*left.columns, "_end.*")
+    numbered = left.withColumn("_row", F.monotonically_increasing_id())
+    probes = numbered.withColumn("_end", ends).select(*numbered.columns, "_end.*")
     # a right row at an end's position counts, so it stands before the end
     points = right.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_sign"), *[c.alias(n) for n, c in weights.items()])
     both = packed(points.unionByName(probes, allowMissingColumns=True), keys, F.col("_at"), rows=rows)
     values = {f"_run_{n}": F.coalesce(F.col(f"_w_{n}"), F.lit(0)) for n in sums}
     run = running_sums(both, keys, "_chunk", [F.col("_at"), F.abs("_sign")], values)
     totals = [F.sum(F.col("_sign") * F.col(f"_run_{n}")).alias(n) for n in sums]
-    return run.filter("_sign != 0").groupBy(*left.columns).agg(*totals)
+    return run.filter("_sign != 0").groupBy(*left.columns, "_row").agg(*totals).drop("_row")
 
 
 def last_known(
@@ -177,22 +200,18 @@ def last_known(
 
     The value a chunk ends with is read off its last row, so it needs no shuffle beyond the one of the rows.
     """
-    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
-    seen = df.withColumns(
+    inside = Window.partitionBy("_part").orderBy(*order)
+    seen = df.withColumn("_part", F.struct(*keys, chunk)).withColumns(
         {
             "_seen": F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
             "_is_last": F.lead(F.lit(True)).over(inside).isNull(),
         }
     )
-    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    of_key = Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy(F.col(f"_part.{chunk}"))
     carried = seen.filter("_is_last").select(
-        *keys, chunk, F.last("_seen", ignorenulls=True).over(earlier).alias("_carried")
-    )
-    return (
-        null_safe_join(seen, carried, [*keys, chunk])
-        .withColumn(name, F.coalesce("_seen", "_carried"))
-        .drop("_seen", "_is_last", "_carried")
+        "_part", F.last("_seen", ignorenulls=True).over(of_key.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried")
     )
+    return seen.join(carried, "_part").select(*df.columns, F.coalesce("_seen", "_carried").alias(name))
 
 
 def quantile_positions(
@@ -220,42 +239,34 @@ def quantile_positions(
     return placed.groupBy(*keys).agg(*out)
 
 
-def ranked(df: DataFrame, keys: Sequence[str], value: str, band: Column, tie: str, tiles: int) -> DataFrame:
-    """Add every ranking of ``value`` descending within the key, null last; ``tie`` orders equal values.
+def ranked(
+    df: DataFrame, keys: Sequence[str], value: str, band: Column, tie: str, tiles: int, rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Add every ranking of ``value`` descending within the key, null last; ``tie``, a unique whole number, orders equal values.
 
-    Rows are ranked inside their band of values, and the rows and distinct values of higher bands are added.
+    Ranks come from counts per distinct value, summed up over bands of values, so no window holds a key. Rows of one
+    value are numbered among themselves, a frequent value in chunks of about ``rows`` by ``tie``.
     """
     keys = list(keys)
-    rows = df.withColumn("_band", band)
-    bands = rows.groupBy(*keys, "_band").agg(
-        F.count("*").alias("_n"), (F.count_distinct(value) + F.max(F.col(value).isNull().cast("int"))).alias("_values")
-    )
-    higher = Window.partitionBy(*keys).orderBy(F.col("_band").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.select(
-        *keys,
-        "_band",
-        F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_rows_above"),
-        F.coalesce(F.sum("_values").over(higher), F.lit(0)).alias("_values_above"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-    inside = Window.partitionBy(*keys, "_band")
-    by_value, by_row = inside.orderBy(F.col(value).desc_nulls_last()), inside.orderBy(F.col(value).desc_nulls_last(), tie)
-    placed = rows.withColumns(
-        {
-            "rank": F.rank().over(by_value),
-            "dense_rank": F.dense_rank().over(by_value),
-            "_upto": F.count("*").over(by_value),
-            "row_number": F.row_number().over(by_row),
-        }
-    )
-    placed = null_safe_join(placed, bands, [*keys, "_band"])
-    above = F.col("_rows_above")
+    placed = df.withColumn("_value", F.struct(*keys, value))
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_band", band)
+    sums = {"_upto": F.col("_n"), "_dense": F.lit(1)}
+    counts = running_sums(counts, keys, "_band", [F.col(value).desc_nulls_last()], sums, descending_chunks=True)
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    counts = null_safe_join(counts, totals, keys).select(F.struct(*keys, value).alias("_value"), "_n", "_upto", "_dense", "_total")
+    placed = placed.join(counts, "_value")
+    if long_keys(placed.select("_value"), ["_value"], rows) is None:
+        placed = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_value").orderBy(tie)))
+    else:
+        cut = packed(placed, ["_value"], F.col(tie), width=4096, rows=rows)
+        placed = number_rows(cut, ["_value"], "_chunk", [F.col(tie)], "_place")
+    above = F.col("_upto") - F.col("_n")
     placed = placed.withColumns(
         {
-            "rank": F.col("rank") + above,
-            "dense_rank": F.col("dense_rank") + F.col("_values_above"),
-            "row_number": F.col("row_number") + above,
-            "cume_dist": (F.col("_upto") + above) / F.col("_total"),
+            "rank": (above + 1).cast("long"),
+            "dense_rank": F.col("_dense").cast("long"),
+            "row_number": (above + F.col("_place")).cast("long"),
+            "cume_dist": F.col("_upto") / F.col("_total"),
         }
     )
     share = F.when(F.col("_total") > 1, (F.col("rank") - 1) / (F.col("_total") - 1)).otherwise(0.0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakestream.operators.ordered import CHUNK_ROWS, MICROS, last_known, micros, null_safe_join, packed
+from lakestream.operators.ordered import CHUNK_ROWS, MICROS, last_known, micros, packed
 
 
 def can_match(keys: Sequence[str], ts: str) -> Column:
@@ -68,38 +68,40 @@ def interval_join(
     """Per left row, how many right rows of its key lie in ``(ts, ts + seconds]`` and the first one's microseconds.
 
     Pairs are never built. Right rows and both ends of every left row stand in one order, cut into chunks: the count
-    is the difference of the running counts at the two ends, and the first row the next one after the start. ``tie``
-    is unique on the left. A left row with a null key or time stays, with a count of 0.
+    is the difference of the running counts at the two ends, and the first row the next one after the start. Equal left
+    rows stay apart. A left row with a null key or time stays, with a count of 0.
     """
     known, width = can_match(keys, ts), seconds * MICROS
     none = F.lit(None).cast("long")
-    placed = left.withColumn("_from", micros(F.col(ts)))
+    placed = left.withColumns({"_from": micros(F.col(ts)), "_row": F.monotonically_increasing_id()})
     ends = F.array(*[F.struct((F.col("_from") + d).alias("_at"), F.lit(s).alias("_sign")) for d, s in ((0, -1), (width, 1))])
     probes = placed.filter(known).select(*placed.columns, F.inline(ends), none.alias("_point"))
     points = right.filter(known).select(*keys, micros(F.col(ts)).alias("_at"), F.lit(0).alias("_sign"))
     points = points.withColumn("_point", F.col("_at"))
     both = packed(points.unionByName(probes, allowMissingColumns=True), keys, F.col("_at"), rows=rows)
-    chunks = both.groupBy(*keys, "_chunk").agg(F.count("_point").alias("_n"), F.min("_point").alias("_first"))
+    # join and windows go by one column, so the rows move once
+    both = both.withColumn("_part", F.struct(*keys, "_chunk"))
+    chunks = both.groupBy("_part").agg(F.count("_point").alias("_n"), F.min("_point").alias("_first"))
     before, inside = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
-    of_key, of_chunk = Window.partitionBy(*keys), Window.partitionBy(*keys, "_chunk")
+    of_key, of_chunk = Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]), Window.partitionBy("_part")
+    number = F.col("_part._chunk")
     chunks = chunks.select(
-        *keys,
-        "_chunk",
-        F.coalesce(F.sum("_n").over(of_key.orderBy("_chunk").rowsBetween(*before)), F.lit(0)).alias("_before"),
-        F.min("_first").over(of_key.orderBy(F.desc("_chunk")).rowsBetween(*before)).alias("_after"),
+        "_part",
+        F.coalesce(F.sum("_n").over(of_key.orderBy(number).rowsBetween(*before)), F.lit(0)).alias("_before"),
+        F.min("_first").over(of_key.orderBy(number.desc()).rowsBetween(*before)).alias("_after"),
     )
     # a right row at an end's instant is counted there, and is not after it
     upwards = of_chunk.orderBy("_at", F.col("_point").isNull()).rowsBetween(*inside)
     downwards = of_chunk.orderBy(F.desc("_at"), F.col("_point").isNotNull()).rowsBetween(*inside)
     run = both.withColumns({"_run": F.count("_point").over(upwards), "_next": F.min("_point").over(downwards)})
-    run = null_safe_join(run.filter("_sign != 0"), chunks, [*keys, "_chunk"])
+    run = run.filter("_sign != 0").join(chunks, "_part")
     following = F.max(F.when(F.col("_sign") < 0, F.coalesce("_next", "_after")))
     found = run.groupBy(*placed.columns).agg(
         F.sum(F.col("_sign") * (F.col("_run") + F.col("_before"))).alias(count), following.alias("_next")
     )
     near = F.when(F.col("_next") <= F.col("_from") + width, F.col("_next"))
     unknown = placed.filter(~known).select("*", F.lit(0).cast("long").alias(count), none.alias("_next"))
-    return found.unionByName(unknown).withColumn(first, near).drop("_next", "_from")
+    return found.unionByName(unknown).withColumn(first, near).drop("_next", "_from", "_row")
 
 
 def range_join(
