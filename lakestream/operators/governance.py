@@ -56,17 +56,14 @@ def forward_rule(old: Column, new: Column) -> Column:
 
 
 def _violations(rule, old: Column, new: Column) -> Column:
-    """``field:reason`` of every field of either version that breaks a rule."""
+    """``field:reason`` of every field of either version (maps by name) that breaks a rule."""
     none = F.lit(None).cast("struct<field: string, type: string, nullable: boolean, has_default: boolean>")
 
-    by_name = lambda fields: F.map_from_entries(F.transform(fields, lambda f: F.struct(f["field"], f)))
-    olds, news = by_name(old), by_name(new)
-
     def reason(name: Column, before: Column, after: Column) -> Column:
         return F.concat(name, F.lit(":"), rule(before, after))
 
-    present = F.transform(new, lambda f: reason(f["field"], F.try_element_at(olds, f["field"]), f))
-    gone = F.filter(old, lambda f: ~F.map_contains_key(news, f["field"]))
+    present = F.transform(F.map_values(new), lambda f: reason(f["field"], F.try_element_at(old, f["field"]), f))
+    gone = F.filter(F.map_values(old), lambda f: ~F.map_contains_key(new, f["field"]))
     removed = F.transform(gone, lambda f: reason(f["field"], f, none))
     return F.array_compact(F.concat(present, removed))
 
@@ -82,11 +79,13 @@ def check_compat(versions: DataFrame, levels: DataFrame, width: int = 4096) -> D
     version, whose size is the number of its fields. The last version of a run is handed to the next run.
     """
     run = ["subject", "_run"]
+    field = F.struct("field", "type", "nullable", "has_default")
     documents = (
         versions.withColumn("_run", F.floor(F.col("version") / F.lit(width)).cast("long"))
         .repartition(*run)
         .groupBy(*run, "version")
-        .agg(F.collect_list(F.struct("field", "type", "nullable", "has_default")).alias("new"))
+        # a map once per version, which the rules look names up in
+        .agg(F.map_from_entries(F.collect_list(F.struct("field", field))).alias("new"))
     )
     inside = Window.partitionBy(*run).orderBy("version")
     linked = documents.withColumns(

@@ -154,6 +154,10 @@ def test_percentiles_and_ranks(spark, events):
     )
     got = ranked(values, ["u"], "v", F.floor(F.col("v") / 3), "id", 4)
     same(got, want, want.columns)
+    # a frequent value in many chunks of its rows
+    far = values.withColumn("id", F.col("id") * 1000)
+    got = ranked(far, ["u"], "v", F.floor(F.col("v") / 3), "id", 4, rows=5).withColumn("id", F.floor(F.col("id") / 1000))
+    same(got, want, want.columns)
 
 
 def test_range_join(spark):
@@ -193,3 +197,20 @@ def test_a_busy_day_is_cut_by_its_rows(spark):
     # chunks follow the order
     order = [(r["_chunk"], r["ts"] or datetime.max) for r in chunks.collect()]
     assert [t for _, t in sorted(order)] == sorted(t for _, t in order)
+
+
+@pytest.mark.parametrize("rows", [1, 100])
+def test_equal_left_rows_stay_apart(spark, rows):
+    left = spark.createDataFrame([(1, 10), (1, 10), (1, 12), (2, 5)], "u int, p long")
+    right = spark.createDataFrame([(1, 9, 3), (1, 10, 4), (1, 11, 5), (2, 99, 1)], "u int, p long, w int")
+    got = sums_between(left, right, ["u"], "p", -1, 0, {"w": F.col("w")}, rows=rows)
+    assert sorted((r["u"], r["p"], r["w"]) for r in got.collect()) == [(1, 10, 7), (1, 10, 7), (1, 12, 5), (2, 5, 0)]
+    at = lambda df: df.select("u", F.timestamp_seconds("p").cast("timestamp_ntz").alias("ts"))
+    got = interval_join(at(left), at(right), ["u"], "ts", "u", 1, "n", "first", rows=rows)
+    assert sorted((r["u"], r["ts"].second, r["n"]) for r in got.collect()) == [(1, 10, 1), (1, 10, 1), (1, 12, 0), (2, 5, 0)]
+
+
+def test_short_keys_take_no_join_for_their_chunks(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("u"), "id")
+    plan = packed(df, ["u"], F.col("id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
