@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from lakestream.operators.latest import latest_per_key
 from lakestream.session import work_dir
-from lakestream.sources.lake import folders
 
 #: Folders that edges are dealt into by node.
-BUCKETS = 32
+BUCKETS = 16
 
 
 def lineage_edges(events: DataFrame) -> DataFrame:
@@ -31,6 +30,11 @@ def _bucket(node: str = "node") -> Column:
     return F.pmod(F.xxhash64(node), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
+def _buckets_of(frontier: DataFrame) -> list[int]:
+    """Buckets that a frontier has nodes in, of ``BUCKETS`` numbers at most; none once it is empty."""
+    return [r["bucket"] for r in frontier.select("bucket").distinct().collect()]
+
+
 def _stored_edges(spark: SparkSession, edges: DataFrame, base: str, direction: str) -> list[DataFrame]:
     """Edges out of datasets and out of jobs as ``node, next, bucket``, in a folder per bucket of nodes."""
     if direction not in ("downstream", "upstream"):
@@ -59,12 +63,12 @@ def lineage_closure(
 
     def read(steps: Sequence[int]) -> DataFrame:
         paths = [f"{base}/reached/step={i}" for i in steps]
-        return spark.read.schema("node string, step int").option("basePath", f"{base}/reached").parquet(*paths)
+        return spark.read.schema("node string, bucket int, step int").option("basePath", f"{base}/reached").parquet(*paths)
 
-    spark.range(1).select(F.lit(start).alias("node")).select("node", _bucket()).write.partitionBy("bucket").parquet(f"{base}/reached/step=0")
+    spark.range(1).select(F.lit(start).alias("node")).select("node", _bucket()).write.parquet(f"{base}/reached/step=0")
     done = [0]
     for step in itertools.count(1):
-        buckets = [int(b) for b in folders(spark, f"{base}/reached/step={step - 1}", "bucket")]
+        buckets = _buckets_of(read([step - 1]))
         if not buckets:
             break
         near = leave[(step - 1) % 2].filter(F.col("bucket").isin(buckets))
@@ -72,8 +76,7 @@ def lineage_closure(
         # datasets come up in even steps, jobs in odd ones
         earlier = [i for i in done if i % 2 == step % 2]
         found = reached.join(read(earlier).select("node"), "node", "left_anti") if earlier else reached
-        found = found.select("node", _bucket())
-        found.write.partitionBy("bucket").parquet(f"{base}/reached/step={step}")
+        found.select("node", _bucket()).write.parquet(f"{base}/reached/step={step}")
         done.append(step)
     found = read([i for i in done if i % 2 == 0]).filter("step > 0")
     return found.select(F.col("node").alias("dataset"), F.floor(F.col("step") / 2).cast("int").alias("distance"))
@@ -85,7 +88,7 @@ def lineage_impact(spark: SparkSession, edges: DataFrame, starts: DataFrame, dir
     A start is a bit of a 64-bit word, and a frontier row says which of a word's starts have just come to a node. Steps
     merge by bitwise or, so the edges are read once per step for all starts together, and a row serves 64 of them.
     A step keeps the bits a node did not have before; it ends when there are none. Cycles are fine, and a start
-    without edges reaches 0. Everything between steps is a table in the shared folder, by buckets of nodes.
+    without edges reaches 0. Everything between steps is a table in the shared folder.
     """
     base = work_dir(spark, "impact")
     leave = _stored_edges(spark, edges, base, direction)
@@ -97,14 +100,14 @@ def lineage_impact(spark: SparkSession, edges: DataFrame, starts: DataFrame, dir
 
     def read(steps: Sequence[int]) -> DataFrame:
         paths = [f"{base}/reached/step={i}" for i in steps]
-        rows = spark.read.schema("node string, word long, bits long, step int, bucket int")
+        rows = spark.read.schema("node string, word long, bits long, bucket int, step int")
         return rows.option("basePath", f"{base}/reached").parquet(*paths)
 
     first = starts.select("node", "word", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("bits"), _bucket())
-    first.write.partitionBy("bucket").parquet(f"{base}/reached/step=0")
+    first.write.parquet(f"{base}/reached/step=0")
     done = [0]
     for step in itertools.count(1):
-        buckets = [int(b) for b in folders(spark, f"{base}/reached/step={step - 1}", "bucket")]
+        buckets = _buckets_of(read([step - 1]))
         if not buckets:
             break
         near = leave[(step - 1) % 2].filter(F.col("bucket").isin(buckets)).drop("bucket")
@@ -115,7 +118,7 @@ def lineage_impact(spark: SparkSession, edges: DataFrame, starts: DataFrame, dir
             known = read(earlier).groupBy("node", "word").agg(F.bit_or("bits").alias("known"))
             fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
             here = here.join(known, ["node", "word"], "left").select("node", "word", fresh.alias("bits")).filter("bits != 0")
-        here.select("*", _bucket()).write.partitionBy("bucket").parquet(f"{base}/reached/step={step}")
+        here.select("*", _bucket()).write.parquet(f"{base}/reached/step={step}")
         done.append(step)
     counts = F.array(*[F.sum(F.shiftright("bits", i).bitwiseAND(1)) for i in range(64)]).alias("counts")
     reached = read([i for i in done if i % 2 == 0]).filter("step > 0").groupBy("word").agg(counts)

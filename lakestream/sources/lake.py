@@ -88,13 +88,6 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def folders(spark: SparkSession, path: str, column: str) -> list[str]:
-    """Values of a partition column that has a folder right below ``path``, of a column without odd characters."""
-    fs, jpath = _file_system(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
-    return [n.partition("=")[2] for n in names if n.startswith(f"{column}=")]
-
-
 def read_table_log(spark: SparkSession, path: str) -> TableLog:
     """One listing of the log folder and the newest file in it; there are few, since merging clears older ones."""
     fs, folder = _file_system(spark, f"{path}/_log")
