@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,6 +160,24 @@ def earlier_band(bands: np.ndarray, at: int) -> np.ndarray:
     return met
 
 
+def binary_views(column: pa.ChunkedArray) -> pd.Series:
+    """The values of a binary column as views of its memory, which is not copied."""
+    out = []
+    for chunk in column.chunks:
+        kind = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, kind, len(chunk) + 1 + chunk.offset)[chunk.offset :].tolist()
+        data = memoryview(data or b"")
+        out += [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return pd.Series(out, dtype=object)
+
+
+def arrow_tile_links(tile: pa.Table, threshold: float) -> pa.Table:
+    rows = tile.drop_columns(["grams"]).to_pandas()
+    found = tile_links(rows.assign(grams=binary_views(tile.column("grams"))), threshold)
+    return pa.Table.from_pandas(found, preserve_index=False)
+
+
 def tile_links(tile: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Of one tile: ``node, links, root`` of nodes with links; ``root`` spans what the tile connects.
 
@@ -244,8 +263,8 @@ def near_links(
         "buckets",
         "grams",
     )
-    compared = tiles.groupBy("bucket", "first", "second").applyInPandas(
-        lambda tile: tile_links(tile, threshold), "node long, links long, root long"
+    compared = tiles.groupBy("bucket", "first", "second").applyInArrow(
+        lambda tile: arrow_tile_links(tile, threshold), "node long, links long, root long"
     )
     return keyed.select("doc_id", "key", "row_id"), nodes, saved(compared, "links")
 
