@@ -239,43 +239,81 @@ def quantile_positions(
     return placed.groupBy(*keys).agg(*out)
 
 
+def _ranked_in_bands(rows: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
+    """Places from windows over bands of values, and the rows and distinct values of higher bands."""
+    bands = rows.groupBy(*keys, "_band").agg(
+        F.count("*").alias("_n"), (F.count_distinct(value) + F.max(F.col(value).isNull().cast("int"))).alias("_values")
+    )
+    higher = Window.partitionBy(*keys).orderBy(F.col("_band").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select(
+        F.struct(*keys, "_band").alias("_part"),
+        F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_rows_above"),
+        F.coalesce(F.sum("_values").over(higher), F.lit(0)).alias("_values_above"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+    )
+    inside = Window.partitionBy("_part")
+    by_value, by_row = inside.orderBy(F.col(value).desc_nulls_last()), inside.orderBy(F.col(value).desc_nulls_last(), tie)
+    placed = rows.withColumn("_part", F.struct(*keys, "_band")).withColumns(
+        {
+            "_rank": F.rank().over(by_value),
+            "_dense": F.dense_rank().over(by_value),
+            "_upto": F.count("*").over(by_value),
+            "_number": F.row_number().over(by_row),
+        }
+    )
+    above = F.col("_rows_above")
+    return placed.join(bands, "_part").withColumns(
+        {
+            "_rank": F.col("_rank") + above,
+            "_dense": F.col("_dense") + F.col("_values_above"),
+            "_upto": F.col("_upto") + above,
+            "_number": F.col("_number") + above,
+        }
+    )
+
+
+def _ranked_by_counts(rows: DataFrame, keys: list[str], value: str, tie: str, size: int) -> DataFrame:
+    """Places from counts per distinct value, and of a row among those of its value, numbered in chunks by ``tie``."""
+    counts = rows.groupBy(*keys, value, "_band").agg(F.count("*").alias("_n"))
+    sums = {"_upto": F.col("_n"), "_dense": F.lit(1)}
+    counts = running_sums(counts, keys, "_band", [F.col(value).desc_nulls_last()], sums, descending_chunks=True)
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    counts = null_safe_join(counts, totals, keys).select(F.struct(*keys, value).alias("_value"), "_n", "_upto", "_dense", "_total")
+    placed = rows.withColumn("_value", F.struct(*keys, value)).join(counts, "_value")
+    cut = packed(placed, ["_value"], F.col(tie), width=4096, rows=size)
+    placed = number_rows(cut, ["_value"], "_chunk", [F.col(tie)], "_place")
+    above = F.col("_upto") - F.col("_n")
+    return placed.withColumns({"_rank": above + 1, "_number": above + F.col("_place")})
+
+
 def ranked(
     df: DataFrame, keys: Sequence[str], value: str, band: Column, tie: str, tiles: int, rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Add every ranking of ``value`` descending within the key, null last; ``tie``, a unique whole number, orders equal values.
 
-    Ranks come from counts per distinct value, summed up over bands of values, so no window holds a key. Rows of one
-    value are numbered among themselves, a frequent value in chunks of about ``rows`` by ``tie``.
+    No window holds more than about ``rows`` rows: rows are ranked inside their band of values while every band is
+    short, else by counts per value, so that a frequent value is numbered in chunks.
     """
     keys = list(keys)
-    placed = df.withColumn("_value", F.struct(*keys, value))
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_band", band)
-    sums = {"_upto": F.col("_n"), "_dense": F.lit(1)}
-    counts = running_sums(counts, keys, "_band", [F.col(value).desc_nulls_last()], sums, descending_chunks=True)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    counts = null_safe_join(counts, totals, keys).select(F.struct(*keys, value).alias("_value"), "_n", "_upto", "_dense", "_total")
-    placed = placed.join(counts, "_value")
-    if long_keys(placed.select("_value"), ["_value"], rows) is None:
-        placed = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_value").orderBy(tie)))
+    banded = df.withColumn("_band", band)
+    if long_keys(banded, [*keys, "_band"], rows) is None:
+        placed = _ranked_in_bands(banded, keys, value, tie)
     else:
-        cut = packed(placed, ["_value"], F.col(tie), width=4096, rows=rows)
-        placed = number_rows(cut, ["_value"], "_chunk", [F.col(tie)], "_place")
-    above = F.col("_upto") - F.col("_n")
-    placed = placed.withColumns(
-        {
-            "rank": (above + 1).cast("long"),
-            "dense_rank": F.col("_dense").cast("long"),
-            "row_number": (above + F.col("_place")).cast("long"),
-            "cume_dist": F.col("_upto") / F.col("_total"),
-        }
-    )
-    share = F.when(F.col("_total") > 1, (F.col("rank") - 1) / (F.col("_total") - 1)).otherwise(0.0)
-    number, total = F.col("row_number"), F.col("_total")
+        placed = _ranked_by_counts(banded, keys, value, tie, rows)
+    number, total = F.col("_number"), F.col("_total")
+    share = F.when(total > 1, (F.col("_rank") - 1) / (total - 1)).otherwise(0.0)
     base, extra = F.floor(total / tiles), total % tiles
     # the first ``extra`` tiles hold one row more
     wide = extra * (base + 1)
     tile = F.when(number <= wide, F.floor((number - 1) / (base + 1)) + 1).otherwise(
         extra + F.floor((number - 1 - wide) / base) + 1
     )
-    ranks = ("rank", "dense_rank", "cume_dist", "row_number")
-    return placed.select(*df.columns, *ranks, share.alias("percent_rank"), tile.cast("int").alias("ntile"))
+    return placed.select(
+        *df.columns,
+        F.col("_rank").cast("long").alias("rank"),
+        F.col("_dense").cast("long").alias("dense_rank"),
+        (F.col("_upto") / total).alias("cume_dist"),
+        number.cast("long").alias("row_number"),
+        share.alias("percent_rank"),
+        tile.cast("int").alias("ntile"),
+    )
