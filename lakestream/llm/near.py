@@ -175,6 +175,8 @@ def binary_views(column: pa.ChunkedArray) -> pd.Series:
 def arrow_tile_links(tile: pa.Table, threshold: float) -> pa.Table:
     rows = tile.drop_columns(["grams"]).to_pandas()
     found = tile_links(rows.assign(grams=binary_views(tile.column("grams"))), threshold)
+    # a worker lives on: what the tile took goes back at once
+    pa.default_memory_pool().release_unused()
     return pa.Table.from_pandas(found, preserve_index=False)
 
 
