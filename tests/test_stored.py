@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakestream.operators import drift
+from lakestream.operators import drift, lineage
 from lakestream.operators.lineage import lineage_closure, lineage_impact
 from lakestream.operators.rollups import bitmaps, distinct_rollup, merge_sketches, read_sketches, sketches
 from lakestream.operators.sampling import weighted_sample
@@ -188,6 +188,31 @@ def test_impact_of_every_start_is_its_closure(spark):
     assert lineage_closure(spark, edges, "d0").filter("dataset != 'd0'").count() == found["d0"]
 
 
+def test_what_all_starts_reach_is_walked_once(spark, tmp_path, monkeypatch):
+    # 1,280 datasets lead into a cycle of two, and that to 1,000 more and a null; beside it, layers without cycles
+    rng = random.Random(8)
+    data = [(f"s{i}", f"a{i}", "reads") for i in range(1280)] + [(f"a{i}", f"c{i % 2}", "writes") for i in range(1280)]
+    data += [("c0", "x", "reads"), ("x", "c1", "writes"), ("c1", "y", "reads"), ("y", "c0", "writes"), ("y", None, "writes")]
+    data += [("y", f"z{i}", "writes") for i in range(1000)]
+    jobs = [(f"l{n}_{rng.randrange(30)}", f"j{n}_{i}", f"l{n + 1}_{rng.randrange(30)}") for n in range(5) for i in range(40)]
+    data += [(a, j, "reads") for a, j, _ in jobs] + [(j, b, "writes") for _, j, b in jobs]
+    edges = spark.createDataFrame(data, "source string, target string, kind string")
+    layers = {f"l{n}_{i}": {b for a, _, b in jobs if a == f"l{n}_{i}"} for n in range(6) for i in range(30)}
+    expected = {f"s{i}": 1003 for i in range(1280)} | {"c0": 1002, "c1": 1002, "z0": 0, "nowhere": 0}
+    for start in layers:
+        seen = set()
+        todo = [start]
+        while todo:
+            todo += (new := layers[todo.pop()] - seen)
+            seen |= new
+        expected[start] = len(seen)
+    monkeypatch.setattr(lineage, "work_dir", lambda spark, label: f"{tmp_path}/{label}")
+    starts = spark.createDataFrame([(n,) for n in expected], "node string")
+    assert {r["node"]: r["datasets"] for r in lineage_impact(spark, edges, starts).collect()} == expected
+    # a word of 64 starts each would write over 20,000 rows
+    assert sum(spark.read.parquet(str(p)).count() for p in tmp_path.rglob("step=*")) < 10_000
+
+
 def parts(spark, path):
     log = lake.read_table_log(spark, path)
     return log, log.chain()
